@@ -5,11 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioframe.llm import ngram_join
+from folioframe.llm import decontaminate, mixing, ngram_join, secret_scan
 from folioframe.llm.shared import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _op1_sql() -> str:
+    kinds, link = secret_scan.KINDS, secret_scan.ROLE
+    valid = {
+        "assign": f"length(regexp_extract(m, {_quoted(secret_scan.ASSIGN)}, 2)) >= 12",
+        "short": f"length(regexp_extract(m, {_quoted(secret_scan.ASSIGN)}, 2)) BETWEEN 6 AND 11",
+        "opaque": "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')",
+    }
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {r} AS rank, '{k}' AS kind, '{link[k]}' AS role, unnest(range(1, len(m) + 1)) AS i, m, p FROM (SELECT doc_id, "
+        f"regexp_extract_all(t, {_quoted(secret_scan.PATTERNS[k])}) AS m, regexp_split_to_array(t, {_quoted(secret_scan.PATTERNS[k])}) AS p FROM d)"
+        for r, k in enumerate(kinds)
+    )
+    checks = " ".join(f"WHEN '{k}' THEN {v}" for k, v in valid.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+a AS (SELECT doc_id, rank, kind, role, m[i] AS m,
+  list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM f),
+v AS (SELECT doc_id, rank, kind, role, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM a WHERE CASE kind {checks} ELSE true END),
+l AS (SELECT * FROM v WHERE rank < 3 OR EXISTS (SELECT 1 FROM v w WHERE w.doc_id = v.doc_id
+  AND (CASE v.role WHEN 'secret' THEN w.role <> 'secret' ELSE w.role = 'secret' END)
+  AND v.s - w.e <= {secret_scan.SCOPE} AND w.s - v.e <= {secret_scan.SCOPE})),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_common")
+
+
+OP3_SQL = """
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+i AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1)
+SELECT s.id AS doc_id, item_id, n_item, count(*) AS n_common FROM s JOIN i USING (g) WHERE kind = 0
+GROUP BY s.id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_join.ngram_components(docs, k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
@@ -32,9 +89,22 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, F.array("source"))
+    return mixed.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_mixing_sources": op7_mixing_sources,
 }
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": _op1_sql(),
+    "op3_benchmark_decontamination": OP3_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
 }
