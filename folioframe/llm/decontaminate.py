@@ -28,9 +28,13 @@ MISS = 1e-9
 def word_shingles(text: Column, k: int) -> Column:
     """Hashes of the k-word shingles, repeats included; fewer words: the whole sequence as one."""
     clean = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    w = F.split(clean, "[\\x20\\x09-\\x0D]+", -1)
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
-    return F.when(F.length(clean) == 0, F.array().cast("array<bigint>")).when(F.size(w) >= k, many).otherwise(F.array(F.xxhash64(w)))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+        return F.when(F.size(w) >= k, many).when(F.element_at(w, 1) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
+
+    # a one-element array binds the words, which are then split once for each text
+    return F.element_at(F.transform(F.array(F.split(clean, "[\\x20\\x09-\\x0D]+", -1)), of), 1)
 
 
 def _bands(u: Column, q: Column, num: int, den: int) -> Column:
