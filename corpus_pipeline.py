@@ -1,3 +1,63 @@
-"""A corpus from raw documents to a training mix, in stages."""
+"""A corpus from raw documents to a training mix, in stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioframe.llm import decontaminate, mixing, ngram_join, quality, secret_scan
+from folioframe.llm.shared import folder, table
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls low quality or toxic go."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 5-word shingles at a similarity of 0.8, the smallest doc_id stays."""
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain 0.8 of a benchmark item's 5-word shingles go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, target (of the source) and copies (1 or 2)."""
+    mixed = mixing.mix(docs, F.array("source")).where("__copies > 0")
+    return mixed.select(*docs.columns, F.col("__size").alias("size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: The classifier and the seeded selection can't be expressed in SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    top = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}")
+        docs = spark.read.parquet(f"{top}/{i}")
+    return docs

@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; one of our own only where it names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="folioframe-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read from there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioframe-"))  # tests only
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
