@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Strings that count as null, and quote marks that count as an apostrophe.
 PLACEHOLDERS = ("null", "không rõ", "không xác định", "n/a", "none")
@@ -42,12 +43,12 @@ def fold_quotes(c: Column) -> Column:
     return F.translate(c, QUOTES, "'" * len(QUOTES))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 

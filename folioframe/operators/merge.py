@@ -86,7 +86,8 @@ def merge_laws(items: list) -> list[str]:
         code = "BLHS" if _CODE.search(text) else None
         parts = [m.groups() for m in _CLAUSE.finditer(text)]
         for point, clause, article in parts:
-            shown = [f"điểm {point.casefold()}"] * bool(point and clause) + [f"khoản {clause}"] * bool(clause) + [f"Điều {article}"] + [code] * bool(code)
+            parts_shown = (point and clause and f"điểm {point.casefold()}", clause and f"khoản {clause}", f"Điều {article}", code)
+            shown = [x for x in parts_shown if x]
             key = (code, article.casefold(), clause and clause.casefold(), point and point.casefold())
             found.append((key, key[:2], bool(clause or point), " ".join(shown)))
         if not parts:
@@ -234,7 +235,7 @@ def _with_lists(verdict: Column) -> Column:
 
 def ordered_distinct(old: Column, new: Column) -> Column:
     """merge_lists as an expression: old items and then the new ones whose key isn't there yet."""
-    zero = F.struct(F.transform(F.filter(old, lambda x: ~is_null_like(x)), generic_key).alias("keys"), old.alias("items"))
+    zero = F.struct(F.transform(F.filter(old, lambda x: ~is_null_like(x)), lambda x: generic_key(x)).alias("keys"), old.alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
         skip = is_null_like(x) | F.array_contains(acc["keys"], generic_key(x))
