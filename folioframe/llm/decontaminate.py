@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.shared import few
+from folioframe.llm.shared import cut, few
 
 BANDS = 64
 MISS = 1e-9
@@ -65,6 +65,7 @@ def contained_items(
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), word_shingles(F.col(text_col), k).alias("s"))
     hits = rows.select("id", "key", F.explode("s").alias("h")).join(few(i.select("h").distinct(), n_rows), "h", "left_semi").distinct()
+    hits = cut(hits)  # all that follows reads the few shared shingles, not the texts
     sets = hits.groupBy("key").agg(F.first("id").alias("id"), F.collect_list("h").alias("hs"), F.count("*").alias("n"), _mins(F.col("h")).alias("mins"))
     sets = sets.where(F.col("n") * den >= F.lit(num * least)).withColumn("u", F.pow(F.lit(2.0), F.ceil(F.log2("n"))))
 
