@@ -146,16 +146,16 @@ def mix(
         (r["__p"], sum(size[i] for i in m), float(sum(target[i] for i in m)), *((f // r["words"], f % r["words"]) if r["words"] else (0, 0)))
         for r, m, f in zip(patterns, member, taken, strict=True)
     ]
-    plan = F.broadcast(spark.createDataFrame(plan, "p string, __source_size long, __target double, whole long, rest long"))
+    plan = F.broadcast(spark.createDataFrame(plan, "__pp string, __source_size long, __target double, __whole long, __rest long"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("__p").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = sums.withColumn("before", before).join(plan.select(F.col("p").alias("__p"), "rest"), "__p")
-    edge = edge.where("before <= rest and rest < before + words").select("__p", F.col("__bucket").alias("edge"), F.col("before").alias("edge_before"))
-    rows = rows.join(plan, F.col("__p") == F.col("p")).drop("p").join(F.broadcast(edge), "__p", "left")  # at most a row per pattern
-    inner = rows.where("__bucket = edge")
+    edge = sums.withColumn("before", before).join(plan.select(F.col("__pp").alias("__p"), "__rest"), "__p")
+    edge = edge.where("before <= __rest and __rest < before + words").select("__p", F.col("__bucket").alias("__edge"), F.col("before").alias("__before"))
+    rows = rows.join(plan, F.col("__p") == F.col("__pp")).join(F.broadcast(edge), "__p", "left")  # at most a row per pattern
+    inner = rows.where("__bucket = __edge")
     sofar = F.sum("__size").over(Window.partitionBy("__p").orderBy("__at", "__size").rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("edge_before") + sofar - F.col("__size") / 2
-    inner = inner.withColumn("__in", (middle <= F.col("rest")).cast("long"))
-    outer = rows.where("not coalesce(__bucket = edge, false)").withColumn("__in", F.coalesce(F.col("__bucket") < F.col("edge"), F.lit(False)).cast("long"))
-    out = outer.unionByName(inner).withColumn("__copies", F.least(F.col("whole") + F.col("__in"), F.lit(copies).cast("long")))
+    middle = F.col("__before") + sofar - F.col("__size") / 2
+    inner = inner.withColumn("__in", (middle <= F.col("__rest")).cast("long"))
+    outer = rows.where("not coalesce(__bucket = __edge, false)").withColumn("__in", F.coalesce(F.col("__bucket") < F.col("__edge"), F.lit(False)).cast("long"))
+    out = outer.unionByName(inner).withColumn("__copies", F.least(F.col("__whole") + F.col("__in"), F.lit(copies).cast("long")))
     return out.select(*docs.columns, "__size", "__source_size", "__target", "__copies")
 
