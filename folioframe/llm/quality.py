@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import textkit as tk
+from folioframe.llm.shared import cut
 
 LABELLED = 12_000
 UNLABELLED = 4_000
@@ -30,7 +31,9 @@ HANDED = 400
 SURE = 0.99
 #: A word enters the content view if its chi-square against the target is at least this.
 CHI2 = 30.0
-#: Part of the labelled sample that only calibrates.
+#: Words of the content view for each target, at most.
+VOCABULARY = 400
+#: One labelled row of so many, by a hash, only calibrates.
 ASIDE = 4
 TARGETS = ("bad", "toxic")
 
@@ -149,34 +152,16 @@ class Model:
         return _odds(np.clip(views, -12, 12), self.combine[target])
 
 
-def _chi2(has: np.ndarray, n: np.ndarray, total: int, pos: int) -> np.ndarray:
-    """Of a word in n of total rows, has of them positive, against the target."""
-    a, b, c = has, n - has, pos - has
-    d = total - pos - b
-    return total * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-
-
-def train(words: list[np.ndarray], meta: np.ndarray, labels: dict[str, np.ndarray]) -> Model:
-    """labels[target]: 0, 1, or -1 where unlabelled; every ASIDE-th labelled row only calibrates."""
+def train(words: list[np.ndarray], meta: np.ndarray, labels: dict[str, np.ndarray], aside: np.ndarray, picks: dict[str, np.ndarray]) -> Model:
+    """words: each row's hashes among picks, the content words of each target. labels[target]: 0, 1, or -1 where
+    unlabelled. Labelled rows that are aside only calibrate."""
     known = np.flatnonzero(labels["bad"] >= 0)
-    aside = np.zeros(len(words), bool)
-    aside[known[::ASIDE]] = True
     seeds = known[~aside[known]]
-    flat = np.concatenate([words[i] for i in seeds]) if len(seeds) else np.zeros(0, np.int64)
-    row = np.repeat(seeds, [len(words[i]) for i in seeds])
-    vocabulary, n = np.unique(flat, return_counts=True)
-    picks = {}
-    for t in TARGETS:
-        has = np.bincount(np.searchsorted(vocabulary, flat), labels[t][row] == 1, len(vocabulary))
-        pos = int((labels[t][seeds] == 1).sum())
-        score = _chi2(has, n.astype(float), len(seeds), pos) if len(seeds) else np.zeros(0)
-        pick = np.flatnonzero((score >= CHI2) & (n >= 4))
-        picks[t] = vocabulary[pick[np.argsort(-score[pick], kind="stable")[:400]]]
     vocabulary = np.unique(np.concatenate([picks[t] for t in TARGETS]))
     columns = {t: np.searchsorted(vocabulary, np.sort(picks[t])) for t in TARGETS}
-    found = np.zeros((len(words), len(vocabulary)))
+    found = np.zeros((len(words), len(vocabulary)), np.float32)
     for i, w in enumerate(words):
-        found[i, np.isin(vocabulary, w)] = 1
+        found[i, np.searchsorted(vocabulary, w)] = 1
     mean = meta.mean(axis=0) if len(meta) else np.zeros(meta.shape[1])
     scale = meta.std(axis=0) + 1e-6 if len(meta) else np.ones(meta.shape[1])
     z = (meta - mean) / scale
@@ -200,7 +185,7 @@ def train(words: list[np.ndarray], meta: np.ndarray, labels: dict[str, np.ndarra
                 sets[b] = (v, np.concatenate([rows, sure]), np.concatenate([y, guess]))
         content[t], metaw[t] = w
         views = np.stack([_odds(x, w[0]), _odds(z, w[1])], axis=1)
-        at = np.flatnonzero(aside) if len(known) else np.zeros(0, np.int64)
+        at = known[aside[known]]
         combine[t] = _fit(np.clip(views[at], -12, 12), labels[t][at].astype(float), 0.1)
     return Model(vocabulary, columns, mean, scale, content, metaw, combine)
 
@@ -234,12 +219,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     features = rows.select(F.struct(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "quality", "toxic"))).alias("id"), "text", "lang", "source", "n_chars").mapInArrow(
         _features, "id struct<doc_id:long,quality:long,toxic:long>, words array<long>, meta array<double>"
     )
-    t = features.select("id.*", "words", "meta").orderBy("doc_id").toArrow()
+    rows = cut(features.select("id.*", "words", "meta")).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) == 0)
+    picks = _content_words(rows.where("quality >= 0 and not aside"))
+    chosen = sorted({x for t in TARGETS for x in picks[t].tolist()})
+    only = F.array_intersect("words", F.lit(chosen).cast("array<bigint>")) if chosen else F.array().cast("array<bigint>")
+    t = rows.select("doc_id", "quality", "toxic", "aside", "meta", only.alias("words")).orderBy("doc_id").toArrow()
     quality, toxic = t.column("quality").to_numpy(), t.column("toxic").to_numpy()
     words = [np.asarray(x.values) for x in t.column("words")]
-    meta = np.array(t.column("meta").to_pylist(), dtype=float).reshape(len(words), -1) if len(words) else np.zeros((0, len(FIGURES) + 16 + _SOURCES))
+    meta = t.column("meta").combine_chunks().flatten().to_numpy().reshape(len(words), len(FIGURES) + 16 + _SOURCES)
     bad = np.where(quality < 0, -1, (quality == 0).astype(int))
-    return train(words, meta, {"bad": bad, "toxic": toxic})
+    return train(words, meta, {"bad": bad, "toxic": toxic}, t.column("aside").to_numpy(), picks)
+
+
+def _content_words(seeds: DataFrame) -> dict[str, np.ndarray]:
+    """For each target the words that go with it or against it most, by chi-square over the seeds."""
+    marks = {"bad": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    count = lambda c: F.sum(c.cast("double"))
+    total, *positive = seeds.agg(F.count("*").cast("double"), *(count(marks[t]) for t in TARGETS)).first()
+    words = seeds.select(F.explode("words").alias("word"), *(marks[t].alias(t) for t in TARGETS))
+    words = cut(words.groupBy("word").agg(F.count("*").cast("double").alias("n"), *(count(F.col(t)).alias(t) for t in TARGETS)).where("n >= 4"))
+    picks = {}
+    for t, pos in zip(TARGETS, positive, strict=True):
+        a = F.col(t)  # positive rows with the word, then other rows with it, positive ones without, others without
+        b, c = F.col("n") - a, F.lit(pos or 0.0) - a
+        d = F.lit(total) - F.lit(pos or 0.0) - b
+        chi2 = F.lit(total) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
+        best = words.select("word", chi2.alias("chi2")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(VOCABULARY)
+        picks[t] = np.array([r.word for r in best.collect()], dtype=np.int64)
+    return picks
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
