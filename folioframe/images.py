@@ -110,6 +110,79 @@ def linear_resize(target: tuple[int, int], keep_ratio: bool = True) -> Step:
     return run
 
 
+def _up(v: float, multiple: int) -> int:
+    return -(-int(v) // multiple) * multiple
+
+
+def resize_long_side(limit: int = 512, multiple: int = 128, grow: float | None = None) -> Step:
+    """Longer side to the limit, both up to the multiple; with grow, enlarged by it unless the height would pass the limit."""
+
+    def run(s: State) -> State:
+        h, w = s["image"].shape[:2]
+        r = limit / max(h, w) if grow is None else min(grow, limit / h)
+        nh, nw = _up(h * r, multiple), _up(w * r, multiple)
+        return {**s, "image": resize(s["image"], nh, nw), "shape": np.array([h, w, nh / h, nw / w])}
+
+    return run
+
+
+def resize_on_canvas(long: int = 1024, short: int = 512, multiple: int = 32) -> Step:
+    """Fitted to both sides and laid on a square canvas; boxes (x0, y0, x1, y1, ...) in `points` follow, clipped to the image as it was."""
+
+    def run(s: State) -> State:
+        h, w = s["image"].shape[:2]
+        r = min(long / max(h, w), short / min(h, w))
+        nh, nw = (_up(int(v * r + 0.5), multiple) for v in (h, w))
+        canvas = np.zeros((long, long, s["image"].shape[2]), np.float32)
+        canvas[:nh, :nw] = resize(s["image"], nh, nw)[:long, :long]
+        out = {**s, "image": canvas, "shape": np.array([nh, nw])}
+        if "points" in s:
+            out["points"] = np.clip(s["points"] * np.array([nw / w, nh / h] * (s["points"].shape[1] // 2)), 0, np.array([w, h] * (s["points"].shape[1] // 2)))
+        return out
+
+    return run
+
+
+def permute(order: tuple[int, ...] = (2, 0, 1)) -> Step:
+    return lambda s: {**s, "image": np.ascontiguousarray(s["image"].transpose(order))}
+
+
+def crop(x0: int, y0: int, x1: int, y1: int, pad: int = 4) -> Step:
+    """A box with a margin, kept inside the image."""
+
+    def run(s: State) -> State:
+        h, w = s["image"].shape[:2]
+        return {**s, "image": s["image"][max(0, y0 - pad) : min(h, y1 + pad), max(0, x0 - pad) : min(w, x1 + pad)]}
+
+    return run
+
+
+def upright(image: np.ndarray) -> np.ndarray:
+    """Turned by a quarter if at least one and a half times as high as wide."""
+    return np.rot90(image) if image.shape[0] >= 1.5 * image.shape[1] else image
+
+
+def stack_crops(crops: list[np.ndarray], cell: int = 60, label: int = 40, gap: int = 4, width: int = 1400, shade: int = 240) -> np.ndarray:
+    """Crops below one another, each at the cell's height and right of room for its label; cells start every cell + gap."""
+    out = np.full(((cell + gap) * len(crops) + gap, width, 3), shade, np.float64)
+    for n, image in enumerate(crops):
+        h, w = image.shape[:2]
+        fit = min(int(w * cell / max(h, 1)), width - label - 2 * gap)
+        if fit > 0 and h:
+            y = gap + n * (cell + gap)
+            out[y : y + cell, label : label + fit] = resize(image, cell, fit)
+    return out
+
+
+def uncovered_box(width: int, height: int, regions: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int] | None:
+    """Bounding box (x1, y1 exclusive) of what regions (edges included) leave uncovered; None if nothing is left."""
+    free = np.ones((height, width), bool)
+    for x0, y0, x1, y1 in regions:
+        free[max(0, y0) : y1 + 1, max(0, x0) : x1 + 1] = False
+    ys, xs = np.flatnonzero(free.any(axis=1)), np.flatnonzero(free.any(axis=0))
+    return (int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1) if len(ys) else None
+
+
 def gray(inverse: bool = False) -> Step:
     """One channel of BGR weights in front; inverse: its distance from 1."""
 
@@ -153,6 +226,7 @@ def expand_rectangle(w: float, h: float, ratio: float = 1.5) -> float:
 STEPS: dict[str, Callable[..., Step]] = {
     "standardize": standardize, "normalize": normalize, "to_chw": to_chw, "pad": pad, "pad_stride": pad_stride, "resize": resize_to,
     "resize_limited": resize_limited, "linear_resize": linear_resize, "gray": gray, "letterbox": letterbox,
+    "resize_long_side": resize_long_side, "resize_on_canvas": resize_on_canvas, "permute": permute, "crop": crop,
 }
 
 

@@ -50,3 +50,42 @@ def infer(df: DataFrame, factory: Callable[[], Model], outputs: str, batch: int
 def stub_recognizer() -> Model:
     """Deterministic: reads the text that the row carries."""
     return lambda rows: [{"text": r.get("text"), "score": 1.0} for r in rows]
+
+
+def prompt(first: int, size: int) -> str:
+    """Instruction for a model that reads numbered crops."""
+    return (
+        f"The image shows {size} numbered lines of text, {first} to {first + size - 1}. Read each line exactly as written. "
+        f'Answer with one JSON object from number to text, such as {{"{first}": "..."}}, and nothing else.'
+    )
+
+
+def chat_model(url: str, model: str, instruction: str, timeout: float = 120, tokens: int = 4096) -> Callable[[], Model]:
+    """A factory for rows with `text` (and `image`, JPEG bytes) that asks a chat-completion server, one request a row; gives `raw`."""
+
+    def factory() -> Model:
+        import base64
+        import json
+        import urllib.request
+
+        def ask(row: dict) -> dict:
+            content = [{"type": "text", "text": row.get("text") or ""}]
+            if row.get("image"):
+                content.append({"type": "image_url", "image_url": {"url": "data:image/jpeg;base64," + base64.b64encode(row["image"]).decode()}})
+            body = {"model": model, "temperature": 0, "max_tokens": tokens, "messages": [{"role": "system", "content": instruction}, {"role": "user", "content": content}]}
+            call = urllib.request.Request(f"{url}/v1/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(call, timeout=timeout) as reply:
+                return {"raw": json.load(reply)["choices"][0]["message"]["content"]}
+
+        return lambda rows: [ask(r) for r in rows]
+
+    return factory
+
+
+def served_models(url: str, timeout: float = 10) -> list[str]:
+    """Names of the models a server offers; a driver-side check."""
+    import json
+    import urllib.request
+
+    with urllib.request.urlopen(f"{url}/v1/models", timeout=timeout) as reply:
+        return [m["id"] for m in json.load(reply)["data"]]

@@ -115,3 +115,28 @@ def decode_detections(raw: DataFrame, threshold: float, iou: float) -> DataFrame
     x0, y0, x1, y1 = g.from_center(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))
     boxes = boxes.select("image", "cls", "score", "idx", (x0 * F.col("scale_x")).alias("x0"), (y0 * F.col("scale_y")).alias("y0"), (x1 * F.col("scale_x")).alias("x1"), (y1 * F.col("scale_y")).alias("y1"))
     return suppress(boxes, iou, strict=True, keys=("image", "cls"))
+
+
+def most_covered(boxes: DataFrame, regions: DataFrame, page: str = "page") -> DataFrame:
+    """For each box the region of which it covers most, more than nothing; equal cover: the least r_idx."""
+    pairs = overlapping(boxes, regions, page).withColumn("cover", g.overlap_ratio(g.Box.of("r_"), g.Box.of("b_"))).where("cover > 0")
+    return pairs.groupBy(page, "b_idx").agg(F.max_by("r_idx", F.struct("cover", -F.col("r_idx"))).alias("r_idx"))
+
+
+def decode_letterboxed(raw: DataFrame, labels: list[str], threshold: float = 0.08, iou: float = 0.45) -> DataFrame:
+    """Rows (image, idx, x0, y0, x1, y1, score, cls, scale_x, scale_y, pad_x, pad_y) to boxes at the image's
+    scale with their label: padding off, then scaled, then suppression per class."""
+    b = raw.where((F.col("score") > threshold) & (F.col("cls") < len(labels)))
+    b = b.withColumns({c: (F.col(c) - F.col(f"pad_{c[0]}")) * F.col(f"scale_{c[0]}") for c in ("x0", "y0", "x1", "y1")})
+    kept = suppress(b.select("image", "cls", "score", "idx", "x0", "y0", "x1", "y1"), iou, plus=1, keys=("image", "cls"))
+    return kept.withColumn("type", F.lower(F.get(F.array(*[F.lit(x) for x in labels]), F.col("cls"))))
+
+
+def above(df: DataFrame, score: float = 0.5) -> DataFrame:
+    return df.where(F.col("score") >= score)
+
+
+def first_candidates(df: DataFrame, keys: list[str], order: str, most: int = 1000) -> DataFrame:
+    """The first `most` rows of each group."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")

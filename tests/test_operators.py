@@ -185,3 +185,81 @@ def test_image_steps():
     assert images.expand_rectangle(10, 10) == 3.75
     with pytest.raises(KeyError):
         images.chain([{"nothing": {}}])
+
+
+def test_document_end_to_end(spark):
+    from folioframe.plans import documents
+
+    boxes = spark.createDataFrame(
+        [(1, p, x, y, x + 100.04, y + 20.0) for p in (1, 2) for x, y in ((300.0, 12.0), (10.0, 11.0), (10.0, 50.0))] + [(1, 1, 0.0, 0.0, 4.0, 40.0)], "doc_id long, page long, x0 double, y0 double, x1 double, y1 double"
+    )
+    blocks = documents.detected_blocks(boxes)
+    assert [(r.block_no, r.x0) for r in blocks.where("page = 1").orderBy("block_no").collect()] == [(1, 10.0), (2, 300.0), (3, 50.0 - 40.0)]
+
+    def read():
+        return lambda rows: [{"raw": "<think>..</think>" + json.dumps({str(n): f"p{r['page']} line {n}" for n in r["labels"] if n != 2})} for r in rows]
+
+    texts = documents.recognized(blocks, read, size=2).cache()
+    assert sorted((r.page, r.label, r.text, r.x1) for r in texts.collect()) == [(p, n, f"p{p} line {n}", 110.0) for p in (1, 2) for n in (1, 3)]
+    whole = documents.extract_whole(texts.withColumn("block_no", F.col("label")), lambda: lambda rows: [{"raw": json.dumps({"thong_tin_chung": {"ghi_chu": r["text"]}})} for r in rows]).first()
+    assert json.loads(whole.result)["thong_tin_chung"]["ghi_chu"] == "p1 line 1\np1 line 3\np2 line 1\np2 line 3"
+    from folioframe.streaming import stub_extractor
+
+    merged = documents.extract_windows(texts, stub_extractor).first()
+    assert merged.n_pages == 2 and json.loads(merged.result)["danh_sach_doi_tuong"][0]["bi_cao_vn"]["ho_va_ten"] == "p1 line"
+    drawn = documents.drawn(texts.withColumns({"page_w": F.lit(1000), "page_h": F.lit(1000)})).collect()
+    assert len(drawn) == 4 and {r.anchor for r in drawn} == {"left"}
+
+
+def test_tables_from_components(spark):
+    from folioframe.plans import documents
+
+    words = [("t", n, x, y, x + 80.0, y + 20.0, f"{n}", "table", 1) for n, (x, y) in enumerate(((0.0, 0.0), (100.0, 0.0), (0.0, 30.0), (100.0, 30.0)))]
+    cells = spark.createDataFrame(words, "table_id string, b_idx int, b_x0 double, b_y0 double, b_x1 double, b_y1 double, text string, layout_type string, page_number int")
+    parts = [("t", "table row", i, 0.0, 30.0 * i, 200.0, 30.0 * i + 25) for i in (0, 1)] + [("t", "table column", i, 100.0 * i, 0.0, 100.0 * i + 90, 60.0) for i in (0, 1)]
+    parts += [("t", "table column header", 0, 0.0, 0.0, 200.0, 25.0)]
+    components = spark.createDataFrame(parts, "table_id string, label string, r_idx int, r_x0 double, r_y0 double, r_x1 double, r_y1 double")
+    box = spark.createDataFrame([("t", 1, 1, 0.0, 0.0, 200.0, 60.0)], "table_id string, doc_id int, page int, x0 double, y0 double, x1 double, y1 double")
+    assert documents.tables_as_blocks(cells, components, box).first().text == "| 0 | 1 |\n| --- | --- |\n| 2 | 3 |\n"
+
+
+def test_letterboxed_detections(spark):
+    rows = [("i", n, x, 10.0, x + 20, 30.0, s, c, 2.0, 2.0, 5.0, 5.0) for n, (x, s, c) in enumerate(((10.0, 0.9, 0), (11.0, 0.8, 0), (10.0, 0.05, 0), (10.0, 0.7, 1), (10.0, 0.7, 9)))]
+    df = spark.createDataFrame(rows, "image string, idx int, x0 double, y0 double, x1 double, y1 double, score double, cls int, scale_x double, scale_y double, pad_x double, pad_y double")
+    assert sorted((r.type, r.x0, r.y1) for r in layout.decode_letterboxed(df, ["Text", "Title"]).collect()) == [("text", 10.0, 50.0), ("title", 10.0, 50.0)]
+    raw = spark.createDataFrame([("i", 0, 10.0, 10.0, 4.0, 4.0, [0.1, 0.9], 1.0, 2.0), ("i", 1, 10.0, 10.0, 4.0, 4.0, [0.1, 0.2], 1.0, 1.0)], "image string, idx int, cx double, cy double, w double, h double, scores array<double>, scale_x double, scale_y double")
+    assert [(r.cls, r.x0, r.y0) for r in layout.decode_detections(raw, 0.5, 0.2).collect()] == [(1, 8.0, 16.0)]
+
+
+def test_more_image_steps():
+    image = np.arange(40 * 60 * 3, dtype=np.float64).reshape(40, 60, 3)
+    assert images.resize_long_side(100)({"image": image})["image"].shape == (128, 128, 3)
+    out = images.resize_on_canvas(64, 32)({"image": image, "points": np.array([[0, 0, 60, 40]])})
+    assert out["image"].shape == (64, 64, 3) and out["points"].tolist() == [[0, 0, 60, 32]]
+    assert images.uncovered_box(10, 8, [(0, 0, 9, 3), (0, 4, 4, 7)]) == (5, 4, 10, 8) and images.uncovered_box(4, 4, [(0, 0, 9, 9)]) is None
+    assert images.stack_crops([image, image[:, :0]]).shape == (132, 1400, 3)
+    assert images.upright(image[:, :20]).shape == (20, 40, 3)
+    assert images.crop(10, 10, 20, 20)({"image": image})["image"].shape == (18, 18, 3)
+
+
+def test_most_covered(spark):
+    boxes = spark.createDataFrame([(1, 7, 0.0, 0.0, 10.0, 10.0)], "page int, b_idx int, b_x0 double, b_y0 double, b_x1 double, b_y1 double")
+    regions = spark.createDataFrame([(1, 1, 5.0, 0.0, 15.0, 10.0), (1, 2, 0.0, 0.0, 5.0, 5.0), (1, 3, 1.0, 1.0, 2.0, 2.0)], "page int, r_idx int, r_x0 double, r_y0 double, r_x1 double, r_y1 double")
+    assert [(r.b_idx, r.r_idx) for r in layout.most_covered(boxes, regions).collect()] == [(7, 2)]
+
+
+def test_sources(spark, tmp_path):
+    from folioframe.sources import read_files, read_ocr, write_json, write_text
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "a.b.png").write_bytes(b"x")
+    (tmp_path / "in" / "skip.txt").write_text("x")
+    assert [(r.doc_id, bytes(r.content)) for r in read_files(spark, str(tmp_path / "in")).collect()] == [("a.b", b"x")]
+    (tmp_path / "ocr").mkdir()
+    (tmp_path / "ocr" / "doc.json").write_text(json.dumps({"pages": [{"page": 1, "width": 5, "height": 6, "blocks": [{"text": "é", "x0": 1, "y0": 2, "x1": 3, "y1": 4}]}]}, indent=2))
+    blocks = read_ocr(spark, str(tmp_path / "ocr"))
+    assert [(r.doc_id, r.block_no, r.text, r.x1) for r in blocks.collect()] == [("doc", 1, "é", 3.0)]
+    write_json(blocks, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    write_text(pages.document_text(blocks), F.col("text"), str(tmp_path / "text"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "text" / "doc_id=doc")).collect()] == ["é"]
