@@ -12,9 +12,11 @@ so many empty slices that the agreeing one might be empty also enters the tiles
 of its empty slices. Nothing is missed, and a passage shared by many texts brings
 together only texts that agree in a whole slice of the hash range.
 
-Tiles are never expanded into pairs: members are tied to the tile's smallest
-class, tied classes form clusters, and only within a cluster are signatures
-compared, in blocks, each pair skipped once its ends are known to be connected.
+Tiles are never expanded into pairs of rows. Equal tiles count once. Members of a
+tile are compared by their signatures within one task (two blocks of it, if it
+is large), and only a spanning forest of the pairs whose bound reaches the threshold
+leaves it; its components are the clusters. Only within a cluster are texts
+compared exactly, again in blocks, each pair skipped once its ends are known to be connected.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from folioframe.llm.shared import components, cut, few
 
 #: Classes of a cluster that meet in one block; two blocks meet in one task.
 BLOCK = 256
+#: The same for the signatures of a tile's members.
+TILE_BLOCK = 1024
+#: Bits of a signature: a power of two, at least twice the set's size, within these.
+LEAST_BITS, MOST_BITS = 64, 4096
 _U = np.uint64
 
 
@@ -84,128 +90,115 @@ def tile_keys(s: np.ndarray, num: int, den: int, bands: list[tuple[int, int]]) -
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """The set's hashes as bits; the lower half of a longer map or'ed with its upper half is the shorter map."""
+    out = np.zeros(bits // 64, _U)
+    at = (s & _U(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, _U(1) << (at & 63).astype(_U))
+    return out
+
+
+def width_of(n: int, most: int = MOST_BITS) -> int:
+    return min(most, max(LEAST_BITS, 1 << (2 * n - 1).bit_length()))
+
+
 def _digest(k: int):
     def run(batches):
         for b in tk.slices(batches, "text"):
-            ids, n = [], []
+            ids, n, maps = [], [], []
             for s in set_arrays(b.column("text"), k):
                 n.append(len(s))
                 ids.append(class_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "cid", "n"])
+                maps.append(bitmap(s, width_of(len(s))).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["id", "cid", "n", "bits"])
 
     return run
 
 
-def _tiles(k: int, num: int, den: int, hold: int = 1 << 20):
-    """(key, a, b): a tile's member a, with b null; or, with key null, classes a and b of one tile.
-
-    Keys met again within a task are tied here and sent on once."""
+def _tiles(k: int, num: int, den: int):
+    """(key, cid) for each tile of each class; exact copies within a task count once."""
     bands = size_bands(1 << 26)
 
-    def emit(keys: list, cids: list):
-        key, cid = np.concatenate(keys), np.concatenate(cids)
-        order = np.lexsort((cid, key))
-        key, cid = key[order], cid[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        lead = cid[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        tie = lead != cid
-        pairs = np.unique(np.stack([lead[tie], cid[tie]]), axis=1) if tie.any() else np.zeros((2, 0), np.int64)
-        n, m = int(first.sum()), pairs.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(key[first].view(np.int64)), pa.nulls(m, pa.int64())]),
-                pa.array(np.concatenate([cid[first], pairs[0]])),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pairs[1])]),
-            ],
-            ["key", "a", "b"],
-        )
-
     def run(batches):
-        keys, cids, held, seen = [], [], 0, set()
+        seen: set[int] = set()
         for b in tk.slices(batches, "text"):
+            keys, cids = [], []
+            if len(seen) > 1 << 18:
+                seen.clear()
             for s in set_arrays(b.column("text"), k):
-                if not len(s):
-                    continue
-                cid = class_id(s)
-                if cid in seen:
+                if not len(s) or (cid := class_id(s)) in seen:
                     continue
                 seen.add(cid)
                 t = tile_keys(s, num, den, bands)
-                if len(t):
-                    keys.append(t)
-                    cids.append(np.full(len(t), cid, np.int64))
-                    held += len(t)
-            if held >= hold:
-                yield from emit(keys, cids)
-                keys, cids, held, seen = [], [], 0, set()
-        if held:
-            yield from emit(keys, cids)
+                keys.append(t)
+                cids.append(np.full(len(t), cid, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([tk.long(np.concatenate(keys)), pa.array(np.concatenate(cids))], ["key", "cid"])
 
     return run
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits // 64), _U)
-    for i, s in enumerate(sets):
-        at = (s & _U(bits - 1)).astype(np.int64)
-        np.bitwise_or.at(out[i], at >> 6, _U(1) << (at & 63).astype(_U))
-    return out
+class Signatures:
+    """Bitmaps of several widths; a pair is compared at the narrower one's."""
 
+    def __init__(self, maps: list[np.ndarray]):
+        width = np.array([len(m) for m in maps])
+        self.width, self.at = width, {}
+        for w in np.unique(width):
+            rows = np.flatnonzero(width >= w)
+            folded = np.zeros((len(maps), w), _U)
+            for r in rows:
+                folded[r] = np.bitwise_or.reduce(maps[r].reshape(-1, w), axis=0)
+            self.at[int(w)] = folded
 
-def linked_edges(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (all, if left is all True, else between left and the others)."""
-    sizes = np.array([len(s) for s in sets])
+    def most_shared(self, i: int, js: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps of i with js, none of which is narrower: a bit that
+        only one map has stands for at least one member that the other set lacks."""
+        maps = self.at[int(self.width[i])]
+        a, b = maps[i], maps[js]
+        return np.minimum(sizes[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), sizes[js] - np.bitwise_count(~a & b).sum(1, dtype=np.int64))
+
+
+def forest(sizes: np.ndarray, left: np.ndarray, maps: list[np.ndarray], num: int, den: int, exact=None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (all, if left is all True, else left with others) whose bound
+    reaches the threshold and, given exact(i, j) -> overlap, whose overlap does."""
     order = np.argsort(sizes, kind="stable")
-    bits = 64
-    while bits < 2 * sizes.max() and bits < 1 << 14:
-        bits *= 2
-    maps = bitmaps([sets[i] for i in order], bits)
     sizes, side, every = sizes[order], left[order], bool(left.all())
+    signs = Signatures([maps[i] for i in order])
     root = np.arange(len(order))
     found = []
-    for i in range(len(order)):
-        to = int(np.searchsorted(sizes, sizes[i] * den // num, side="right"))
-        js = np.arange(i + 1, to)
+    for i in range(len(order) - 1):
+        js = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * den // num, side="right")))
         js = js[(root[js] != root[i]) & (every | (side[js] != side[i]))]
         if not len(js):
             continue
-        # a bit of one map only stands for at least one member that the other set lacks
-        upper = np.minimum(
-            sizes[i] - np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64),
-            sizes[js] - np.bitwise_count(~maps[i] & maps[js]).sum(1, dtype=np.int64),
-        )
-        a = sets[order[i]]
+        upper = signs.most_shared(i, js, sizes)
         for j in js[(den + num) * upper >= num * (sizes[i] + sizes[js])]:
-            if root[j] == root[i]:
-                continue
-            b = sets[order[j]]
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if den * both >= num * (len(a) + len(b) - both):
+            if root[j] != root[i] and (exact is None or (den + num) * exact(order[i], order[j]) >= num * (sizes[i] + sizes[j])):
                 found.append((int(order[i]), int(order[j])))
                 root[root == root[j]] = root[i]
     return found
 
 
-def _verify(k: int, num: int, den: int):
-    """Rows arrive sorted by tile; a tile's texts are two blocks at most."""
+def linked_edges(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    def overlap(i: int, j: int) -> int:
+        a, b = sets[i], sets[j]
+        return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+    sizes = np.array([len(s) for s in sets])
+    return forest(sizes, left, [bitmap(s, width_of(len(s), 1 << 14)) for s in sets], num, den, overlap)
+
+
+def _by_tile(solve):
+    """Rows sorted by tile, all of a tile's to solve(table) -> (a, b) class pairs."""
 
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
-        cid, left = t.column("cid").to_numpy(), t.column("left").to_numpy()
-        _, keep = np.unique(cid, return_index=True)
-        if len(keep) < 2:
-            return None
-        sets = [s for r in tk.slices(t.select(["text"]).take(keep).combine_chunks().to_batches(), "text") for s in set_arrays(r.column("text"), k)]
-        own = np.array([len(s) > 0 and class_id(s) == c for s, c in zip(sets, cid[keep], strict=True)])  # not so if an id has several texts
-        if own.sum() < 2:
-            return None
-        sets, cid, left = [s for s, o in zip(sets, own, strict=True) if o], cid[keep][own], left[keep][own]
-        found = linked_edges(sets, left, num, den)
-        if not found:
+        _, keep = np.unique(t.column("cid").to_numpy(), return_index=True)
+        if len(keep) < 2 or not (found := solve(t.take(keep) if len(keep) < len(t) else t)):
             return None
-        a, b = np.array(found).T
-        return pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], ["a", "b"])
+        a, b = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
         held, name = [], None
@@ -216,17 +209,50 @@ def _verify(k: int, num: int, den: int):
             cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1), len(tile)]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if held and tile[i] != name:
-                    if (out := solve(held)) is not None:
+                    if (out := close(held)) is not None:
                         yield out
                     held = []
                 name = tile[i]
                 held.append(batch.slice(i, j - i))
-        if held and (out := solve(held)) is not None:
+        if held and (out := close(held)) is not None:
             yield out
 
     return run
 
 
+def _bound(num: int, den: int):
+    def solve(t: pa.Table) -> list[tuple[int, int]]:
+        cid = t.column("cid").to_pylist()
+        maps = [np.frombuffer(x, _U) for x in t.column("bits").to_pylist()]
+        return [(cid[i], cid[j]) for i, j in forest(t.column("n").to_numpy(), t.column("left").to_numpy(), maps, num, den)]
+
+    return _by_tile(solve)
+
+
+def _verify(k: int, num: int, den: int):
+    def solve(t: pa.Table) -> list[tuple[int, int]]:
+        cid, left = t.column("cid").to_pylist(), t.column("left").to_pylist()
+        sets = [s for r in tk.slices(t.select(["text"]).combine_chunks().to_batches(), "text") for s in set_arrays(r.column("text"), k)]
+        own = [i for i, s in enumerate(sets) if len(s) and class_id(s) == cid[i]]  # not so if an id has several texts
+        if len(own) < 2:
+            return []
+        found = linked_edges([sets[i] for i in own], np.array([left[i] for i in own]), num, den)
+        return [(cid[own[i]], cid[own[j]]) for i, j in found]
+
+    return _by_tile(solve)
+
+
+def _blocked(df: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows (group, cid, m of the group, ...) dealt to tiles of two blocks of the group: adds tile and left.
+
+    A block meets itself in a tile where all rows are on the left."""
+    blocks = F.ceil(F.col("m") / size)
+    df = df.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return df.withColumn("tile", F.xxhash64(group, low, high)).withColumn("left", F.col("mine") == low).drop("blocks", "mine", "other", "m", group)
+
+
 def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_shingles (set size), class_id and component_id.
 
@@ -240,27 +266,27 @@ def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     shingle set; equal hashes count as equal sets.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digest = cut(base.mapInArrow(_digest(k), "id long, cid long, n long"))
+    digest = cut(base.mapInArrow(_digest(k), "id long, cid long, n long, bits binary"))
     named = digest.where("cid is not null")
     classes = named.groupBy("cid").agg(F.min("id").alias("first_id"))
 
-    tiles = base.select("text").mapInArrow(_tiles(k, num, den), "key long, a long, b long")
-    tiles = tiles.withColumn("key2", F.coalesce("key", F.xxhash64("a", "b")))  # ties made in the task are dealt out evenly
-    tiles = tiles.repartition("key2")
-    lead = F.min("a").over(Window.partitionBy("key2", F.col("b").isNull()))
-    ties = tiles.withColumn("lead", F.coalesce("b", lead)).select("a", F.col("lead").alias("b")).where("a <> b").distinct()
-    clusters = cut(components(ties))
+    tiles = base.select("text").mapInArrow(_tiles(k, num, den), "key long, cid long").repartition("key")
+    whole = Window.partitionBy("key")
+    low, high = F.min("cid").over(whole), F.max("cid").over(whole)
+    mark = F.bit_xor(F.xxhash64("cid")).over(whole)  # with the ends, a name of the tile's members
+    tiles = tiles.select("cid", low.alias("low"), high.alias("high"), mark.alias("mark")).where("low < high")
+    members = cut(tiles.select(F.xxhash64("low", "high", "mark").alias("group"), "cid").distinct())
+    sizes = members.groupBy("group").agg(F.count("*").alias("m"))
+    signs = named.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    signed = _blocked(members.join(signs, "cid").join(sizes, "group"), "group", TILE_BLOCK)
+    near = signed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_bound(num, den), "a long, b long")
+
+    clusters = cut(components(near))
     n_members = clusters.count()
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    members = clusters.join(sizes, "root").select(F.col("node").alias("cid"), F.col("root"), "m")
-    chosen = cut(classes.join(members, "cid").where("first_id is not null").select(F.col("first_id").alias("id"), "cid", "root", "m"))
-    blocks = F.ceil(F.col("m") / BLOCK)
-    mine = F.pmod(F.xxhash64("cid"), blocks)
-    texts = base.join(few(chosen, n_members), "id").withColumn("blocks", blocks).withColumn("mine", mine)
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    # a block meets itself in the tile (mine, mine): there all rows are on the left
-    texts = texts.select(F.xxhash64("root", low, high).alias("tile"), "cid", (F.col("mine") == low).alias("left"), "text")
+    found = clusters.join(sizes, "root").select(F.col("node").alias("cid"), F.col("root"), "m")
+    chosen = cut(classes.join(found, "cid").where("first_id is not null").select(F.col("first_id").alias("id"), "cid", "root", "m"))
+    texts = _blocked(base.join(few(chosen, n_members), "id").drop("id"), "root", BLOCK)
     checked = texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(k, num, den), "a long, b long")
     roots = components(checked)
 

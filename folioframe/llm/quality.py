@@ -30,7 +30,7 @@ ROUNDS = 3
 HANDED = 400
 SURE = 0.99
 #: A word enters the content view if its chi-square against the target is at least this.
-CHI2 = 30.0
+CHI2 = 15.0
 #: Words of the content view for each target, at most.
 VOCABULARY = 400
 #: One labelled row of so many, by a hash, only calibrates.
@@ -237,7 +237,7 @@ def _content_words(seeds: DataFrame) -> dict[str, np.ndarray]:
     count = lambda c: F.sum(c.cast("double"))
     total, *positive = seeds.agg(F.count("*").cast("double"), *(count(marks[t]) for t in TARGETS)).first()
     words = seeds.select(F.explode("words").alias("word"), *(marks[t].alias(t) for t in TARGETS))
-    words = cut(words.groupBy("word").agg(F.count("*").cast("double").alias("n"), *(count(F.col(t)).alias(t) for t in TARGETS)).where("n >= 4"))
+    words = cut(words.groupBy("word").agg(F.count("*").cast("double").alias("n"), *(count(F.col(t)).alias(t) for t in TARGETS)).where("n >= 3"))
     picks = {}
     for t, pos in zip(TARGETS, positive, strict=True):
         a = F.col(t)  # positive rows with the word, then other rows with it, positive ones without, others without

@@ -285,6 +285,7 @@ def test_linked_sets_share_a_tile(n, gone, more, rng):
 
 def test_blocks_of_a_large_cluster_are_all_compared(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "TILE_BLOCK", 4)
     rng = random.Random(9)
     base = vocabulary_text(rng, 80, 3000)
     rows = [(i, edited(rng, base, rng.randrange(3))) for i in range(40)]
