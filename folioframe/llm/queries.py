@@ -103,7 +103,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("kept", ~F.col("rejected"))
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
