@@ -118,10 +118,33 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
 
 
+OP8_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+s AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, least, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g JOIN s USING (h))
+SELECT doc_id, min(i)::INT AS start_word, (max(i) + 50)::INT AS end_word, (max(i) + 50 - min(i))::INT AS n_words, min(least) AS least_id
+FROM c GROUP BY doc_id, island
+"""
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
@@ -143,4 +166,6 @@ ORACLES: dict[str, str] = {
     "op1_secret_scans": _op1_sql(),
     "op3_benchmark_decontamination": OP3_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
+    "op8_suffix_array_dedup": OP8_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
 }
