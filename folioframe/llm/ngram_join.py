@@ -6,11 +6,11 @@ from above, then exact sorted-array intersection.
 Texts with the same shingle set form a class, named by a hash of the set. A tile
 is (size band, slice of the hash range, hash of the set's members in that slice).
 A band's larger sets have at most U members, so linked sets differ in at most
-D = 2U(1-t)/(1+t) members; the band cuts the hash range into D+1 or more slices,
-so linked sets agree in at least one whole slice and meet in its tile. A set with
-so many empty slices that the agreeing one might be empty also enters the tiles
-of its empty slices. Nothing is missed, and a passage shared by many texts brings
-together only texts that agree in a whole slice of the hash range.
+D = 2U(1-t)/(1+t) members; the band cuts the hash range into D+2 or more slices
+(D+1 for small sets), so linked sets agree in at least two (one) whole slices and
+meet in their tiles. A set with so many empty slices that the agreeing ones might
+be empty also enters the tiles of its empty slices. Nothing is missed, and texts
+that share a passage seldom meet twice.
 
 Tiles are never expanded into pairs of rows. Equal tiles count once. Members of a
 tile are compared by their signatures within one task (two blocks of it, if it
@@ -51,10 +51,16 @@ def size_bands(top: int, ratio: float = 1.5) -> list[tuple[int, int]]:
     return bands
 
 
-def _slices_of(high: int, num: int, den: int) -> tuple[int, int]:
-    """(most differing members D, slices K) of linked sets whose larger has `high` members."""
-    most = 2 * high * (den - num) // (den + num)
-    return most, most + 1 + (most > 1) * (1 + most // 40)
+def _most_apart(n: int, m: int, num: int, den: int) -> int:
+    """Members in which linked sets of n and m members differ at most."""
+    return (n + m) * (den - num) // (den + num)
+
+
+def _slices_of(high: int, num: int, den: int) -> tuple[int, int, int]:
+    """(D, agree, K): linked sets of up to `high` members differ in D at most, so of K slices they agree in `agree` or
+    more, some to spare for empty ones. Small sets have no slices to spare."""
+    most = _most_apart(high, high, num, den)
+    return (most, 2, most + 4 + most // 25) if most >= 4 else (most, 1, most + 1)
 
 
 def set_arrays(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -69,25 +75,28 @@ def class_id(s: np.ndarray) -> int:
     return int(tk.mix(tk.mix(s).sum(dtype=_U, keepdims=True) * _U(3) + _U(len(s))).view(np.int64)[0])
 
 
-def tile_keys(s: np.ndarray, num: int, den: int, bands: list[tuple[int, int]]) -> np.ndarray:
-    n, out = len(s), []
+def tile_keys(s: np.ndarray, num: int, den: int, bands: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, agree): the tiles of a set, and in how many tiles a pair of that band must meet."""
+    n, out, agree = len(s), [], []
     mixed = np.concatenate([np.zeros(1, _U), np.cumsum(tk.mix(s + _U(0x5851F42D4C957F2D)), dtype=_U)])
     own = bisect_right(bands, (n, n + (1 << 40))) - 1
     for low, high in bands[own:]:
         if n * den < num * low:  # too small for any larger member of this band
             break
-        most, k = _slices_of(high, num, den)
+        most, meet, k = _slices_of(high, num, den)
         if not most:
             continue  # only equal sets link
-        width = _U((2**64 - 1) // k + 1) if k > 1 else _U(0)
-        edges = np.searchsorted(s, np.arange(1, k, dtype=_U) * width) if k > 1 else np.zeros(0, np.int64)
-        edges = np.concatenate([[0], edges, [n]])
+        width = _U((2**64 - 1) // k + 1)
+        edges = np.concatenate([[0], np.searchsorted(s, np.arange(1, k, dtype=_U) * width), [n]])
         full = np.diff(edges) > 0
-        keep = full if full.sum() > most else np.ones(k, bool)
+        # with this many filled slices, `meet` of them agree with any partner's
+        enough = _most_apart(n, min(high, n * den // num), num, den) + meet
+        keep = full if full.sum() >= enough else np.ones(k, bool)
         part = (mixed[edges[1:]] - mixed[edges[:-1]])[keep]
         where = np.flatnonzero(keep).astype(_U) + _U(high) * _U(0x100000001B3)
         out.append(tk.mix(part + tk.mix(where)))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        agree.append(np.full(len(part), meet, np.int8))
+    return (np.concatenate(out), np.concatenate(agree)) if out else (np.zeros(0, _U), np.zeros(0, np.int8))
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -116,24 +125,25 @@ def _digest(k: int):
 
 
 def _tiles(k: int, num: int, den: int):
-    """(key, cid) for each tile of each class; exact copies within a task count once."""
+    """(key, cid, agree) for each tile of each class; exact copies within a task count once."""
     bands = size_bands(1 << 26)
 
     def run(batches):
         seen: set[int] = set()
         for b in tk.slices(batches, "text"):
-            keys, cids = [], []
+            keys, cids, agree = [], [], []
             if len(seen) > 1 << 18:
                 seen.clear()
             for s in set_arrays(b.column("text"), k):
                 if not len(s) or (cid := class_id(s)) in seen:
                     continue
                 seen.add(cid)
-                t = tile_keys(s, num, den, bands)
+                t, meet = tile_keys(s, num, den, bands)
                 keys.append(t)
+                agree.append(meet)
                 cids.append(np.full(len(t), cid, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([tk.long(np.concatenate(keys)), pa.array(np.concatenate(cids))], ["key", "cid"])
+                yield pa.RecordBatch.from_arrays([tk.long(np.concatenate(keys)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(agree))], ["key", "cid", "agree"])
 
     return run
 
@@ -270,12 +280,18 @@ def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     named = digest.where("cid is not null")
     classes = named.groupBy("cid").agg(F.min("id").alias("first_id"))
 
-    tiles = base.select("text").mapInArrow(_tiles(k, num, den), "key long, cid long").repartition("key")
-    whole = Window.partitionBy("key")
-    low, high = F.min("cid").over(whole), F.max("cid").over(whole)
+    tiles = base.select("text").mapInArrow(_tiles(k, num, den), "key long, cid long, agree byte").repartition("key")
+    in_key = Window.partitionBy("key").orderBy("cid")
+    whole = in_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tiles = tiles.withColumns({"low": F.first("cid").over(whole), "high": F.last("cid").over(whole), "place": F.row_number().over(in_key)})
     mark = F.bit_xor(F.xxhash64("cid")).over(whole)  # with the ends, a name of the tile's members
-    tiles = tiles.select("cid", low.alias("low"), high.alias("high"), mark.alias("mark")).where("low < high")
-    members = cut(tiles.select(F.xxhash64("low", "high", "mark").alias("group"), "cid").distinct())
+    more = F.max((F.col("cid") > F.col("low")) & (F.col("cid") < F.col("high"))).over(whole)
+    tiles = tiles.withColumns({"mark": mark, "more": more}).where("low < high")
+    # two classes that meet alone must do so in `agree` tiles, unless they also meet in a tile of more
+    pairs = tiles.where("not more and place = 1").groupBy("low", "high").agg(F.count("*").alias("met"), F.min("agree").alias("agree")).where("met >= agree")
+    pairs = pairs.select(F.xxhash64("low", "high").alias("group"), F.explode(F.array("low", "high")).alias("cid"))
+    crowds = tiles.where("more").select(F.xxhash64("low", "high", "mark").alias("group"), "cid").distinct()
+    members = cut(pairs.unionByName(crowds))
     sizes = members.groupBy("group").agg(F.count("*").alias("m"))
     signs = named.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     signed = _blocked(members.join(signs, "cid").join(sizes, "group"), "group", TILE_BLOCK)
