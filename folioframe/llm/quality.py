@@ -32,7 +32,7 @@ SURE = 0.99
 #: A word enters the content view if its chi-square against the target is at least this.
 CHI2 = 15.0
 #: Words of the content view for each target, at most.
-VOCABULARY = 400
+VOCABULARY = 120
 #: One labelled row of so many, by a hash, only calibrates.
 ASIDE = 4
 TARGETS = ("bad", "toxic")
@@ -117,13 +117,16 @@ def _features(batches):
 
 def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the intercept and is not shrunk."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
     shrink[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + shrink * w
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink)
+        h = np.diag(shrink)
+        for a in range(0, len(x), 1000):  # by parts, to keep the driver small
+            part = x[a : a + 1000].astype(float)
+            h += (part * (p * (1 - p) + 1e-9)[a : a + 1000, None]).T @ part
         step = np.linalg.solve(h, g)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
