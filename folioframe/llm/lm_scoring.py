@@ -8,9 +8,11 @@ come from all training texts. The trained tree is then fixed: scoring a text
 multiplies its mixtures' predictions. A context that training never saw is left
 to the deepest one seen.
 
-The tree is built from at most MAX_GRAMS distinct grams of DEPTH + 1 bytes, those with
-most counts (a model size, which also bounds what is broadcast); the counts themselves are taken over
-all training texts.
+The tree holds every gram of DEPTH + 1 bytes. It is built where the grams lie: all that share a
+context of LOCAL bytes meet in one task, which weights their contexts of LOCAL and more bytes; the shorter contexts,
+at most 256 ** LOCAL binary nodes, are weighted on the driver from the tasks' sums. A second
+pass gives each gram of the texts its log probability. The HEAD_GRAMS most
+frequent grams are looked up in each task, all others meet theirs in a shuffled join, as the base's words do.
 
 The base is an add-0.1 unigram model over all training tokens. Its HEAD most
 frequent words are looked up in each task; all others, each at most a share 1/HEAD of the tokens,
@@ -23,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,12 @@ from folioframe.llm.shared import cut
 
 DEPTH = 5
 HEAD = 1 << 18
-#: Grams of the tree: 12 bytes each, and 16 for each of its binary nodes.
-MAX_GRAMS = 1 << 20
+#: Grams that are looked up in each task, at most: 16 bytes each. The others are joined.
+HEAD_GRAMS = 1 << 20
+#: Contexts of so many bytes, and all that are longer, are weighted in tasks.
+LOCAL = 3
+#: Grams of such contexts that are weighted at once; those of a single context always are.
+CHUNK = 1 << 18
 #: The end token's place among the word hashes.
 END = 1
 
@@ -64,7 +71,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count(batches):
-    """(kind, key, n): word counts (kind 0) and byte-gram counts (kind 1), summed within the task."""
+    """(kind, key, n): word counts (kind 0) and byte-gram counts (kind 1), summed within the task; texts held out only name their grams, with 0."""
     held: list[list] = [[], []]
 
     def batch(kind: int) -> pa.RecordBatch:
@@ -73,11 +80,17 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), tk.long(key.astype(np.uint64)), pa.array(n)], ["kind", "key", "n"])
 
     for b in tk.slices(batches, "text"):
-        w = tk.words(b.column("text"))
-        for kind, x in ((0, w.hashes), (1, byte_grams(w.data, w.text_bounds)[0])):
-            key, n = np.unique(x, return_counts=True)
-            held[kind].append((key, n.astype(np.int64)))
-        held[0].append((np.array([END], np.uint64), np.array([b.num_rows], np.int64)))
+        out = b.column("out")
+        for part, times in ((b.filter(pc.invert(out)), 1), (b.filter(out), 0)):
+            if not part.num_rows:
+                continue
+            w = tk.words(part.column("text"))
+            for kind, x in ((0, w.hashes), (1, byte_grams(w.data, w.text_bounds)[0])):
+                if kind or times:
+                    key, n = np.unique(x, return_counts=True)
+                    held[kind].append((key, n.astype(np.int64) * times))
+            if times:
+                held[0].append((np.array([END], np.uint64), np.array([part.num_rows], np.int64)))
         for kind in (0, 1):
             if sum(len(k) for k, _ in held[kind]) > 1 << 20:
                 held[kind] = [_merged(held[kind])]
@@ -93,86 +106,175 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in values])[at]
 
 
-class Tree:
-    """The trained tree; log_probability gives that (natural) of a gram's last byte after its other bytes.
-
-    nodes[level][depth]: the binary nodes (context, then a 1 and the byte's first
-    `level` bits; sorted), their estimate of a one, and the weight of that estimate
-    against the longer contexts'. One level is built at a time: it needs no other."""
+def _level(by_depth: list[tuple[np.ndarray, np.ndarray]], level: int, depths: range, longer=None):
+    """(nodes, longer): the binary nodes of one bit level (context, then a 1 and the byte's first `level` bits; sorted) at each
+    of the depths, shortest first, with their estimate of a one and its weight against the longer contexts';
+    and the nodes' weighted log probabilities, under the names they have one byte shorter. `longer` is that of the depth beyond."""
+    out = []
+    for d in reversed(depths):
+        key, n = by_depth[d]
+        node, bit = (key >> 8 << 8) | (1 << level) | ((key & 255) >> (8 - level)), (key >> (7 - level)) & 1
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))  # sorted, as the keys are
+        own, n0, n1 = node[first], np.add.reduceat(n * (1 - bit), first), np.add.reduceat(n * bit, first)
+        total = kt = _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - 2 * math.lgamma(0.5)
+        weight = np.ones(len(own))
+        if longer is not None:
+            total = np.logaddexp(kt, np.bincount(np.searchsorted(own, longer[0]), longer[1], len(own))) + math.log(0.5)
+            weight = np.exp(math.log(0.5) + kt - total)
+        out.append((own, (n1 + 0.5) / (n0 + n1 + 1), weight))
+        longer = (_shorter(own, d - 1), total)
+    return out[::-1], longer
+
+
+def _shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """A node or gram with the last `depth` bytes of its context alone."""
+    return ((key >> 8) & ((1 << (8 * max(depth, 0))) - 1)) << 8 | (key & 255)
+
+
+def _descend(nodes: list, start: int, level: int, gram: np.ndarray, state: tuple) -> None:
+    """Mix the depths from `start` on into state (spent, rest, one); `rest` is the weight not yet settled, and goes to the deepest node seen."""
+    spent, rest, one = state
+    at_level = (1 << level) | ((gram & 255) >> (8 - level))
+    for d, (own, p1, weight) in enumerate(nodes, start):
+        want = _shorter(gram, d) >> 8 << 8 | at_level
+        at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+        live = np.flatnonzero(own[at] == want)
+        if not len(live):
+            break  # nor is any longer context seen
+        at = at[live]
+        one[live] = spent[live] + rest[live] * p1[at]
+        spent[live] += rest[live] * weight[at] * p1[at]
+        rest[live] *= 1 - weight[at]
+
+
+class Branch:
+    """All contexts of LOCAL and more bytes of the given grams (distinct, with counts; those of count 0 are not of the tree)."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        by_depth = [_merged([(grams & ((1 << (8 * d + 8)) - 1), counts)]) for d in range(DEPTH + 1)]
-        self.nodes = [self._level(by_depth, level) for level in range(8)]
-        self.grams = by_depth[DEPTH][0]
-        step = 1 << 16
-        self.logs = np.concatenate([self.walk(self.grams[a : a + step]).astype(np.float32) for a in range(0, len(self.grams), step)])
-
-    @staticmethod
-    def _level(by_depth: list[tuple[np.ndarray, np.ndarray]], level: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        out, below = [], None
-        for d in range(DEPTH, -1, -1):
-            key, n = by_depth[d]
-            node, bit = (key >> 8 << 8) | (1 << level) | ((key & 255) >> (8 - level)), (key >> (7 - level)) & 1
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))  # sorted, as the keys are
-            own, n0, n1 = node[first], np.add.reduceat(n * (1 - bit), first), np.add.reduceat(n * bit, first)
-            total = kt = _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - 2 * math.lgamma(0.5)
-            if below is not None:
-                longer, value = below
-                up = ((longer >> 8) & ((1 << (8 * d)) - 1)) << 8 | (longer & 255)  # without the farthest byte
-                total = np.logaddexp(kt, np.bincount(np.searchsorted(own, up), value, len(own))) + math.log(0.5)
-            weight = np.ones(len(own)) if below is None else np.exp(math.log(0.5) + kt - total)
-            out.append((own, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), weight.astype(np.float32)))
-            below = (own, total)
-        return out[::-1]
-
-    def walk(self, gram: np.ndarray) -> np.ndarray:
-        """Mix the depths from the shallowest on; `rest` is the weight not yet settled, and goes to the deepest node seen."""
+        seen = counts > 0
+        key, n = grams[seen], counts[seen]
+        self.by_depth = [_merged([(_shorter(key, d), n)]) if len(key) and d >= LOCAL - 1 else None for d in range(DEPTH + 1)]
+        self.empty = not len(key)
+
+    def level(self, level: int):
+        return _level(self.by_depth, level, range(LOCAL, DEPTH + 1))
+
+    def sums(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The counts of the grams of LOCAL bytes, and for each node of LOCAL - 1 bytes the sum of its longer contexts' log probabilities."""
+        return self.by_depth[LOCAL - 1], _merged([self.level(level)[1] for level in range(8)])
+
+
+class Top:
+    """The contexts of less than LOCAL bytes, from the sums of all branches."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, nodes: np.ndarray, values: np.ndarray):
+        by_depth = [_merged([(_shorter(grams, d), counts)]) for d in range(LOCAL)]
+        name = nodes & 255
+        self.nodes = []
+        for level in range(8):
+            mine = (name >> level) == 1
+            self.nodes.append(_level(by_depth, level, range(LOCAL), (nodes[mine], values[mine]))[0])
+
+    def log_probability(self, gram: np.ndarray, branch: Branch) -> np.ndarray:
+        """Natural log of the probability of each gram's last byte after its other bytes; the branch must hold all that share its context."""
         out = np.zeros(len(gram))
+        short, back = np.unique(_shorter(gram, LOCAL - 1), return_inverse=True)
         for level in range(8):
-            node, bit = (1 << level) | ((gram & 255) >> (8 - level)), (gram >> (7 - level)) & 1
-            spent, rest, one = np.zeros(len(gram)), np.ones(len(gram)), np.full(len(gram), 0.5)
-            for d, (own, p1, weight) in enumerate(self.nodes[level]):
-                want = ((gram >> 8) & ((1 << (8 * d)) - 1)) << 8 | node
-                at = np.minimum(np.searchsorted(own, want), len(own) - 1)
-                live = np.flatnonzero(own[at] == want)
-                if not len(live):
-                    break  # nor is any longer context seen
-                at = at[live]
-                one[live] = spent[live] + rest[live] * p1[at]
-                spent[live] += rest[live] * weight[at] * p1[at]
-                rest[live] *= 1 - weight[at]
-            one = np.clip(one, 1e-12, 1 - 1e-12)
-            out += np.log(np.where(bit == 1, one, 1 - one))
+            state = (np.zeros(len(short)), np.ones(len(short)), np.full(len(short), 0.5))
+            _descend(self.nodes[level], 0, level, short, state)
+            state = tuple(x[back] for x in state)
+            if not branch.empty:
+                _descend(branch.level(level)[0], LOCAL, level, gram, state)
+            one = np.clip(state[2], 1e-12, 1 - 1e-12)
+            out += np.log(np.where((gram >> (7 - level)) & 1 == 1, one, 1 - one))
         return out
 
+
+class Tree:
+    """The whole tree in one place; log_probability gives that (natural) of a gram's last byte after its other bytes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.branch = Branch(grams, counts)
+        short, nodes = self.branch.sums()
+        self.top = Top(*short, *nodes)
+
     def log_probability(self, gram: np.ndarray) -> np.ndarray:
-        each, back = np.unique(gram, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.grams, each), len(self.grams) - 1)
-        out = self.logs[at].astype(np.float64)
-        new = np.flatnonzero(self.grams[at] != each)
-        out[new] = self.walk(each[new])
-        return out[back]
+        return self.top.log_probability(gram, self.branch)
+
+
+def _chunks(batches):
+    """The task's grams and counts, about CHUNK at once, those of a context of LOCAL bytes together."""
+    held = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    context = _shorter(key, LOCAL) >> 8
+    order = np.lexsort((key, context))
+    key, n, context = key[order], n[order], context[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])), len(key))
+    at = 0
+    while at < len(key):
+        to = int(edges[max(np.searchsorted(edges, at + CHUNK, side="right") - 1, np.searchsorted(edges, at, side="right"))])
+        yield key[at:to], n[at:to]
+        at = to
+
+
+def _sums(batches):
+    """(kind, key, n, value): counts of short grams (kind 0) and sums for the nodes above the branches (kind 1), of each task."""
+    held: tuple[list, list] = ([], [])
+    for key, n in _chunks(batches):
+        branch = Branch(key, n)
+        if not branch.empty:
+            for kind, x in enumerate(branch.sums()):
+                held[kind].append(x)
+                held[kind][:] = [_merged(held[kind])]
+    for kind in (0, 1):
+        if held[kind]:
+            key, x = held[kind][0]
+            n, value = (x, np.zeros(len(key))) if kind == 0 else (np.zeros(len(key), np.int64), x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n), pa.array(value)], ["kind", "key", "n", "value"])
+
+
+def _logs(top):
+    """(key, n, v): the natural log probability of each gram."""
+
+    def run(batches):
+        for key, n in _chunks(batches):
+            v = top.value.log_probability(key, Branch(key, n))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(v)], ["key", "n", "v"])
+
+    return run
 
 
-def _score(tree, head_key: np.ndarray, head_n: np.ndarray):
-    """Per text: tokens, known tokens and base log sum over the head, natural log probability, bytes."""
-    shared = tree
+def _found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in the sorted table, and whether it is."""
+    if not len(table):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return at, table[at] == key
+
+
+def _score(grams, head_key: np.ndarray, head_n: np.ndarray):
+    """Per text: tokens, known tokens and base log sum over the head, natural log probability over the frequent grams, bytes."""
 
     def run(batches):
-        tree = shared.value if shared is not None else None
         logs = np.log10(head_n + 0.1)
         for b in tk.slices(batches, "text"):
             w = tk.words(b.column("text"))
             doc = np.repeat(np.arange(b.num_rows), np.diff(w.bounds))
-            at = np.minimum(np.searchsorted(head_key, w.hashes), max(0, len(head_key) - 1))
-            hit = head_key[at] == w.hashes if len(head_key) else np.zeros(len(w.hashes), bool)
+            at, hit = _found(head_key, w.hashes)
             known = np.bincount(doc[hit], minlength=b.num_rows)
-            base = np.bincount(doc[hit], logs[at[hit]], b.num_rows)
+            base = np.bincount(doc[hit], logs[at[hit]] if len(logs) else None, b.num_rows)
             gram, bounds = byte_grams(w.data, w.text_bounds)
-            if tree is None:
+            if grams is None:
                 score = np.diff(bounds) * math.log(1 / 256)
             else:
-                score = np.add.reduceat(tree.log_probability(gram), bounds[:-1])
+                frequent, v = grams.value
+                each, back = np.unique(gram, return_inverse=True)
+                at, hit = _found(frequent, each)
+                own = np.zeros(len(each))
+                own[hit] = v[at[hit]]
+                score = np.add.reduceat(own[back], bounds[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id"),
@@ -180,7 +282,7 @@ def _score(tree, head_key: np.ndarray, head_n: np.ndarray):
                     pa.array((np.diff(w.bounds) + 1).astype(np.int64)),
                     pa.array(known.astype(np.int64)),
                     pa.array(base.astype(np.float64)),
-                    pa.array(score / math.log(10)),
+                    pa.array(score),
                     pa.array(np.diff(w.text_bounds).astype(np.int64)),
                 ],
                 ["id", "key", "n_tokens", "known", "base", "score", "n_bytes"],
@@ -189,25 +291,57 @@ def _score(tree, head_key: np.ndarray, head_n: np.ndarray):
     return run
 
 
-def _tail(head_key: np.ndarray):
-    """(word, key, n): the words of each text that are not in the head; and one row with a null word for each text."""
+def _tail(grams, head_key: np.ndarray):
+    """(kind, word, key, n): the words (kind 0) and grams (kind 1) of each text that the tasks cannot look up."""
 
     def run(batches):
         for b in tk.slices(batches, "text"):
             w = tk.words(b.column("text"))
             keys = b.column("key").to_numpy()
-            at = np.minimum(np.searchsorted(head_key, w.hashes), max(0, len(head_key) - 1))
-            miss = head_key[at] != w.hashes if len(head_key) else np.ones(len(w.hashes), bool)
-            doc, word = np.repeat(np.arange(b.num_rows), np.diff(w.bounds))[miss], w.hashes[miss]
-            order = np.lexsort((word, doc))
-            doc, word = doc[order], word[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(doc)))
-            yield pa.RecordBatch.from_arrays([tk.long(word[first]), pa.array(keys[doc[first]]), pa.array(n.astype(np.int32))], ["word", "key", "n"])
+            miss = ~_found(head_key, w.hashes)[1]
+            found = [(0, np.repeat(np.arange(b.num_rows), np.diff(w.bounds))[miss], w.hashes[miss].view(np.int64))]
+            if grams is not None:
+                gram, bounds = byte_grams(w.data, w.text_bounds)
+                each, back = np.unique(gram, return_inverse=True)
+                miss = np.flatnonzero(~_found(grams.value[0], each)[1][back])
+                found.append((1, np.searchsorted(bounds, miss, side="right") - 1, gram[miss]))
+            for kind, doc, word in found:
+                order = np.lexsort((word, doc))
+                doc, word = doc[order], word[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(doc)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), kind, np.int8)), pa.array(word[first]), pa.array(keys[doc[first]]), pa.array(n.astype(np.int32))], ["kind", "word", "key", "n"]
+                )
 
     return run
 
 
+def _gram_logs(grams: DataFrame) -> DataFrame | None:
+    """(key, n, v): the log probability of every gram of grams(key, n), n its training count; None without training."""
+    dealt = grams.repartition(F.expr(f"shiftright(key, 8) & {(1 << (8 * LOCAL)) - 1}"))
+    sums = cut(dealt.mapInArrow(_sums, "kind byte, key long, n long, value double").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("value").alias("value")))
+    short = sums.where("kind = 0").orderBy("key").toArrow()
+    if not short.num_rows:
+        return None
+    nodes = sums.where("kind = 1").orderBy("key").toArrow()
+    column = lambda t, c: t.column(c).to_numpy()
+    top = grams.sparkSession.sparkContext.broadcast(Top(column(short, "key"), column(short, "n"), column(nodes, "key"), column(nodes, "value")))
+    return cut(dealt.mapInArrow(_logs(top), "key long, n long, v double"))
+
+
+def _frequent(logs: DataFrame) -> Column:
+    """A condition that at most HEAD_GRAMS of the grams meet: a count from some sixteenth of a power of two on."""
+    step = F.floor(F.log2(F.col("n") + 1) * 16)
+    least, left = None, HEAD_GRAMS
+    for r in logs.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    return F.lit(False) if least is None else step >= least
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens (its end included), n_known,
     train_tokens, base_score, score (the model's log10 probability of the lower-cased bytes
@@ -222,7 +356,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("key", F.xxhash64("id", "text"))
-    counted = base.where(~held_out(F.col("id"))).select("text").mapInArrow(_count, "kind byte, key long, n long")
+    counted = base.select("text", held_out(F.col("id")).alias("out")).mapInArrow(_count, "kind byte, key long, n long")
     counted = cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -231,23 +365,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = np.argsort(head.column("word").to_numpy().view(np.uint64))
     head_key, head_n = head.column("word").to_numpy().view(np.uint64)[order], head.column("c").to_numpy()[order]
     least = int(head_n.min()) if len(head_n) else 0
-    grams = counted.where("kind = 1").orderBy(F.desc("n"), "key").limit(MAX_GRAMS).toArrow()
-    model = None
-    if grams.num_rows:
-        model = spark.sparkContext.broadcast(Tree(grams.column("key").to_numpy(), grams.column("n").to_numpy()))
-
-    scored = base.mapInArrow(_score(model, head_key, head_n), f"id {kind}, key long, n_tokens long, known long, base double, score double, n_bytes long")
-    tail = base.mapInArrow(_tail(head_key), "word long, key long, n int")
+    logs, grams = _gram_logs(counted.where("kind = 1").select("key", "n")), None
     # what the head's least count leaves out; equal counts may lie on both sides
-    rest = words.where((F.col("c") <= least) & (F.col("word") != END))
-    tail = tail.join(rest, "word", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("logs")
+    rest = words.where((F.col("c") <= least) & (F.col("word") != END)).select(F.lit(0).cast("byte").alias("kind"), "word", F.log10(F.col("c") + 0.1).alias("v"))
+    if logs is not None:
+        frequent = _frequent(logs)
+        t = logs.where(frequent).select("key", "v").toArrow()
+        order = np.argsort(t.column("key").to_numpy())
+        grams = spark.sparkContext.broadcast((t.column("key").to_numpy()[order], t.column("v").to_numpy()[order]))
+        rest = rest.unionByName(logs.where(~frequent).select(F.lit(1).cast("byte").alias("kind"), F.col("key").alias("word"), "v"))
+
+    scored = base.mapInArrow(_score(grams, head_key, head_n), f"id {kind}, key long, n_tokens long, known long, base double, score double, n_bytes long")
+    tail = base.mapInArrow(_tail(grams, head_key), "kind byte, word long, key long, n int")
+    word = F.col("kind") == 0
+    tail = tail.join(rest, ["kind", "word"], "left").groupBy("key").agg(
+        F.sum(F.when(word & F.col("v").isNotNull(), F.col("n"))).alias("more"),
+        F.sum(F.when(word, F.col("n") * F.coalesce("v", F.lit(-1.0)))).alias("logs"),
+        F.sum(F.when(~word, F.col("n") * F.col("v"))).alias("rest"),
     )
     # rows of equal id and text share a key, and so their sums
     times = base.groupBy("key").agg(F.count("*").alias("times"))
-    tail = tail.join(times, "key").select("key", (F.coalesce("more", F.lit(0)) / F.col("times")).cast("long").alias("more"), (F.col("logs") / F.col("times")).alias("logs"))
-    out = scored.join(tail, "key", "left")
-    share = math.log10(total + 0.1 * (distinct + 1))
+    share = lambda c: F.coalesce(c, F.lit(0.0)) / F.col("times")
+    tail = tail.join(times, "key").select("key", share("more").cast("long").alias("more"), share("logs").alias("logs"), share("rest").alias("rest"))
+    out = scored.join(tail, "key", "left").withColumn("score", (F.col("score") + F.coalesce("rest", F.lit(0.0))) / F.lit(math.log(10)))
+    each = math.log10(total + 0.1 * (distinct + 1))
     end_log = math.log10(ends + 0.1)
     return out.select(
         F.col("id").alias(id_col),
@@ -255,7 +396,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(share)).alias("base_score"),
+        (F.col("base") + F.coalesce("logs", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
         "score",
         F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -623,3 +623,20 @@ def test_tree_weights_against_brute_force():
             want += weighted(b"", node, (ctx, (sym >> (7 - level)) & 1)) - weighted(b"", node, None)
         got = tree.log_probability(np.array([(int.from_bytes(ctx, "big") << 8) | sym]))[0]
         assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_scores_come_from_all_grams(spark, corpus, monkeypatch):
+    """However few grams the tasks look up, the scores are those of the tree of all training grams."""
+    for bound in ("MAX_GRAMS", "HEAD_GRAMS"):
+        monkeypatch.setattr(lm_scoring, bound, 50, raising=False)
+    monkeypatch.setattr(lm_scoring, "CHUNK", 64, raising=False)
+    rows = corpus[:40] + corpus[-12:] + [corpus[1], corpus[1]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    raw = [(t or "").translate(LOWER).encode() for _, t in rows]
+    grams = [lm_scoring.byte_grams(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in raw]
+    tree = lm_scoring.Tree(*np.unique(np.concatenate([g for g, (i, _) in zip(grams, rows, strict=True) if not held(i)]), return_counts=True))
+    assert any(held(i) for i, _ in rows)
+    want = sorted((i, tree.log_probability(g).sum() / math.log(10)) for g, (i, _) in zip(grams, rows, strict=True))
+    got = sorted((r.doc_id, r.score) for r in lm_scoring.score_texts(frame(spark, rows)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
