@@ -31,8 +31,6 @@ HANDED = 400
 SURE = 0.99
 #: A word enters the content view if its chi-square against the target is at least this.
 CHI2 = 15.0
-#: Words of the content view for each target, at most.
-VOCABULARY = 120
 #: One labelled row of so many, by a hash, only calibrates.
 ASIDE = 4
 TARGETS = ("bad", "toxic")
@@ -134,48 +132,100 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
-def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+@dataclass
+class Found:
+    """The words that rows contain: row[i] has word[i] of `size` words, each pair once; rows in order."""
+
+    row: np.ndarray
+    word: np.ndarray
+    shape: tuple[int, int]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.word], self.shape[0])
+
+    def transposed(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, v[self.row], self.shape[1])
+
+    def __getitem__(self, rows: np.ndarray) -> Found:
+        start, end = np.searchsorted(self.row, rows), np.searchsorted(self.row, rows, side="right")
+        n = end - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Found(np.repeat(np.arange(len(rows)), n), self.word[at], (len(rows), self.shape[1]))
+
+
+def _fit_words(x: Found, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
+    """_fit over words, without a dense matrix: conjugate gradients, scaled by the diagonal, solve each Newton step."""
+    w, shrink = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, l2)
+    shrink[-1] = 1e-6
+    back = lambda v: np.append(x.transposed(v), v.sum())
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(_odds(x, w), -30, 30)))
+        q = p * (1 - p) + 1e-9
+        left, diagonal = back(p - y) + shrink * w, back(q) + shrink
+        step, way, goal = np.zeros(len(w)), left / diagonal, 1e-6 * np.sqrt(left @ (left / diagonal))
+        size = left @ way
+        for _ in range(200):
+            if np.sqrt(size) <= max(goal, 1e-12):
+                break
+            h = back(q * _odds(x, way)) + shrink * way
+            a = size / (way @ h)
+            step, left = step + a * way, left - a * h
+            size, last = left @ (left / diagonal), size
+            way = left / diagonal + size / last * way
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-5:
+            break
+    return w
+
+
+def _odds(x: np.ndarray | Found, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def _found(vocabulary: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> Found:
+    """The vocabulary's words among each row's hashes."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.zeros(0, np.int64)
+    if len(vocabulary):
+        word = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        hit = vocabulary[word] == hashes
+        at = np.unique(row[hit] * len(vocabulary) + word[hit])
+    return Found(*np.divmod(at, max(1, len(vocabulary))), (len(bounds) - 1, len(vocabulary)))
+
+
 @dataclass
 class Model:
     """vocabulary: sorted token hashes of the content view; for each target the views' weights and the combination."""
 
     vocabulary: np.ndarray
-    columns: dict[str, np.ndarray]  # of the vocabulary, by target
     mean: np.ndarray
     scale: np.ndarray
     content: dict[str, np.ndarray]
     meta: dict[str, np.ndarray]
     combine: dict[str, np.ndarray]
 
-    def log_odds(self, found: np.ndarray, meta: np.ndarray, target: str) -> np.ndarray:
-        views = np.stack([_odds(found[:, self.columns[target]], self.content[target]), _odds((meta - self.mean) / self.scale, self.meta[target])], axis=1)
+    def log_odds(self, found: Found, meta: np.ndarray, target: str) -> np.ndarray:
+        views = np.stack([_odds(found, self.content[target]), _odds((meta - self.mean) / self.scale, self.meta[target])], axis=1)
         return _odds(np.clip(views, -12, 12), self.combine[target])
 
 
-def train(words: list[np.ndarray], meta: np.ndarray, labels: dict[str, np.ndarray], aside: np.ndarray, picks: dict[str, np.ndarray]) -> Model:
-    """words: each row's hashes among picks, the content words of each target. labels[target]: 0, 1, or -1 where
-    unlabelled. Labelled rows that are aside only calibrate."""
+def train(found: Found, meta: np.ndarray, labels: dict[str, np.ndarray], aside: np.ndarray, vocabulary: np.ndarray, picks: dict[str, np.ndarray]) -> Model:
+    """found: each row's words of the vocabulary; picks: which of them are each target's content words. labels[target]: 0, 1,
+    or -1 where unlabelled. Labelled rows that are aside only calibrate."""
     known = np.flatnonzero(labels["bad"] >= 0)
     seeds = known[~aside[known]]
-    vocabulary = np.unique(np.concatenate([picks[t] for t in TARGETS]))
-    columns = {t: np.searchsorted(vocabulary, np.sort(picks[t])) for t in TARGETS}
-    found = np.zeros((len(words), len(vocabulary)), np.float32)
-    for i, w in enumerate(words):
-        found[i, np.searchsorted(vocabulary, w)] = 1
     mean = meta.mean(axis=0) if len(meta) else np.zeros(meta.shape[1])
     scale = meta.std(axis=0) + 1e-6 if len(meta) else np.ones(meta.shape[1])
     z = (meta - mean) / scale
     free = np.flatnonzero(labels["bad"] < 0)
     content, metaw, combine = {}, {}, {}
     for t in TARGETS:
-        x = found[:, columns[t]]
+        own = picks[t][found.word]
+        x = Found(found.row[own], found.word[own], found.shape)
         sets = [(x, seeds, labels[t][seeds].astype(float)), (z, seeds, labels[t][seeds].astype(float))]
         given = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for r in range(ROUNDS + 1):
-            w = [_fit(v[rows], y) for v, rows, y in sets]
+            w = [fit(v[rows], y) for fit, (v, rows, y) in zip((_fit_words, _fit), sets, strict=True)]
             if r == ROUNDS or not len(free):
                 break
             for a, b in ((0, 1), (1, 0)):
@@ -190,18 +240,14 @@ def train(words: list[np.ndarray], meta: np.ndarray, labels: dict[str, np.ndarra
         views = np.stack([_odds(x, w[0]), _odds(z, w[1])], axis=1)
         at = known[aside[known]]
         combine[t] = _fit(np.clip(views[at], -12, 12), labels[t][at].astype(float), 0.1)
-    return Model(vocabulary, columns, mean, scale, content, metaw, combine)
+    return Model(vocabulary, mean, scale, content, metaw, combine)
 
 
 def _score(model: Model):
     def run(batches):
         for batch in tk.slices(batches, "text"):
             h, b, meta = _views(batch)
-            found = np.zeros((batch.num_rows, len(model.vocabulary)))
-            if len(model.vocabulary):
-                at = np.minimum(np.searchsorted(model.vocabulary, h.view(np.int64)), len(model.vocabulary) - 1)
-                hit = model.vocabulary[at] == h.view(np.int64)
-                found[np.repeat(np.arange(batch.num_rows), np.diff(b))[hit], at[hit]] = 1
+            found = _found(model.vocabulary, h.view(np.int64), b)
             p = [1 / (1 + np.exp(-np.clip(model.log_odds(found, meta, t), -30, 30))) for t in TARGETS]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in _READ), *map(pa.array, p)], [c for c in batch.schema.names if c not in _READ] + ["p_bad", "p_toxic"])
 
@@ -223,19 +269,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         _features, "id struct<doc_id:long,quality:long,toxic:long>, words array<long>, meta array<double>"
     )
     rows = cut(features.select("id.*", "words", "meta")).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) == 0)
-    picks = _content_words(rows.where("quality >= 0 and not aside"))
-    chosen = sorted({x for t in TARGETS for x in picks[t].tolist()})
-    only = F.array_intersect("words", F.lit(chosen).cast("array<bigint>")) if chosen else F.array().cast("array<bigint>")
-    t = rows.select("doc_id", "quality", "toxic", "aside", "meta", only.alias("words")).orderBy("doc_id").toArrow()
+    vocabulary, picks = _content_words(rows.where("quality >= 0 and not aside"))
+    t = rows.select(F.struct("doc_id", "quality", "toxic", "aside", "meta").alias("id"), "words").mapInArrow(
+        _only(vocabulary), "id struct<doc_id:long,quality:long,toxic:long,aside:boolean,meta:array<double>>, words array<int>"
+    )
+    t = t.select("id.*", "words").orderBy("doc_id").toArrow()
     quality, toxic = t.column("quality").to_numpy(), t.column("toxic").to_numpy()
-    words = [np.asarray(x.values) for x in t.column("words")]
+    words = t.column("words").combine_chunks()
+    found = Found(np.repeat(np.arange(len(words)), words.value_lengths().to_numpy()), words.flatten().to_numpy().astype(np.int64), (len(words), len(vocabulary)))
     meta = t.column("meta").combine_chunks().flatten().to_numpy().reshape(len(words), len(FIGURES) + 16 + _SOURCES)
     bad = np.where(quality < 0, -1, (quality == 0).astype(int))
-    return train(words, meta, {"bad": bad, "toxic": toxic}, t.column("aside").to_numpy(), picks)
+    return train(found, meta, {"bad": bad, "toxic": toxic}, t.column("aside").to_numpy(), vocabulary, picks)
+
+
+def _only(vocabulary: np.ndarray):
+    """Each row's words by their places in the vocabulary."""
+
+    def run(batches):
+        for b in batches:
+            words = b.column("words")
+            bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+            x = _found(vocabulary, words.flatten().to_numpy(), bounds)
+            at = np.searchsorted(x.row, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.word.astype(np.int32)))], ["id", "words"])
+
+    return run
 
 
-def _content_words(seeds: DataFrame) -> dict[str, np.ndarray]:
-    """For each target the words that go with it or against it most, by chi-square over the seeds."""
+def _content_words(seeds: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(vocabulary, picks): all words that go with a target or against it, by chi-square over the seeds, sorted; and for each target which they are."""
     marks = {"bad": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     count = lambda c: F.sum(c.cast("double"))
     total, *positive = seeds.agg(F.count("*").cast("double"), *(count(marks[t]) for t in TARGETS)).first()
@@ -247,9 +309,10 @@ def _content_words(seeds: DataFrame) -> dict[str, np.ndarray]:
         b, c = F.col("n") - a, F.lit(pos or 0.0) - a
         d = F.lit(total) - F.lit(pos or 0.0) - b
         chi2 = F.lit(total) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
-        best = words.select("word", chi2.alias("chi2")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(VOCABULARY)
-        picks[t] = np.array([r.word for r in best.collect()], dtype=np.int64)
-    return picks
+        best = words.select("word", chi2.alias("chi2")).where(F.col("chi2") >= CHI2).select("word").toArrow()
+        picks[t] = best.column("word").to_numpy()
+    vocabulary = np.unique(np.concatenate([picks[t] for t in TARGETS]).astype(np.int64))
+    return vocabulary, {t: np.isin(vocabulary, picks[t]) for t in TARGETS}
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

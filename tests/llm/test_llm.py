@@ -374,6 +374,27 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_every_telling_word_counts(spark):
+    """Toxic words of equal weight, far more than any fixed vocabulary, and nothing else to tell them by: each decides its documents."""
+    rng = random.Random(8)
+    rows = [(i, f"w{3000 + i % 200 if i < 2200 else rng.randrange(1000, 3000)} " + " ".join(f"w{rng.randrange(1000, 3000)}" for _ in range(20)), "en", "s", 10) for i in range(8000)]
+    labels = [(i, 1, int(i < 2200)) for i in range(8000) if not 2000 <= i < 2200]
+    docs = spark.createDataFrame(rows, EMPTY)
+    got = {r.doc_id: r.p_toxic > 0.5 for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert np.mean([got[i] for i in range(2000, 2200)]) > 0.8
+    assert np.mean([got[i] for i in range(2200, 8000)]) < 0.05
+
+
+def test_word_fit_equals_the_dense_one():
+    rng = np.random.default_rng(3)
+    dense = (rng.random((400, 60)) < 0.1).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-dense @ rng.normal(0, 2, 60)))).astype(float)
+    x = quality.Found(*np.nonzero(dense), dense.shape)
+    assert quality._fit_words(x, y) == pytest.approx(quality._fit(dense, y), abs=1e-4)
+    rows = rng.integers(0, 400, 50)
+    assert quality._fit_words(x[rows], y[rows]) == pytest.approx(quality._fit(dense[rows], y[rows]), abs=1e-4)
+
+
 # 7
 
 
