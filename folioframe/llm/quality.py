@@ -7,8 +7,9 @@ labelled rows; over ROUNDS rounds each hands its most confident pseudo-labels on
 unlabelled rows to the other. Both are then calibrated on labelled rows kept aside,
 and the calibrated log odds are combined into one score for every document.
 
-Training uses bounded samples, chosen by a hash of the id: LABELLED labelled and
-UNLABELLED other rows. Everything else covers all documents.
+Training uses a bounded sample of labelled rows, LABELLED chosen by a hash of the id. Pseudo-labels are looked for
+among all unlabelled documents: their features are kept in the checkpoint folder, each round
+scores them all on the executors, and only the rows handed over (at most HANDED a side, view and target) reach the driver.
 """
 
 from __future__ import annotations
@@ -17,20 +18,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm import textkit as tk
-from folioframe.llm.shared import cut
+from folioframe.llm.shared import cut, few
 
 LABELLED = 12_000
-UNLABELLED = 4_000
 ROUNDS = 3
-#: Pseudo-labels that one view gives the other in a round, and how sure it must be.
+#: Pseudo-labels of a side that one view gives the other in a round, at most, and how sure it must be.
 HANDED = 400
 SURE = 0.99
 #: A word enters the content view if its chi-square against the target is at least this.
 CHI2 = 15.0
+#: Parts in which a round's most confident rows are first looked for.
+PARTS = 64
 #: One labelled row of so many, by a hash, only calibrates.
 ASIDE = 4
 TARGETS = ("bad", "toxic")
@@ -209,38 +211,116 @@ class Model:
         return _odds(np.clip(views, -12, 12), self.combine[target])
 
 
-def train(found: Found, meta: np.ndarray, labels: dict[str, np.ndarray], aside: np.ndarray, vocabulary: np.ndarray, picks: dict[str, np.ndarray]) -> Model:
-    """found: each row's words of the vocabulary; picks: which of them are each target's content words. labels[target]: 0, 1,
-    or -1 where unlabelled. Labelled rows that are aside only calibrate."""
-    known = np.flatnonzero(labels["bad"] >= 0)
-    seeds = known[~aside[known]]
-    mean = meta.mean(axis=0) if len(meta) else np.zeros(meta.shape[1])
-    scale = meta.std(axis=0) + 1e-6 if len(meta) else np.ones(meta.shape[1])
-    z = (meta - mean) / scale
-    free = np.flatnonzero(labels["bad"] < 0)
-    content, metaw, combine = {}, {}, {}
+@dataclass
+class Rows:
+    """Features of rows: the vocabulary's words in them, and their metadata figures."""
+
+    found: Found
+    meta: np.ndarray
+
+    @staticmethod
+    def of(words: pa.Array, meta: pa.Array, size: int) -> Rows:
+        words, meta = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (words, meta))
+        at = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+        return Rows(Found(at, words.flatten().to_numpy().astype(np.int64), (len(words), size)), meta.flatten().to_numpy().reshape(len(words), len(FIGURES) + 16 + _SOURCES))
+
+    def views(self, own: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> tuple[Found, np.ndarray]:
+        """The content view over the target's own words, and the metadata view."""
+        mine = own[self.found.word]
+        return Found(self.found.row[mine], self.found.word[mine], self.found.shape), (self.meta - mean) / scale
+
+
+def _joined(a, b):
+    if isinstance(a, Found):
+        return Found(np.concatenate([a.row, b.row + a.shape[0]]), np.concatenate([a.word, b.word]), (a.shape[0] + b.shape[0], a.shape[1]))
+    return np.concatenate([a, b])
+
+
+def train(rows: Rows, labels: dict[str, np.ndarray], aside: np.ndarray, vocabulary: np.ndarray, picks: dict[str, np.ndarray], hand) -> Model:
+    """rows: the labelled ones; those that are aside only calibrate. picks: which words of the vocabulary are each
+    target's content words. hand(weights, mean, scale) gives for each (target, receiving view) new unlabelled Rows and their guesses."""
+    seeds, kept = np.flatnonzero(~aside), np.flatnonzero(aside)
+    some = len(rows.meta) > 0
+    mean = rows.meta.mean(axis=0) if some else np.zeros(rows.meta.shape[1])
+    scale = rows.meta.std(axis=0) if some else np.ones(rows.meta.shape[1])
+    scale = np.where(scale > 1e-6, scale, 1.0)
+    views = {t: rows.views(picks[t], mean, scale) for t in TARGETS}
+    sets = {(t, v): (views[t][v][seeds], labels[t][seeds].astype(float)) for t in TARGETS for v in (0, 1)}
+    for r in range(ROUNDS + 1):
+        w = {at: (_fit_words, _fit)[at[1]](*sets[at]) for at in sets}
+        if r == ROUNDS or not len(seeds):
+            break
+        handed = hand(w, mean, scale)
+        for (t, v), (new, guess) in handed.items():
+            x, y = sets[t, v]
+            sets[t, v] = (_joined(x, new.views(picks[t], mean, scale)[v]), np.concatenate([y, guess]))
+        if not handed:
+            break
+    combine = {}
     for t in TARGETS:
-        own = picks[t][found.word]
-        x = Found(found.row[own], found.word[own], found.shape)
-        sets = [(x, seeds, labels[t][seeds].astype(float)), (z, seeds, labels[t][seeds].astype(float))]
-        given = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        for r in range(ROUNDS + 1):
-            w = [fit(v[rows], y) for fit, (v, rows, y) in zip((_fit_words, _fit), sets, strict=True)]
-            if r == ROUNDS or not len(free):
-                break
-            for a, b in ((0, 1), (1, 0)):
-                left = np.setdiff1d(free, given[b])
-                p = 1 / (1 + np.exp(-np.clip(_odds(sets[a][0][left], w[a]), -30, 30)))
-                sure = np.concatenate([left[np.argsort(-p, kind="stable")[: (p >= SURE).sum()]][:HANDED], left[np.argsort(p, kind="stable")[: (p <= 1 - SURE).sum()]][:HANDED]])
-                guess = np.concatenate([np.ones(min(HANDED, int((p >= SURE).sum()))), np.zeros(min(HANDED, int((p <= 1 - SURE).sum())))])
-                given[b] = np.concatenate([given[b], sure])
-                v, rows, y = sets[b]
-                sets[b] = (v, np.concatenate([rows, sure]), np.concatenate([y, guess]))
-        content[t], metaw[t] = w
-        views = np.stack([_odds(x, w[0]), _odds(z, w[1])], axis=1)
-        at = known[aside[known]]
-        combine[t] = _fit(np.clip(views[at], -12, 12), labels[t][at].astype(float), 0.1)
-    return Model(vocabulary, mean, scale, content, metaw, combine)
+        both = np.stack([_odds(views[t][v], w[t, v]) for v in (0, 1)], axis=1)
+        combine[t] = _fit(np.clip(both[kept], -12, 12), labels[t][kept].astype(float), 0.1)
+    return Model(vocabulary, mean, scale, {t: w[t, 0] for t in TARGETS}, {t: w[t, 1] for t in TARGETS}, combine)
+
+
+def _placed(vocabulary: np.ndarray):
+    """(id, words, meta): the places of each text's words in the vocabulary, and the metadata figures."""
+
+    def run(batches):
+        for batch in tk.slices(batches, "text"):
+            h, b, meta = _views(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(_found(vocabulary, h.view(np.int64), b)), pa.array(list(meta), pa.list_(pa.float64()))], ["id", "words", "meta"])
+
+    return run
+
+
+def _confident(w: dict, mean: np.ndarray, scale: np.ndarray, picks: dict[str, np.ndarray]):
+    """(doc_id, key, kind, sure): where a view is sure of a row; kind is the target (4), the other view (2) and the side (1)."""
+    least = np.log(SURE / (1 - SURE))
+
+    def run(batches):
+        for b in batches:
+            rows = Rows.of(b.column("words"), b.column("meta"), len(picks[TARGETS[0]]))
+            for i, t in enumerate(TARGETS):
+                for v, x in enumerate(rows.views(picks[t], mean, scale)):
+                    odds = _odds(x, w[t, v])
+                    at = np.flatnonzero(np.abs(odds) >= least)
+                    kind = 4 * i + 2 * (1 - v) + (odds[at] > 0)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("key").take(at), pa.array(kind.astype(np.int32)), pa.array(np.abs(odds[at]))], ["doc_id", "key", "kind", "sure"])
+
+    return run
+
+
+def _hand(free: DataFrame, known: DataFrame, picks: dict[str, np.ndarray]):
+    """The hand of train: over free(doc_id, key, words, meta) without the known doc_ids; no row is handed to a view twice."""
+    spark, kind = free.sparkSession, dict(free.dtypes)["doc_id"]
+    known = few(known.select("doc_id"), known.count())
+    given: set[tuple[int, int]] = set()
+
+    def hand(w, mean, scale):
+        sure = free.select("doc_id", "key", "words", "meta").mapInArrow(_confident(w, mean, scale, picks), f"doc_id {kind}, key long, kind int, sure double")
+        sure = sure.join(known, "doc_id", "left_anti")
+        if given:
+            old = spark.createDataFrame(sorted(given), "key long, to int")
+            sure = sure.withColumn("to", F.expr("kind div 2").cast("int")).join(F.broadcast(old), ["key", "to"], "left_anti")
+        sure = sure.groupBy("kind", "key").agg(F.max("sure").alias("sure"))
+        for part in (["kind", F.pmod(F.xxhash64("key"), F.lit(PARTS))], ["kind"]):  # so that no task meets more than PARTS * HANDED rows of a kind
+            sure = sure.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("sure"), "key"))).where(F.col("place") <= HANDED).drop("place")
+        best = sorted((r.kind // 2, -(r.kind % 2), -r.sure, r.key) for r in sure.collect())
+        if not best:
+            return {}
+        given.update((key, to) for to, _, _, key in best)
+        keys = spark.createDataFrame(sorted({(key,) for *_, key in best}), "key long")
+        # equal keys are equal rows
+        t = free.join(F.broadcast(keys), "key").dropDuplicates(["key"]).select("key", "words", "meta").orderBy("key").toArrow()
+        rows, place = Rows.of(t.column("words"), t.column("meta"), len(picks[TARGETS[0]])), t.column("key").to_numpy()
+        out = {}
+        for to in sorted({to for to, *_ in best}):
+            at = np.searchsorted(place, np.array([key for x, _, _, key in best if x == to]))
+            out[TARGETS[to // 2], to % 2] = Rows(rows.found[at], rows.meta[at]), np.array([-float(side) for x, side, _, _ in best if x == to])
+        return out
+
+    return hand
 
 
 def _score(model: Model):
@@ -258,28 +338,34 @@ _READ = ("lang", "source", "n_chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on bounded samples of docs(doc_id, text, lang, source, n_chars) and labels(doc_id, quality, toxic)."""
+    """Train on a bounded sample of labels(doc_id, quality, toxic) and all of docs(doc_id, text, lang, source, n_chars)."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    at = F.xxhash64("doc_id")
-    seeds = known.orderBy(at, "doc_id").limit(LABELLED)
-    pool = docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(at, "doc_id").limit(UNLABELLED)
-    chosen = seeds.unionByName(pool.select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")), allowMissingColumns=True)
-    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
+    seeds = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = docs.join(F.broadcast(seeds), "doc_id")
     features = rows.select(F.struct(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "quality", "toxic"))).alias("id"), "text", "lang", "source", "n_chars").mapInArrow(
         _features, "id struct<doc_id:long,quality:long,toxic:long>, words array<long>, meta array<double>"
     )
     rows = cut(features.select("id.*", "words", "meta")).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) == 0)
-    vocabulary, picks = _content_words(rows.where("quality >= 0 and not aside"))
+    vocabulary, picks = _content_words(rows.where("not aside"))
     t = rows.select(F.struct("doc_id", "quality", "toxic", "aside", "meta").alias("id"), "words").mapInArrow(
         _only(vocabulary), "id struct<doc_id:long,quality:long,toxic:long,aside:boolean,meta:array<double>>, words array<int>"
     )
     t = t.select("id.*", "words").orderBy("doc_id").toArrow()
+    sample = Rows.of(t.column("words"), t.column("meta"), len(vocabulary))
     quality, toxic = t.column("quality").to_numpy(), t.column("toxic").to_numpy()
-    words = t.column("words").combine_chunks()
-    found = Found(np.repeat(np.arange(len(words)), words.value_lengths().to_numpy()), words.flatten().to_numpy().astype(np.int64), (len(words), len(vocabulary)))
-    meta = t.column("meta").combine_chunks().flatten().to_numpy().reshape(len(words), len(FIGURES) + 16 + _SOURCES)
-    bad = np.where(quality < 0, -1, (quality == 0).astype(int))
-    return train(found, meta, {"bad": bad, "toxic": toxic}, t.column("aside").to_numpy(), vocabulary, picks)
+    hand = None
+    if t.num_rows:
+        free = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64(*docs.columns).alias("key")).alias("id"), "text", "lang", "source", "n_chars")
+        free = free.mapInArrow(_placed(vocabulary), f"id struct<doc_id:{dict(docs.dtypes)['doc_id']},key:long>, words array<int>, meta array<double>")
+        hand = _hand(cut(free.select("id.*", "words", "meta")), known, picks)
+    return train(sample, {"bad": (quality == 0).astype(int), "toxic": toxic}, t.column("aside").to_numpy(), vocabulary, picks, hand)
+
+
+def _lists(x: Found) -> pa.Array:
+    """Each row's words."""
+    at = np.searchsorted(x.row, np.arange(x.shape[0] + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(x.word.astype(np.int32)))
 
 
 def _only(vocabulary: np.ndarray):
@@ -289,9 +375,7 @@ def _only(vocabulary: np.ndarray):
         for b in batches:
             words = b.column("words")
             bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
-            x = _found(vocabulary, words.flatten().to_numpy(), bounds)
-            at = np.searchsorted(x.row, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.word.astype(np.int32)))], ["id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), _lists(_found(vocabulary, words.flatten().to_numpy(), bounds))], ["id", "words"])
 
     return run
 

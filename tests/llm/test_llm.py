@@ -385,6 +385,24 @@ def test_every_telling_word_counts(spark):
     assert np.mean([got[i] for i in range(2200, 8000)]) < 0.05
 
 
+def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    """A toxic source without labels is learnt from its documents, however few of the unlabelled ones it has."""
+    monkeypatch.setattr(quality, "UNLABELLED", 1, raising=False)
+    rng = random.Random(9)
+    text = lambda toxic: ("vile foul grim " if toxic else "calm mild tidy ") + vocabulary_text(rng, 30, 300)
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = rng.random() < 0.3
+        rows.append((i, text(toxic), "en", "dark" if toxic and rng.random() < 0.7 else "plain", 10))
+        labels.append((i, 1, int(toxic)))
+    rows += [(i, text(i < 2060), "en", "new" if i < 2060 else "plain", 10) for i in range(2000, 4000)]
+    same = "some even tame " + vocabulary_text(rng, 30, 300)
+    rows += [(5000, same, "en", "new", 10), (5001, same, "en", "never", 10)]
+    docs = spark.createDataFrame(rows, EMPTY).repartition(3)
+    got = {r.doc_id: r.p_toxic for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[5000] > got[5001] + 0.01
+
+
 def test_word_fit_equals_the_dense_one():
     rng = np.random.default_rng(3)
     dense = (rng.random((400, 60)) < 0.1).astype(float)
