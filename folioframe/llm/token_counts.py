@@ -81,11 +81,15 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 def truncated_total(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, total): tokens kept when every document is cut at the limit, for any limits.
 
-    A limit between two lengths is answered from the next shorter length's suffix sums."""
+    Each limit is answered from the suffix sums of the least length that reaches it."""
     spark = histogram.sparkSession
     want = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "context_limit long"))
-    part = F.least(F.col("n_tokens"), F.col("context_limit")) * F.col("n_docs")
-    return histogram.crossJoin(want).groupBy("context_limit").agg(F.sum(part).alias("total"))
+    reaching = F.when(F.col("n_tokens") >= F.col("context_limit"), F.col("n_tokens"))
+    found = histogram.crossJoin(want).groupBy("context_limit").agg(
+        F.max("tokens_at_least").alias("all_tokens"), F.min_by(F.struct("docs_at_least", "tokens_at_least"), reaching).alias("cut")
+    )
+    longer = F.col("cut.docs_at_least") * F.col("context_limit") - F.col("cut.tokens_at_least")
+    return found.select("context_limit", (F.col("all_tokens") + F.coalesce(longer, F.lit(0))).alias("total"))
 
 
 def quantile(histogram: DataFrame, q: float) -> int | None:

@@ -335,6 +335,13 @@ def test_histogram_answers_every_limit(spark):
     assert token_counts.length_histogram(h.select("n_tokens").limit(0)).count() == 0
 
 
+def test_limits_are_answered_from_suffix_sums(spark):
+    n = [0, 3, 3, 9, 120]
+    h = token_counts.length_histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long")).drop("n_docs")
+    limits = [0, 1, 3, 4, 120, 121]
+    assert {r.context_limit: r.total for r in token_counts.truncated_total(h, limits).collect()} == {x: sum(min(x, y) for y in n) for x in limits}
+
+
 # 6
 
 
