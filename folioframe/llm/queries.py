@@ -37,7 +37,7 @@ a AS (SELECT doc_id, rank, kind, role, m[i] AS m,
 v AS (SELECT doc_id, rank, kind, role, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM a WHERE CASE kind {checks} ELSE true END),
 l AS (SELECT * FROM v WHERE rank < 3 OR EXISTS (SELECT 1 FROM v w WHERE w.doc_id = v.doc_id
   AND (CASE v.role WHEN 'secret' THEN w.role <> 'secret' ELSE w.role = 'secret' END)
-  AND v.s - w.e <= {secret_scan.SCOPE} AND w.s - v.e <= {secret_scan.SCOPE})),
+  AND (w.e <= v.s OR w.s >= v.e) AND v.s - w.e <= {secret_scan.SCOPE} AND w.s - v.e <= {secret_scan.SCOPE})),
 g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
   FROM l GROUP BY doc_id)
