@@ -10,13 +10,13 @@ to the deepest one seen.
 
 The tree holds every gram of DEPTH + 1 bytes. It is built where the grams lie: all that share a
 context of LOCAL bytes meet in one task, which weights their contexts of LOCAL and more bytes; the shorter contexts,
-at most 256 ** LOCAL binary nodes, are weighted on the driver from the tasks' sums. A second
-pass gives each gram of the texts its log probability. The HEAD_GRAMS most
-frequent grams are looked up in each task, all others meet theirs in a shuffled join, as the base's words do.
+at most 256 ** LOCAL binary nodes, are weighted on the driver from the tasks' sums. The tasks then
+give each gram its log probability. One more pass scores the texts: the most
+frequent grams, at most HEAD_GRAMS, are looked up in each task, and all others of a text are
+written beside its sums and meet theirs in a shuffled join. The base's words go the same way.
 
-The base is an add-0.1 unigram model over all training tokens. Its HEAD most
-frequent words are looked up in each task; all others, each at most a share 1/HEAD of the tokens,
-meet their counts in a shuffled join.
+The base is an add-0.1 unigram model over all training tokens. Its most frequent words, at most HEAD,
+are looked up; of the others each is at most a share 1/HEAD of the tokens, or about so, as counts are told apart by sixteenths of powers of two.
 """
 
 from __future__ import annotations
@@ -36,12 +36,15 @@ DEPTH = 5
 HEAD = 1 << 18
 #: Grams that are looked up in each task, at most: 16 bytes each. The others are joined.
 HEAD_GRAMS = 1 << 20
+#: Keys that are looked up at once, to keep the worker small.
+AT_ONCE = 1 << 18
 #: Contexts of so many bytes, and all that are longer, are weighted in tasks.
 LOCAL = 3
 #: Grams of such contexts that are weighted at once; those of a single context always are.
 CHUNK = 1 << 18
 #: The end token's place among the word hashes.
 END = 1
+_U = np.uint64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,8 +105,19 @@ def _count(batches):
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    values, at = np.unique(x, return_inverse=True)
-    return np.array([math.lgamma(v) for v in values])[at]
+    """Natural log of the gamma function of numbers of at least 0.5, by Stirling's series after a shift to at least 10."""
+    shift = np.ones(len(x))
+    low = np.flatnonzero(x < 10)
+    y = x.astype(float)
+    for _ in range(10):
+        low = low[y[low] < 10]
+        if not len(low):
+            break
+        shift[low] *= y[low]
+        y[low] += 1
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 
 def _level(by_depth: list[tuple[np.ndarray, np.ndarray]], level: int, depths: range, longer=None):
@@ -246,75 +260,83 @@ def _logs(top):
     return run
 
 
-def _found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key is in the sorted table, and whether it is."""
-    if not len(table):
-        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-    return at, table[at] == key
-
-
-def _score(grams, head_key: np.ndarray, head_n: np.ndarray):
-    """Per text: tokens, known tokens and base log sum over the head, natural log probability over the frequent grams, bytes."""
+class Lookup:
+    """The values of keys, by open addressing over whole arrays; keys are distinct."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = (1 << max(1, 2 * len(keys) - 1).bit_length()) - 1
+        self.keys, self.values, self.used = np.zeros(self.mask + 1, keys.dtype), np.zeros(self.mask + 1), np.zeros(self.mask + 1, bool)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = ~self.used[at]
+            self.keys[at[free]] = keys[left[free]]  # of those that meet, one stays
+            self.used[at[free]] = True
+            own = free & (self.keys[at] == keys[left])
+            self.values[at[own]] = values[left[own]]
+            left, at = left[~own], (at[~own] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (tk.mix(keys.view(np.uint64)) & _U(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's value, 0 without one, and whether it has one."""
+        out, hit = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        for a in range(0, len(keys), AT_ONCE):
+            self._some(keys[a : a + AT_ONCE], out[a : a + AT_ONCE], hit[a : a + AT_ONCE])
+        return out, hit
+
+    def _some(self, keys: np.ndarray, out: np.ndarray, hit: np.ndarray) -> None:
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            own = self.keys[at] == keys[left]
+            own &= self.used[at]
+            out[left[own]] = self.values[at[own]]
+            hit[left[own]] = True
+            on = np.flatnonzero(~own & self.used[at])
+            left, at = left[on], (at[on] + 1) & self.mask
+
+
+def _counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct keys, in order of the texts, with their counts."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    return doc[first], key[first], np.diff(np.append(first, len(doc)))
+
+
+def _score(grams, words):
+    """Per text: tokens, known tokens and base log sum over the frequent words, natural log probability over the frequent grams, bytes,
+    and the other words (kind 0) and grams (kind 1), which a task can't look up."""
 
     def run(batches):
-        logs = np.log10(head_n + 0.1)
+        by_word, by_gram = Lookup(*words.value), None if grams is None else Lookup(*grams.value)
         for b in tk.slices(batches, "text"):
+            n = b.num_rows
             w = tk.words(b.column("text"))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(w.bounds))
-            at, hit = _found(head_key, w.hashes)
-            known = np.bincount(doc[hit], minlength=b.num_rows)
-            base = np.bincount(doc[hit], logs[at[hit]] if len(logs) else None, b.num_rows)
-            gram, bounds = byte_grams(w.data, w.text_bounds)
-            if grams is None:
-                score = np.diff(bounds) * math.log(1 / 256)
+            doc = np.repeat(np.arange(n), np.diff(w.bounds))
+            v, hit = by_word.find(w.hashes)
+            known, base = np.bincount(doc[hit], minlength=n), np.bincount(doc, v, n)
+            rare = [_counted(doc[~hit], w.hashes[~hit].view(np.int64))]
+            if by_gram is None:
+                score = (np.diff(w.text_bounds) + 1) * math.log(1 / 256)
             else:
-                frequent, v = grams.value
-                each, back = np.unique(gram, return_inverse=True)
-                at, hit = _found(frequent, each)
-                own = np.zeros(len(each))
-                own[hit] = v[at[hit]]
-                score = np.add.reduceat(own[back], bounds[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"),
-                    b.column("key"),
-                    pa.array((np.diff(w.bounds) + 1).astype(np.int64)),
-                    pa.array(known.astype(np.int64)),
-                    pa.array(base.astype(np.float64)),
-                    pa.array(score),
-                    pa.array(np.diff(w.text_bounds).astype(np.int64)),
-                ],
-                ["id", "key", "n_tokens", "known", "base", "score", "n_bytes"],
-            )
+                gram, bounds = byte_grams(w.data, w.text_bounds)
+                v, hit = by_gram.find(gram)
+                score = np.add.reduceat(v, bounds[:-1])
+                miss = np.flatnonzero(~hit)
+                rare.append(_counted(np.searchsorted(bounds, miss, side="right") - 1, gram[miss]))
+            kind = np.repeat(np.arange(len(rare), dtype=np.int8), [len(x[0]) for x in rare])
+            doc, key, times = (np.concatenate(x) for x in zip(*rare, strict=True))
+            order = np.argsort(doc, kind="stable")
+            at = pa.array(np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (kind, key, times.astype(np.int32))]
+            columns = [(np.diff(w.bounds) + 1).astype(np.int64), known.astype(np.int64), base.astype(float), score, np.diff(w.text_bounds).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, columns), *lists], ["id", "n_tokens", "known", "base", "score", "n_bytes", "kinds", "words", "times"])
 
     return run
 
 
-def _tail(grams, head_key: np.ndarray):
-    """(kind, word, key, n): the words (kind 0) and grams (kind 1) of each text that the tasks cannot look up."""
-
-    def run(batches):
-        for b in tk.slices(batches, "text"):
-            w = tk.words(b.column("text"))
-            keys = b.column("key").to_numpy()
-            miss = ~_found(head_key, w.hashes)[1]
-            found = [(0, np.repeat(np.arange(b.num_rows), np.diff(w.bounds))[miss], w.hashes[miss].view(np.int64))]
-            if grams is not None:
-                gram, bounds = byte_grams(w.data, w.text_bounds)
-                each, back = np.unique(gram, return_inverse=True)
-                miss = np.flatnonzero(~_found(grams.value[0], each)[1][back])
-                found.append((1, np.searchsorted(bounds, miss, side="right") - 1, gram[miss]))
-            for kind, doc, word in found:
-                order = np.lexsort((word, doc))
-                doc, word = doc[order], word[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(doc)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), kind, np.int8)), pa.array(word[first]), pa.array(keys[doc[first]]), pa.array(n.astype(np.int32))], ["kind", "word", "key", "n"]
-                )
-
-    return run
+_SCORED = "n_tokens long, known long, base double, score double, n_bytes long, kinds array<byte>, words array<long>, times array<int>"
 
 
 def _gram_logs(grams: DataFrame) -> DataFrame | None:
@@ -330,11 +352,11 @@ def _gram_logs(grams: DataFrame) -> DataFrame | None:
     return cut(dealt.mapInArrow(_logs(top), "key long, n long, v double"))
 
 
-def _frequent(logs: DataFrame) -> Column:
-    """A condition that at most HEAD_GRAMS of the grams meet: a count from some sixteenth of a power of two on."""
-    step = F.floor(F.log2(F.col("n") + 1) * 16)
-    least, left = None, HEAD_GRAMS
-    for r in logs.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+def _frequent(counts: DataFrame, n: str, most: int) -> Column:
+    """A condition that at most so many of the rows meet: a count n from some sixteenth of a power of two on."""
+    step = F.floor(F.log2(F.col(n) + 1) * 16)
+    least, left = None, most
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         left -= r["count"]
         if left < 0:
             break
@@ -342,6 +364,12 @@ def _frequent(logs: DataFrame) -> Column:
     return F.lit(False) if least is None else step >= least
 
 
+def _sent(rows: DataFrame, key: str, value: str, dtype: type):
+    """A broadcast of the rows' keys and values."""
+    t = rows.select(key, value).toArrow()
+    return rows.sparkSession.sparkContext.broadcast((t.column(key).to_numpy().view(dtype), t.column(value).to_numpy()))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens (its end included), n_known,
     train_tokens, base_score, score (the model's log10 probability of the lower-cased bytes
@@ -355,39 +383,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = base.withColumn("key", F.xxhash64("id", "text"))
     counted = base.select("text", held_out(F.col("id")).alias("out")).mapInArrow(_count, "kind byte, key long, n long")
     counted = cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = words.where(F.col("word") == END).agg(F.max("c")).first()[0] or 0
-    head = words.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    order = np.argsort(head.column("word").to_numpy().view(np.uint64))
-    head_key, head_n = head.column("word").to_numpy().view(np.uint64)[order], head.column("c").to_numpy()[order]
-    least = int(head_n.min()) if len(head_n) else 0
+    words = words.where(F.col("word") != END).withColumn("v", F.log10(F.col("c") + 0.1))
+    head = _frequent(words, "c", HEAD)
     logs, grams = _gram_logs(counted.where("kind = 1").select("key", "n")), None
-    # what the head's least count leaves out; equal counts may lie on both sides
-    rest = words.where((F.col("c") <= least) & (F.col("word") != END)).select(F.lit(0).cast("byte").alias("kind"), "word", F.log10(F.col("c") + 0.1).alias("v"))
+    rest = words.where(~head).select(F.lit(0).cast("byte").alias("kind"), "word", "v")
     if logs is not None:
-        frequent = _frequent(logs)
-        t = logs.where(frequent).select("key", "v").toArrow()
-        order = np.argsort(t.column("key").to_numpy())
-        grams = spark.sparkContext.broadcast((t.column("key").to_numpy()[order], t.column("v").to_numpy()[order]))
+        frequent = _frequent(logs, "n", HEAD_GRAMS)
+        grams = _sent(logs.where(frequent), "key", "v", np.int64)
         rest = rest.unionByName(logs.where(~frequent).select(F.lit(1).cast("byte").alias("kind"), F.col("key").alias("word"), "v"))
 
-    scored = base.mapInArrow(_score(grams, head_key, head_n), f"id {kind}, key long, n_tokens long, known long, base double, score double, n_bytes long")
-    tail = base.mapInArrow(_tail(grams, head_key), "kind byte, word long, key long, n int")
+    scored = base.mapInArrow(_score(grams, _sent(words.where(head), "word", "v", np.uint64)), f"id {kind}, {_SCORED}")
+    scored = cut(scored.withColumn("key", F.monotonically_increasing_id()))  # written once, so the keys stay
+    tail = scored.select("key", F.explode(F.arrays_zip("kinds", "words", "times")).alias("x"))
+    tail = tail.select("key", F.col("x.kinds").alias("kind"), F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     word = F.col("kind") == 0
     tail = tail.join(rest, ["kind", "word"], "left").groupBy("key").agg(
         F.sum(F.when(word & F.col("v").isNotNull(), F.col("n"))).alias("more"),
         F.sum(F.when(word, F.col("n") * F.coalesce("v", F.lit(-1.0)))).alias("logs"),
         F.sum(F.when(~word, F.col("n") * F.col("v"))).alias("rest"),
     )
-    # rows of equal id and text share a key, and so their sums
-    times = base.groupBy("key").agg(F.count("*").alias("times"))
-    share = lambda c: F.coalesce(c, F.lit(0.0)) / F.col("times")
-    tail = tail.join(times, "key").select("key", share("more").cast("long").alias("more"), share("logs").alias("logs"), share("rest").alias("rest"))
-    out = scored.join(tail, "key", "left").withColumn("score", (F.col("score") + F.coalesce("rest", F.lit(0.0))) / F.lit(math.log(10)))
+    out = scored.drop("kinds", "words", "times").join(tail, "key", "left").withColumn("score", (F.col("score") + F.coalesce("rest", F.lit(0.0))) / F.lit(math.log(10)))
     each = math.log10(total + 0.1 * (distinct + 1))
     end_log = math.log10(ends + 0.1)
     return out.select(
