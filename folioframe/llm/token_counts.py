@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm import textkit as tk
+from folioframe.llm.shared import cut
 
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 1024
@@ -50,8 +51,9 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     share reaches q), and truncated_total: all documents' tokens when each is cut at n_tokens.
 
     The suffix sums are taken inside blocks of BLOCK lengths and over the
-    blocks' totals, so only the blocks' totals meet in one task. An empty table gives no rows."""
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    blocks' totals, so only the blocks' totals meet in one task; they are broadcast, at most one row for BLOCK tokens of the longest text.
+    The counts are written once, as two branches read them. A null length counts as none; an empty table gives no rows."""
+    h = cut(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     h = h.withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,13 +83,13 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 def truncated_total(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, total): tokens kept when every document is cut at the limit, for any limits.
 
-    Each limit is answered from the suffix sums of the least length that reaches it."""
-    spark = histogram.sparkSession
-    want = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "context_limit long"))
-    reaching = F.when(F.col("n_tokens") >= F.col("context_limit"), F.col("n_tokens"))
-    found = histogram.crossJoin(want).groupBy("context_limit").agg(
-        F.max("tokens_at_least").alias("all_tokens"), F.min_by(F.struct("docs_at_least", "tokens_at_least"), reaching).alias("cut")
+    Each limit is answered from the suffix sums of the least length that reaches it, which one aggregation finds for all limits; a limit
+    beyond every length keeps all tokens. Equal limits give a row each; without documents the totals are null."""
+    reached = lambda x: F.min_by(F.struct("docs_at_least", "tokens_at_least"), F.when(F.col("n_tokens") >= x, F.col("n_tokens")))
+    found = histogram.agg(
+        F.max("tokens_at_least").alias("all_tokens"), F.array(*[F.struct(F.lit(int(x)).cast("long").alias("context_limit"), reached(int(x)).alias("cut")) for x in limits]).alias("cuts")
     )
+    found = found.select("all_tokens", F.explode("cuts").alias("x")).select("all_tokens", "x.context_limit", "x.cut")
     longer = F.col("cut.docs_at_least") * F.col("context_limit") - F.col("cut.tokens_at_least")
     return found.select("context_limit", (F.col("all_tokens") + F.coalesce(longer, F.lit(0))).alias("total"))
 
