@@ -26,7 +26,7 @@ MISS = 1e-9
 
 
 def word_shingles(text: Column, k: int) -> Column:
-    """Hashes of the k-word shingles, repeats included; fewer words: the whole sequence as one."""
+    """Hashes of the k-word shingles, repeats included; fewer words: the whole sequence as one. Letters of all scripts are lower-cased."""
     clean = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
 
     def of(w: Column) -> Column:
@@ -57,9 +57,9 @@ def contained_items(
     ids are carried. Extra columns are not read. Empty tables give no rows.
     """
     i = items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(word_shingles(F.col(item_text), k))).alias("h")).distinct()
-    i = i.withColumn("ikey", F.xxhash64("item")).persist()
+    i = cut(i.withColumn("ikey", F.xxhash64("item")))
     n_rows = i.count()
-    sizes = i.groupBy("ikey").agg(F.first("item").alias("item"), F.count("*").alias("q")).persist()
+    sizes = i.groupBy("ikey").agg(F.first("item").alias("item"), F.count("*").alias("q"))
     n_items = sizes.count()
     least = sizes.agg(F.min("q")).first()[0] or 1
 
@@ -88,6 +88,7 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose text contains an item."""
+    """docs without the rows whose text contains an item; all columns stay, whatever their names."""
     bad = contained_items(docs, items, k, num, den).select("text_key").distinct()
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(bad, F.col("__key") == F.col("text_key"), "left_anti").select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("text_key"))
+    return rows.join(bad, "text_key", "left_anti").select("row.*")
