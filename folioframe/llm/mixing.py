@@ -4,8 +4,9 @@ Documents are aggregated by membership pattern (the set of sources they belong
 to). Words flow from patterns to source quotas; passing a pattern's words a
 second time costs more than the first (a convex repetition cost), so the flow is
 filled copy by copy. Only patterns and sources reach the driver, at most
-MAX_NODES of them; documents are then selected in the order of a seeded hash, the
-boundary found from sums over hash buckets, so no source is gathered in one task.
+MAX_NODES of them (more raise an error); documents are then selected in the order of a seeded hash. The
+boundary is found from sums over hash buckets, so no source is gathered in one task. What the document at the boundary
+is too long for is filled in the same way with shorter documents that come after it, in rounds.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from folioframe.llm.shared import cut
 #: Patterns, and sources, that a mix may have; more raise an error.
 MAX_NODES = 100_000
 BUCKET_BITS = 14
+#: A pattern is filled if the words that it lacks are this share of its plan at most, and after so many rounds in any case.
+NEAR, ROUNDS = 0.001, 8
 # The weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -113,49 +116,90 @@ def _push(graph, s: int, t: int, level: list[int], arcs: list[list[int]], at: li
     return True
 
 
+def _rounds(sized: DataFrame, plan: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """For each pattern, (low, high, most): documents with low < at <= high and a size of at most `most` are taken, together
+    nearly the plan's words and never more. sized: p, at, size."""
+    spark, bits = sized.sparkSession, 64 - BUCKET_BITS
+    taken: dict[str, list[tuple[int, int, int]]] = {p: [] for p in plan}
+    state = {p: (-(2**63), left, left) for p, left in plan.items() if left > 0}
+    for _ in range(ROUNDS):
+        live = [(p, *x) for p, x in sorted(state.items(), key=lambda x: x[0]) if x[2] > NEAR * plan[p]]
+        if not live:
+            break
+        # at most MAX_NODES rows
+        now = F.broadcast(spark.createDataFrame(live, "p string, low long, most long, left long"))
+        rows = sized.join(now, "p").where("at > low and size <= most and size > 0").withColumn("bucket", F.shiftright("at", bits))
+        sums = rows.groupBy("p", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        by = Window.partitionBy("p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = cut(sums.withColumn("sofar", F.sum("words").over(by)))
+        full = sums.where("sofar <= left").groupBy("p").agg(F.max("sofar").alias("sofar"))
+        edge = sums.where("sofar > left").groupBy("p").agg(F.min("bucket").alias("bucket"), F.min_by("sofar", "bucket").alias("s"), F.min_by("words", "bucket").alias("w"))
+        edge = edge.select("p", "bucket", (F.col("s") - F.col("w")).alias("before"))
+        inner = rows.join(F.broadcast(edge), ["p", "bucket"]).groupBy("p", "at").agg(F.sum("size").alias("words"), F.first("left").alias("left"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+        inner = inner.withColumn("sofar", upto).where("sofar <= left").groupBy("p").agg(F.max("at").alias("high"), F.max("sofar").alias("sofar"))
+        ends = {r["p"]: (r["bucket"], r["before"], r["high"], r["sofar"]) for r in edge.join(inner, "p", "left").collect()}
+        all_in = {r["p"]: r["sofar"] for r in full.collect()}
+        for p, low, most, left in live:
+            if p in ends:
+                bucket, before, high, sofar = ends[p]
+                high, used = ((bucket << bits) - 1, before) if high is None else (high, sofar)
+            else:
+                high, used = 2**63 - 1, all_in.get(p, 0)  # all that fit are taken
+            if used:
+                taken[p].append((low, high, most))
+            if p in ends:
+                state[p] = (max(low, high), left - used, left - used)
+            else:
+                del state[p]
+    return taken
+
+
 def mix(
-    docs: DataFrame, sources: Column, seed: int = 7, copies: int = 2, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    sources: Column,
+    seed: int = 7,
+    copies: int = 2,
+    share: float = 1.5,
+    weights: tuple[int, ...] = WEIGHTS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: Column | None = None,
 ) -> DataFrame:
-    """docs' columns and __size, __source_size, __target, __copies (0 to `copies`).
+    """row (a struct of docs' columns, whatever their names), size, source_size, target, copies (0 to `copies`).
 
     sources: array of the names of the sources that a row belongs to; a null name
-    is a source of its own, last in order. __source_size and __target are sums over
-    the row's sources. Whole documents are taken, each source's words to within
-    half a document of what the flow routes. Rows of equal id and size tie and are told apart
-    by nothing; empty and null texts have size 0. Empty tables give no rows.
+    is a source of its own, last in order. source_size and target are sums over
+    the row's sources. size: the row's words, where docs have it already; else they are counted in the text, empty and null ones having none.
+    Whole documents are taken, never more words than the flow routes, and fewer by about NEAR of them, or where no
+    document is short enough. Rows of equal id and size tie: all or none of them are taken. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__p", F.to_json(F.struct(F.array_sort(F.array_distinct(sources)).alias("a"))))
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("__size"))
-    rows = rows.withColumn("__at", order).withColumn("__bucket", F.shiftrightunsigned("__at", 64 - BUCKET_BITS).cast("int"))
-    sums = cut(rows.groupBy("__p", "__bucket").agg(F.sum("__size").alias("words")))
-    patterns = sums.groupBy("__p").agg(F.sum("words").alias("words")).select("__p", F.from_json("__p", "a array<string>")["a"].alias("a"), "words").limit(MAX_NODES + 1).collect()
+    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(sources)).alias("a")))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(row.alias("row"), (word_count(F.col(text_col)) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"), pattern.alias("p"))
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed), F.col("row")[id_col], F.col("size")))
+    sized = cut(rows.select("p", "at", "size"))  # narrow: the rounds don't read the texts
+    patterns = sized.groupBy("p").agg(F.sum("size").alias("words")).select("p", F.from_json("p", "a array<string>")["a"].alias("a"), "words").limit(MAX_NODES + 1).collect()
     if len(patterns) > MAX_NODES:
         raise ValueError(f"more than {MAX_NODES} membership patterns")
-    patterns.sort(key=lambda r: r["__p"])
+    patterns.sort(key=lambda r: r["p"])
     names = sorted({s for r in patterns for s in r["a"]}, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(names)}
     member = [[index[s] for s in r["a"]] for r in patterns]
-    size = [0] * len(names)
+    total = [0] * len(names)
     for r, m in zip(patterns, member, strict=True):
         for i in m:
-            size[i] += r["words"]
-    target = share_out(size, weights, share, float(copies))
-    taken = min_cost_flow([r["words"] for r in patterns], member, [round(x) for x in target], copies)
+            total[i] += r["words"]
+    target = share_out(total, weights, share, float(copies))
+    flow = min_cost_flow([r["words"] for r in patterns], member, [round(x) for x in target], copies)
+    parts = {r["p"]: divmod(f, r["words"]) if r["words"] else (0, 0) for r, f in zip(patterns, flow, strict=True)}
+    taken = _rounds(sized, {p: rest for p, (_, rest) in parts.items()})
     plan = [
-        (r["__p"], sum(size[i] for i in m), float(sum(target[i] for i in m)), *((f // r["words"], f % r["words"]) if r["words"] else (0, 0)))
-        for r, m, f in zip(patterns, member, taken, strict=True)
+        (r["p"], sum(total[i] for i in m), float(sum(target[i] for i in m)), parts[r["p"]][0], taken[r["p"]])
+        for r, m in zip(patterns, member, strict=True)
     ]
-    plan = F.broadcast(spark.createDataFrame(plan, "__pp string, __source_size long, __target double, __whole long, __rest long"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("__p").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = sums.withColumn("before", before).join(plan.select(F.col("__pp").alias("__p"), "__rest"), "__p")
-    edge = edge.where("before <= __rest and __rest < before + words").select("__p", F.col("__bucket").alias("__edge"), F.col("before").alias("__before"))
-    rows = rows.join(plan, F.col("__p") == F.col("__pp")).join(F.broadcast(edge), "__p", "left")  # at most a row per pattern
-    inner = rows.where("__bucket = __edge")
-    sofar = F.sum("__size").over(Window.partitionBy("__p").orderBy("__at", "__size").rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("__before") + sofar - F.col("__size") / 2
-    inner = inner.withColumn("__in", (middle <= F.col("__rest")).cast("long"))
-    outer = rows.where("not coalesce(__bucket = __edge, false)").withColumn("__in", F.coalesce(F.col("__bucket") < F.col("__edge"), F.lit(False)).cast("long"))
-    out = outer.unionByName(inner).withColumn("__copies", F.least(F.col("__whole") + F.col("__in"), F.lit(copies).cast("long")))
-    return out.select(*docs.columns, "__size", "__source_size", "__target", "__copies")
-
+    kind = "p string, source_size long, target double, whole long, taken array<struct<low:long,high:long,most:long>>"
+    out = rows.join(F.broadcast(spark.createDataFrame(plan, kind)), "p")  # at most MAX_NODES rows
+    more = F.exists("taken", lambda x: (F.col("at") > x["low"]) & (F.col("at") <= x["high"]) & (F.col("size") <= x["most"]))
+    return out.select("row", "size", "source_size", "target", F.least(F.col("whole") + more.cast("long"), F.lit(copies).cast("long")).alias("copies"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioframe.llm import decontaminate, embedding_dedup, license_scan, lm_scoring, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts
-from folioframe.llm.shared import table
+from folioframe.llm.shared import cut, table
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +94,13 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
-#: A public vocabulary file; a parameter of the query's operator.
+#: A public vocabulary file, where the session's `folioframe.vocabulary` names no other; a parameter of the query's operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), VOCABULARY))
+    vocabulary = spark.conf.get("folioframe.vocabulary", VOCABULARY)
+    return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), vocabulary))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +108,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, F.array("source"))
-    return mixed.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken")
-    )
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))  # the texts are read once
+    mixed = mixing.mix(docs, F.array("source"), size=F.col("words"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

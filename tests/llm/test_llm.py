@@ -58,7 +58,7 @@ def frame(spark, rows, extra=True):
     """documents with columns that clash with the operators' own names."""
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     if extra:
-        for c in ("id", "key", "cid", "n", "h", "uid", "kept", "tile", "run", "size", "word"):
+        for c in ("id", "key", "__key", "text_key", "row", "cid", "n", "h", "uid", "kept", "tile", "run", "size", "word", "spans"):
             df = df.withColumn(c, F.lit("clash"))
     return df.repartition(3)
 
@@ -488,8 +488,10 @@ def test_mix(spark):
     names = ["a", "B", "é", None]
     rows = [(i, vocabulary_text(rng, rng.randrange(0, 30)), names[0] if i % 3 else rng.choice(names)) for i in range(900)]
     rows += [(2000, None, "a"), (2001, "", None), (5, rows[5][1], rows[5][2])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("p", F.lit("clash")).withColumn("words", F.lit(1))
-    run = lambda: sorted(map(tuple, mixing.mix(docs.repartition(5), F.array("source")).select("doc_id", "source", "__size", "__source_size", "__target", "__copies").collect()), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("p", "at", "row", "size", "target", "copies", "words", "__size", "__at"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    run = lambda: sorted(map(tuple, mixing.mix(docs.repartition(5), F.array("source")).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "row.at").collect()), key=str)
     got = run()
     assert got == run() and len(got) == len(rows)
     size, order = collections.Counter(), ["B", "a", "é", None]
@@ -497,8 +499,8 @@ def test_mix(spark):
         size[s] += len(words(t))
     target = dict(zip(order, mixing.share_out([size[s] for s in order]), strict=True))
     taken = collections.Counter()
-    for _, s, n, whole, want, copies in got:
-        assert whole == size[s] and want == pytest.approx(target[s]) and 0 <= copies <= 2
+    for _, s, n, whole, want, copies, clash in got:
+        assert clash == "clash" and whole == size[s] and want == pytest.approx(target[s]) and 0 <= copies <= 2
         taken[s] += n * copies
     assert all(abs(taken[s] - target[s]) <= 16 for s in order)
     assert mixing.mix(docs.limit(0), F.array("source")).count() == 0
@@ -508,8 +510,15 @@ def test_mix_of_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["x"] if i < 50 else ["x", "y"]) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, s array<string>")
     got = mixing.mix(docs, F.col("s"), weights=(1, 1), share=0.5).collect()
-    only, both = (sum(r["__copies"] * 10 for r in got if len(r.s) == n) for n in (1, 2))
-    assert only + both == 750 and max(r["__copies"] for r in got) == 1  # no word twice while others are untaken
+    only, both = (sum(r.copies * 10 for r in got if len(r.row.s) == n) for n in (1, 2))
+    assert only + both == 750 and max(r.copies for r in got) == 1  # no word twice while others are untaken
+
+
+def test_mix_fills_what_long_documents_leave(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * (4000 if i % 40 == 0 else rng.randrange(1, 60)), "x") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.array("source")).collect()
+    assert 0 <= got[0].target - sum(r["size"] * r.copies for r in got) <= 0.002 * got[0].target
 
 
 # 8
