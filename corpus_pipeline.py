@@ -37,9 +37,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target (of the source) and copies (1 or 2)."""
-    mixed = mixing.mix(docs, F.array("source")).where("__copies > 0")
-    return mixed.select(*docs.columns, F.col("__size").alias("size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+    """The documents that the mix takes, with size, target (of the source) and copies (1 or 2); these replace columns of documents of the same names."""
+    mixed = mixing.mix(docs, F.array("source")).where("copies > 0")
+    own = [c for c in docs.columns if c not in ("size", "target", "copies")]
+    return mixed.select(*(F.col("row")[c].alias(c) for c in own), "size", "target", "copies")
 
 
 STAGES = [
