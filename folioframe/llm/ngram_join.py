@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from folioframe.llm import textkit as tk
 from folioframe.llm.shared import components, cut, few
 
-#: Classes of a cluster that meet in one block; two blocks meet in one task.
-BLOCK = 256
+#: Classes of a cluster that meet in one block, and about how many members their sets may have together; two blocks meet in one task.
+BLOCK, BLOCK_MEMBERS = 256, 1 << 21
 #: The same for the signatures of a tile's members.
 TILE_BLOCK = 1024
 #: Bits of a signature: a power of two, at least twice the set's size, within these.
@@ -119,7 +119,7 @@ def _digest(k: int):
                 n.append(len(s))
                 ids.append(class_id(s) if len(s) else None)
                 maps.append(bitmap(s, width_of(len(s))).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["id", "cid", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["id", "key", "cid", "n", "bits"])
 
     return run
 
@@ -239,28 +239,36 @@ def _bound(num: int, den: int):
     return _by_tile(solve)
 
 
-def _verify(k: int, num: int, den: int):
+def _sets(k: int):
+    """(cid, root, blocks, members): each class's sorted set, from its own text."""
+
+    def run(batches):
+        for b in tk.slices(batches, "text"):
+            sets = list(set_arrays(b.column("text"), k))
+            at = [i for i, (s, cid) in enumerate(zip(sets, b.column("cid").to_pylist(), strict=True)) if len(s) and class_id(s) == cid]  # not so if two texts share a hash
+            members = pa.array([sets[i].tobytes() for i in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in ("cid", "root", "blocks")), members], ["cid", "root", "blocks", "members"])
+
+    return run
+
+
+def _verify(num: int, den: int):
     def solve(t: pa.Table) -> list[tuple[int, int]]:
-        cid, left = t.column("cid").to_pylist(), t.column("left").to_pylist()
-        sets = [s for r in tk.slices(t.select(["text"]).combine_chunks().to_batches(), "text") for s in set_arrays(r.column("text"), k)]
-        own = [i for i, s in enumerate(sets) if len(s) and class_id(s) == cid[i]]  # not so if an id has several texts
-        if len(own) < 2:
-            return []
-        found = linked_edges([sets[i] for i in own], np.array([left[i] for i in own]), num, den)
-        return [(cid[own[i]], cid[own[j]]) for i, j in found]
+        cid = t.column("cid").to_pylist()
+        sets = [np.frombuffer(x, _U) for x in t.column("members").to_pylist()]
+        return [(cid[i], cid[j]) for i, j in linked_edges(sets, t.column("left").to_numpy(), num, den)]
 
     return _by_tile(solve)
 
 
-def _blocked(df: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows (group, cid, m of the group, ...) dealt to tiles of two blocks of the group: adds tile and left.
+def _blocked(df: DataFrame, group: str) -> DataFrame:
+    """Rows (group, cid, blocks of the group, ...) dealt to tiles of two blocks of the group: adds tile and left.
 
     A block meets itself in a tile where all rows are on the left."""
-    blocks = F.ceil(F.col("m") / size)
-    df = df.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    df = df.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    return df.withColumn("tile", F.xxhash64(group, low, high)).withColumn("left", F.col("mine") == low).drop("blocks", "mine", "other", "m", group)
+    return df.withColumn("tile", F.xxhash64(group, low, high)).withColumn("left", F.col("mine") == low).drop("blocks", "mine", "other", group)
 
 
 def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,14 +279,15 @@ def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     component_id is the smallest id reachable by links, the row's own included.
     A null or empty text, or one without words, has no shingles, a null class_id
     and links with nothing. Repeated rows each give a row. A null id is carried
-    and never names a component of rows that have ids. Extra columns are not
-    read. An empty table gives an empty result. class_id is a 64-bit hash of the
+    and never names a component of rows that have ids, but its text links like any other. Ids must be integers or cast to them. Very long texts
+    are read whole, and meet in blocks bounded by their sets' sizes. Extra columns are not read. An empty table gives an empty result. class_id is a 64-bit hash of the
     shingle set; equal hashes count as equal sets.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digest = cut(base.mapInArrow(_digest(k), "id long, cid long, n long, bits binary"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    digest = cut(base.mapInArrow(_digest(k), "id long, key long, cid long, n long, bits binary"))
     named = digest.where("cid is not null")
-    classes = named.groupBy("cid").agg(F.min("id").alias("first_id"))
+    classes = named.groupBy("cid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("own"), F.min("n").alias("n"))
+    classes = classes.select("cid", F.col("own.id").alias("first_id"), F.col("own.key").alias("key"), "n")
 
     tiles = base.select("text").mapInArrow(_tiles(k, num, den), "key long, cid long, agree byte").repartition("key")
     in_key = Window.partitionBy("key").orderBy("cid")
@@ -286,24 +295,26 @@ def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     tiles = tiles.withColumns({"low": F.first("cid").over(whole), "high": F.last("cid").over(whole), "place": F.row_number().over(in_key)})
     mark = F.bit_xor(F.xxhash64("cid")).over(whole)  # with the ends, a name of the tile's members
     more = F.max((F.col("cid") > F.col("low")) & (F.col("cid") < F.col("high"))).over(whole)
-    tiles = tiles.withColumns({"mark": mark, "more": more}).where("low < high")
+    tiles = cut(tiles.withColumns({"mark": mark, "more": more}).where("low < high").select("cid", "agree", "low", "high", "place", "mark", "more"))
     # two classes that meet alone must do so in `agree` tiles, unless they also meet in a tile of more
     pairs = tiles.where("not more and place = 1").groupBy("low", "high").agg(F.count("*").alias("met"), F.min("agree").alias("agree")).where("met >= agree")
     pairs = pairs.select(F.xxhash64("low", "high").alias("group"), F.explode(F.array("low", "high")).alias("cid"))
     crowds = tiles.where("more").select(F.xxhash64("low", "high", "mark").alias("group"), "cid").distinct()
     members = cut(pairs.unionByName(crowds))
-    sizes = members.groupBy("group").agg(F.count("*").alias("m"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / TILE_BLOCK).alias("blocks"))
     signs = named.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    signed = _blocked(members.join(signs, "cid").join(sizes, "group"), "group", TILE_BLOCK)
+    signed = _blocked(members.join(signs, "cid").join(sizes, "group"), "group")
     near = signed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_bound(num, den), "a long, b long")
 
-    clusters = cut(components(near))
-    n_members = clusters.count()
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    found = clusters.join(sizes, "root").select(F.col("node").alias("cid"), F.col("root"), "m")
-    chosen = cut(classes.join(found, "cid").where("first_id is not null").select(F.col("first_id").alias("id"), "cid", "root", "m"))
-    texts = _blocked(base.join(few(chosen, n_members), "id").drop("id"), "root", BLOCK)
-    checked = texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(k, num, den), "a long, b long")
+    clusters = components(near).select(F.col("node").alias("cid"), "root").join(classes, "cid")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_MEMBERS)).alias("blocks"))
+    # one row for each class: its own text's id and hash
+    chosen = cut(clusters.join(sizes, "root").select(F.col("first_id").alias("of"), "key", "cid", "root", "blocks"))
+    chosen = few(chosen, chosen.count())
+    texts = base.join(chosen, (base["key"] == chosen["key"]) & base["id"].eqNullSafe(chosen["of"])).select("text", "cid", "root", "blocks")
+    sets = texts.mapInArrow(_sets(k), "cid long, root long, blocks long, members binary").dropDuplicates(["cid"])
+    texts = _blocked(sets, "root")
+    checked = texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(num, den), "a long, b long")
     roots = components(checked)
 
     joined = classes.join(roots, classes.cid == roots.node, "left").select("cid", "first_id", F.coalesce("root", "cid").alias("root"))

@@ -323,6 +323,20 @@ def test_keep_one(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 2), (False, 4), (False, 5), (True, 0)]
 
 
+def test_ngram_join_links_through_null_ids(spark):
+    rng = random.Random(8)
+    one = vocabulary_text(rng, 60, 5000)
+    two = " ".join(one.split(" ")[:-1])
+    while len(shingle_set(one, 3) & shingle_set(two, 3)) * 100 >= 94 * len(shingle_set(one, 3)):
+        two = " ".join(two.split(" ")[:-1])
+    two = " ".join(two.split(" "))
+    three = " ".join(two.split(" ")[4:])
+    for middle, want in ((5, [1, 1, 1]), (None, [1, 1, 1])):
+        got = ngram_join.ngram_components(frame(spark, [(1, one), (middle, two), (9, three)])).collect()
+        assert [r.component_id for r in sorted(got, key=lambda r: (r.n_shingles), reverse=True)] == want
+    assert [r.component_id for r in ngram_join.ngram_components(frame(spark, [(1, one), (9, three)])).orderBy("doc_id").collect()] == [1, 9]
+
+
 # 5
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
