@@ -7,6 +7,7 @@ carried as 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a longer single text is handled whole.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -129,6 +130,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give back to the system what a task has freed; the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def long(values: np.ndarray) -> pa.Array:
