@@ -1,20 +1,22 @@
 """Operator 9: embedding near-dedup with randomised-rotation binary codes.
 
-Each distinct vector is rotated at random and coded by the signs; its correction factor
-is the inner product of the code with the rotated unit vector. code . query / factor
-estimates an inner product without bias, and its error is bounded with confidence
-by SIGMAS * sqrt((1 - f^2) / f^2 / (d - 1)). Only pairs whose upper bound reaches
-the threshold are recomputed exactly, in double precision.
+Each distinct vector is rotated at random and coded once: its signs, packed; its correction factor, the
+inner product of the code with the rotated unit vector; and the rotated vector in one byte a component, as a
+query. code . query / factor estimates an inner product without bias, and its error is bounded with confidence by
+SIGMAS * sqrt((1 - f^2) / f^2 / (d - 1)) and what the query's rounding can add. Codes and factors are what the tables hold and ship.
 
 Signs also index the vectors: each of several tables buckets all vectors by some
 of their signs, as many tables as find a pair at the threshold with probability
 1 - MISS. The number of signs grows with the logarithm of the table, so buckets stay
 small; larger ones are cut into blocks and every pair of blocks is compared, so no
-bucket has a cap. A pair that meets in several tables counts in the first.
+bucket has a cap. In a bucket the codes' differing bits, counted, and then the estimates of both
+directions rule pairs out. Only the vectors of pairs that are left are fetched, by a join, and
+recomputed in double precision, tile by tile, so that no pairs are emitted. A pair that meets in several tables counts in the first.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import textkit as tk
-from folioframe.llm.shared import components, cut
+from folioframe.llm.shared import components, cut, few
 
 MISS = 0.001
 SIGMAS = 4.0
@@ -65,7 +67,9 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cid, pa.int64()), pa.array(v, pa.binary())], ["id", "cid", "v"])
 
 
+@functools.lru_cache(maxsize=64)
 def rotation(d: int, seed: int) -> np.ndarray:
+    """The same in every process, and made once in each."""
     q, r = np.linalg.qr(np.random.default_rng([seed, d]).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
@@ -95,7 +99,63 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+class Codes:
+    """Signs (packed and as -1 and 1), correction factors and byte queries of vectors of d components."""
+
+    def __init__(self, signs: np.ndarray, factor: np.ndarray, query: np.ndarray, scale: np.ndarray):
+        self.packed = np.packbits(np.pad(signs, ((0, 0), (0, -signs.shape[1] % 64))), axis=1)
+        self.signs, self.factor, self.query, self.scale = signs, factor, query, scale
+
+    @staticmethod
+    def of(x: np.ndarray, seed: int) -> Codes:
+        """Of unit vectors."""
+        r = x @ rotation(x.shape[1], seed).T
+        scale = np.abs(r).max(axis=1) / 127
+        return Codes(r > 0, np.abs(r).sum(axis=1) / math.sqrt(x.shape[1]), np.rint(r / scale[:, None]).astype(np.int8), scale)
+
+    @staticmethod
+    def read(blobs: list[bytes], d: int) -> Codes:
+        """From their stored form."""
+        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+        n = -(-d // 64) * 8
+        signs = np.unpackbits(raw[:, :n], axis=1, count=d).astype(bool)
+        figures = raw[:, n : n + 16].copy().view(np.float64)
+        return Codes(signs, figures[:, 0], raw[:, n + 16 :].view(np.int8), figures[:, 1])
+
+    def blobs(self) -> list[bytes]:
+        figures = np.stack([self.factor, self.scale], axis=1).view(np.uint8)
+        return [x.tobytes() for x in np.hstack([self.packed, figures, self.query.view(np.uint8)])]
+
+    def upper(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products of i, as codes, with j, as queries."""
+        d = self.signs.shape[1]
+        dot = np.where(self.signs[i], self.query[j], -self.query[j]).sum(axis=1, dtype=np.int64)
+        f = self.factor[i]
+        error = SIGMAS * np.sqrt(np.maximum(0.0, 1 - f**2) / max(1, d - 1)) + math.sqrt(d) * self.scale[j] / 2
+        return (dot * self.scale[j] / math.sqrt(d) + error) / f + 1e-9
+
+    def undecided(self, p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of p with q that neither the count of differing bits nor an estimate rules out."""
+        d, words = self.signs.shape[1], self.packed.view(np.uint64)
+        apart = math.acos(min(1.0, threshold)) / math.pi
+        most = d * apart + SIGMAS * math.sqrt(d * apart * (1 - apart))
+        differ = np.zeros((len(p), len(q)), np.uint16)
+        for w in range(words.shape[1]):
+            differ += np.bitwise_count(words[p, w][:, None] ^ words[q, w][None, :])
+        i, j = np.nonzero(differ <= most)
+        i, j = p[i], q[j]
+        i, j = i[i != j], j[i != j]
+        keep = [np.zeros(0, bool)]
+        for a in range(0, len(i), 1 << 14):
+            b, c = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            keep.append((self.upper(b, c) >= threshold) & (self.upper(c, b) >= threshold))
+        ok = np.concatenate(keep)
+        return i[ok], j[ok]
+
+
 def _index(bits: int, tables: int, seed: int):
+    """(bucket, slot, cid, copies, d, code): a row for each vector and table."""
+
     def run(batches):
         for b in batches:
             for c in range(0, b.num_rows, 2000):
@@ -104,31 +164,48 @@ def _index(bits: int, tables: int, seed: int):
                 dims = np.array([len(v) for v in blobs]) // 8
                 for d in np.unique(dims):
                     rows = np.flatnonzero(dims == d)
-                    keys = table_keys(_unit([blobs[i] for i in rows]), bits, tables, seed)
+                    x = _unit([blobs[i] for i in rows])
+                    keys = table_keys(x, bits, tables, seed)
                     names = tk.mix(keys.astype(np.uint64) + tk.mix(np.arange(tables, dtype=np.uint64) + np.uint64(int(d) << 20))[None, :])
-                    own = part.take(pa.array(np.repeat(rows, tables)))
+                    again = pa.array(np.repeat(np.arange(len(rows)), tables))
+                    own = part.take(pa.array(rows)).take(again)
+                    codes = pa.array(Codes.of(x, seed).blobs(), pa.binary()).take(again)
                     yield pa.RecordBatch.from_arrays(
-                        [tk.long(names.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), own.column("cid"), own.column("copies"), own.column("v")],
-                        ["bucket", "slot", "cid", "copies", "v"],
+                        [tk.long(names.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), own.column("cid"), own.column("copies"), pa.array(np.full(len(again), d, np.int32)), codes],
+                        ["bucket", "slot", "cid", "copies", "d", "code"],
                     )
 
     return run
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors with cosine >= threshold: bounds on code estimates, then exact."""
-    d = x.shape[1]
-    turn = rotation(d, seed)
-    rx, ry = x @ turn.T, y @ turn.T
-    code = np.where(rx > 0, 1.0, -1.0) / math.sqrt(d)
-    factor = (code * rx).sum(axis=1)
-    bound = SIGMAS * np.sqrt(np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, d - 1))
-    estimate = code.astype(np.float32) @ ry.T.astype(np.float32) / factor[:, None].astype(np.float32)
-    i, j = np.nonzero(estimate >= (threshold - bound - 1e-4)[:, None])
-    keep = []
+def _sides(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that a tile compares: all with all, if all are on the left, else the left ones with the others."""
+    every = np.arange(len(left))
+    return (every, every) if left.all() else (np.flatnonzero(left), np.flatnonzero(~left))
+
+
+def _rule_out(threshold: float):
+    """Rows sorted by tile: those that are in a pair that the codes can't rule out."""
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(rows)
+        p, q = _sides(t.column("left").to_numpy())
+        if t.num_rows < 2 or not len(p) or not len(q):
+            return None
+        codes = Codes.read(t.column("code").to_pylist(), int(t.column("d")[0].as_py()))
+        live = np.unique(np.concatenate(codes.undecided(p, q, threshold)))
+        return t.select(["tile", "slot", "cid", "copies", "left"]).take(live).combine_chunks().to_batches()[0] if len(live) else None
+
+    return _by_tile(solve)
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit vectors with cosine >= threshold, in double precision."""
+    i, j = np.nonzero(x @ y.T >= threshold - 1e-9)
+    keep = [np.zeros(0, bool)]
     for a in range(0, len(i), 1 << 16):
         keep.append(np.einsum("ij,ij->i", x[i[a : a + (1 << 16)]], y[j[a : a + (1 << 16)]]) >= threshold)
-    ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+    ok = np.concatenate(keep)
     return i[ok], j[ok]
 
 
@@ -142,10 +219,10 @@ def _compare(threshold: float, bits: int, tables: int, seed: int):
         x = _unit(t.column("v").to_pylist())
         keys = table_keys(x, bits, tables, seed)
         one = bool(left.all())
-        p, q = np.flatnonzero(left), np.arange(len(cid)) if one else np.flatnonzero(~left)
+        p, q = _sides(left)
         if len(cid) < 2 or not len(p) or not len(q):
             return None
-        i, j = linked_pairs(x[p], x[q], threshold, seed)
+        i, j = linked_pairs(x[p], x[q], threshold)
         i, j = p[i], q[j]
         ok = (i < j) if one else np.ones(len(i), bool)
         if slot:
@@ -174,6 +251,12 @@ def _compare(threshold: float, bits: int, tables: int, seed: int):
             ["a", "b", "n"],
         )
 
+    return _by_tile(solve)
+
+
+def _by_tile(solve):
+    """Rows sorted by tile, all of a tile's to solve."""
+
     def run(batches):
         held, name = [], None
         for batch in batches:
@@ -202,20 +285,23 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, seed: int = 11, id_c
     vectors and those with null or non-finite components link with nothing, and
     vectors of different lengths never link. Rows that repeat a vector link with
     each other. A null id is carried and names no component of rows that have
-    ids; its kept is null where no id does. Extra columns are not read; empty
+    ids; its kept is null where no id does. Ids must be integers or cast to them. Extra columns are not read; empty
     tables give no rows.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_digest, "id long, cid long, v binary")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = cut(classes)
     bits, tables = plan_tables(classes.count(), threshold)
-    entries = classes.select("cid", "copies", "v").mapInArrow(_index(bits, tables, seed), "bucket long, slot int, cid long, copies long, v binary")
-    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("m")).where("m > 1").select("bucket", "blocks")
-    entries = entries.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    entries = classes.select("cid", "copies", "v").mapInArrow(_index(bits, tables, seed), "bucket long, slot int, cid long, copies long, d int, code binary")
+    # large buckets, of over BLOCK vectors each, are cut into blocks
+    large = cut(entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"))
+    entries = entries.join(few(large, large.count()), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    entries = entries.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    entries = entries.select(F.xxhash64("bucket", low, high).alias("tile"), "slot", "cid", "copies", (F.col("mine") == low).alias("left"), "v")
-    found = entries.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(threshold, bits, tables, seed), "a long, b long, n long")
+    entries = entries.select(F.xxhash64("bucket", low, high).alias("tile"), "slot", "cid", "copies", (F.col("mine") == low).alias("left"), "d", "code")
+    left = entries.repartition("tile").sortWithinPartitions("tile").mapInArrow(_rule_out(threshold), "tile long, slot int, cid long, copies long, left boolean")
+    left = left.join(classes.select("cid", "v"), "cid")
+    found = left.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(threshold, bits, tables, seed), "a long, b long, n long")
     found = cut(found.groupBy("a", "b").agg(F.sum("n").alias("n")))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "cid")
     roots = components(found.where("b is not null").select("a", "b"))

@@ -636,6 +636,35 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert abs(np.mean(errors)) < 1e-3
 
 
+@pytest.mark.parametrize("d", [64, 100, 768])
+def test_stored_codes_leave_few_pairs_undecided(d):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turned = x[:200] + 0.3 / math.sqrt(d) * rng.standard_normal((200, d))
+    x = np.concatenate([x, turned / np.linalg.norm(turned, axis=1, keepdims=True)])
+    made = embedding_dedup.Codes.of(x, 11)
+    codes = embedding_dedup.Codes.read(made.blobs(), d)
+    assert (codes.signs == made.signs).all() and (codes.factor == made.factor).all() and (codes.query == made.query).all()
+    every = np.arange(len(x))
+    pairs = set(zip(*codes.undecided(every, every, 0.95), strict=True))
+    true = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i != j}
+    assert len(true) > 300 and len(true - pairs) <= 0.01 * len(true) and len(pairs) <= 0.002 * len(x) ** 2
+
+
+def test_near_vectors_recall(spark):
+    """Links of 6,000 vectors in several tables of buckets, against all pairs."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((5000, 64))
+    x = np.concatenate([x, x[:1000] + 0.3 / 8 * rng.standard_normal((1000, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert embedding_dedup.plan_tables(len(x), 0.95)[1] > 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    assert want.sum() > 1500 and all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.995 * want.sum()
+
+
 # 10
 
 
