@@ -3,9 +3,9 @@
 Suffixes are retained only at minimiser positions: in every window of
 `min_words` words, the k-word gram with the smallest hash. Equal passages select
 equal positions, so a passage of min_words words that repeats has, in each copy,
-a retained suffix that begins with the same k words. Retained suffixes are sorted
-by their first k words and compared with their neighbours; those without an equal
-neighbour in another document end there. The rest are extended left and right
+a retained suffix that begins with the same k words. Retained suffixes are brought together by a hash of
+their first k words, by a keyed aggregation and not by one global order (the README says why); those without an equal
+in another document end there. The rest are extended left and right
 over exactly the min_words-word windows that selected them: a window counts if another
 document has the same window around an equal suffix, and a document's windows
 that count are merged into spans.
@@ -163,7 +163,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = GRAM, id_co
     Texts with fewer than min_words words, null and empty ones included, have no
     spans; a passage that repeats only under one id (within a text, or in rows that
     repeat the id) is not reported. Rows that repeat an id and a text give their
-    spans once. Rows with a null id are left out. Extra columns are not read; empty tables give no rows.
+    spans once. Rows with a null id are left out. Ids must be integers or cast to them. Very long texts
+    are read whole. Extra columns are not read; empty tables give no rows.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("key", F.xxhash64("id", "text"))
