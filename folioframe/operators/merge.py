@@ -249,6 +249,22 @@ def keys_compatible(dob_a: Column, id_a: Column, dob_b: Column, id_b: Column) ->
     return same(dob_a, dob_b) & same(id_a, id_b)
 
 
+def least_compatible(df: DataFrame, scope: list[str], person: str) -> DataFrame:
+    """(person, matched): for each row of df(scope, person, dob_key, id_key) the least other person of its scope, if less
+    than it, whose keys are compatible. Null and empty keys are unknown and fit any; rows with a null in scope match nothing.
+
+    Answered from the minima of each combination of keys, so no pairs are formed: a row looks up at most four minima."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.nullif(F.col(c), F.lit(""))), F.lit("?"))  # noqa: E731  "=" known, "?" unknown, "*" either
+    keys = df.select(*scope, F.col(person).alias("_person"), mark("dob_key").alias("_dob"), mark("id_key").alias("_id"))
+    least = keys.groupBy(*scope, "_dob", "_id").agg(F.min("_person").alias("_least"))
+    for c in ("_dob", "_id"):
+        least = least.withColumn(c, F.explode(F.array(c, F.lit("*"))))
+        keys = keys.withColumn(c, F.explode(F.when(F.col(c) == "?", F.array(F.lit("*"))).otherwise(F.array(F.col(c), F.lit("?")))))
+    least = least.groupBy(*scope, "_dob", "_id").agg(F.min("_least").alias("_least"))
+    found = keys.join(least, [*scope, "_dob", "_id"]).where("_least < _person")
+    return found.groupBy(F.col("_person").alias(person)).agg(F.min("_least").alias("matched"))
+
+
 def person_keys(df: DataFrame, name: Column, dob: Column, paper: Column) -> DataFrame:
     return df.withColumns({"name_key": F.when(~is_null_like(name), name_key(name)), "dob_key": date_key(dob), "id_key": id_key(paper)})
 

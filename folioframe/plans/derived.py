@@ -32,6 +32,18 @@ v_blocks AS (SELECT doc_id, page, block_no, text, x0, y0, least(x0 + 20 + length
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))"""
 
 
+MARKS = ("•••", "3 / 12", "4 of 12", "http://example.org/some/path", "x (cid:12)", "")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blocks, some with texts that are garbage."""
+    at = (F.col("doc_id") + F.col("block_no")) % 17
+    return blocks(spark, sf_dir).withColumn("text", F.coalesce(F.get(F.array(*map(F.lit, MARKS)), at.cast("int")), F.col("text")))
+
+
+MARKED = "v_marked AS (SELECT doc_id, block_no, coalesce(([" + ", ".join(f"'{x}'" for x in MARKS) + "])[(doc_id + block_no) % 17 + 1], text) AS text FROM v_blocks)"
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -46,6 +58,14 @@ v_boxes AS (SELECT page, idx, x0, y0, x0 + 40 + p_size * 6 AS x1, y0 + 20 + (idx
     (p_partkey * 7919) % 1000 AS score, p_partkey % 10 AS cls FROM part))"""
 
 
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few boxes, so that they leave regions without any."""
+    return boxes(spark, sf_dir).where("idx % 5 = 1")
+
+
+SPARSE = "v_sparse AS (SELECT * FROM v_boxes WHERE idx % 5 = 1)"
+
+
 def prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select("page", *(F.col(c).alias(f"{p}{c}") for c in df.columns if c != "page"))
 

@@ -151,13 +151,13 @@ def q_layout_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    TAGS + " SELECT page, r_idx, 'figure-' || n AS figure, '' AS text FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY r_idx) - 1 AS n FROM v_regions WHERE r_type IN ('figure', 'equation')) f"
+    TAGS.replace("v_boxes", "v_sparse") + " SELECT page, r_idx, 'figure-' || n AS figure, '' AS text FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY r_idx) - 1 AS n FROM v_regions WHERE r_type IN ('figure', 'equation')) f"
     " WHERE NOT EXISTS (SELECT 1 FROM v_tagged t WHERE t.page = f.page AND t.region = f.r_type || '-' || f.r_idx)",
-    d.BOXES, d.REGIONS,
+    d.BOXES, d.REGIONS, d.SPARSE,
 )
 def q_unvisited_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = d.regions(spark, sf_dir)
-    return layout.unvisited(r, layout.tag_layout(d.prefixed(d.boxes(spark, sf_dir), "b_"), r))
+    return layout.unvisited(r, layout.tag_layout(d.prefixed(d.sparse(spark, sf_dir), "b_"), r))
 
 
 @query(" SELECT page, r_idx, r_type FROM v_regions WHERE r_score >= 400 OR r_type NOT IN ('footer', 'header', 'reference')", d.BOXES, d.REGIONS)
@@ -254,10 +254,7 @@ def q_quote_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = merge.person_keys(d.people(spark, sf_dir), F.col("name"), F.col("dob"), F.col("paper")).withColumn("month", F.substring("dob_key", 4, 2))
-    a = k.select("person", "nation", "month", F.col("dob_key").alias("a_dob"), F.col("id_key").alias("a_id"))
-    b = k.select(F.col("person").alias("other"), "nation", "month", F.col("dob_key").alias("b_dob"), F.col("id_key").alias("b_id"))
-    fit = merge.keys_compatible(F.col("a_dob"), F.col("a_id"), F.col("b_dob"), F.col("b_id"))
-    return a.join(b, ["nation", "month"]).where((F.col("other") < F.col("person")) & fit).groupBy("person").agg(F.min("other").alias("matched"))
+    return merge.least_compatible(k, ["nation", "month"], "person")
 
 
 @query(" SELECT list_id, pos, code, dieu, khoan, diem, specific, display FROM v_shown", d.LAWS)
@@ -458,11 +455,11 @@ def q_line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    " SELECT doc_id, block_no FROM v_blocks WHERE regexp_matches(text, '^•+$') OR regexp_matches(text, '^[0-9]{1,2} / ?[0-9]{1,2}$') OR regexp_matches(text, '^http://[^ ]{12,}') OR length(text) = 0 OR regexp_matches(text, '\\(cid *: *[0-9]+ *\\)')",
-    d.BLOCKS,
-)
+    " SELECT doc_id, block_no FROM v_marked WHERE regexp_matches(text, '^•+$') OR regexp_matches(text, '^[0-9]{1,2} / ?[0-9]{1,2}$') OR regexp_matches(text, '^[0-9]{1,2} of [0-9]{1,2}$') OR regexp_matches(text, '^http://[^ ]{12,}') OR length(text) = 0 OR regexp_matches(text, '\\(cid *: *[0-9]+ *\\)')",
+    d.BLOCKS, d.MARKED,
+)
 def q_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.blocks(spark, sf_dir).where(text.is_garbage(F.col("text")) | (F.length("text") == 0)).select("doc_id", "block_no")
+    return d.marked(spark, sf_dir).where(text.is_garbage(F.col("text")) | (F.length("text") == 0)).select("doc_id", "block_no")
 
 
 # no SQL: Python's sort, Unicode folding, the ordered fold and streaming
@@ -526,14 +523,15 @@ def q_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a stream; equals q_extract_batch."""
     import uuid
 
-    from folioframe.streaming import extract_stream, stub_extractor
+    from folioframe.streaming import extract_stream, shared_folder, stub_extractor
 
     schema = d.read(spark, sf_dir, "conversations").schema
     files = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
     last = d.pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("last"))
     p = files.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text").join(last, "doc_id")
     p = p.select(F.col("doc_id").cast("string").alias("doc_id"), "page", "text", (F.col("page") == F.col("last")).alias("is_last"))
-    name = f"merged_{uuid.uuid4().hex}"
-    run = extract_stream(p, stub_extractor).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    merged = extract_stream(p, stub_extractor)
+    top = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    run = merged.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(merged.schema).parquet(f"{top}/rows")

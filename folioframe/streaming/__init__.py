@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioframe.operators.merge import cleanup, complete, empty_result, merge_next
@@ -34,6 +35,11 @@ def advance(state: dict, extract: Extractor, overlap: int) -> dict:
     return state
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for state and results; one of our own only where it names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folioframe-")
+
+
 def extract_stream(pages: DataFrame, extract: Extractor, overlap: int = 1) -> DataFrame:
     """(doc_id, n_pages, skipped, result JSON) of each document in a stream of (doc_id string, page int, text, is_last).
 
@@ -60,7 +66,7 @@ def extract_stream(pages: DataFrame, extract: Extractor, overlap: int = 1) -> Da
 
 
 def extract_batch(pages: DataFrame, extract: Extractor, overlap: int = 1) -> DataFrame:
-    """The same over a table of pages (doc_id, page, text); the result equals the stream's."""
+    """The same over a table of pages (doc_id, page, text); where page numbers run from 1 without gaps the result equals the stream's. Across a gap this goes on, while the stream waits."""
     kind = dict(pages.dtypes)["doc_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

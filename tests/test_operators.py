@@ -1,6 +1,7 @@
 """Merging, tables, orders, streaming and inference on small cases."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -263,3 +264,16 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     write_text(pages.document_text(blocks), F.col("text"), str(tmp_path / "text"))
     assert [r.value for r in spark.read.text(str(tmp_path / "text" / "doc_id=doc")).collect()] == ["é"]
+
+
+def test_least_compatible_against_pairs(spark):
+    people = [(i, s, d, p) for i, (s, d, p) in enumerate((s, d, p) for s in ("a", "b", None) for d in (None, "", "01/01/1990", "02/01/1990") for p in ("x1", None, "y2", "") for _ in range(2))]
+    random.Random(5).shuffle(people)
+    people = [(n, *row[1:]) for n, row in enumerate(people)]
+    df = spark.createDataFrame(people, "person long, scope string, dob_key string, id_key string")
+    a, b = df.alias("a"), df.alias("b")
+    fit = merge.keys_compatible(F.col("a.dob_key"), F.col("a.id_key"), F.col("b.dob_key"), F.col("b.id_key"))
+    pairs = a.join(b, F.col("a.scope") == F.col("b.scope")).where("b.person < a.person").where(fit)
+    want = {(r.p, r.m) for r in pairs.groupBy(F.col("a.person").alias("p")).agg(F.min("b.person").alias("m")).collect()}
+    assert {(r.person, r.matched) for r in merge.least_compatible(df, ["scope"], "person").collect()} == want
+    assert merge.least_compatible(df.limit(0), ["scope"], "person").count() == 0
