@@ -22,6 +22,8 @@ from folioframe.llm import textkit as tk
 from folioframe.llm.shared import cut
 
 GRAM = 8
+#: Tasks over which the texts that hold one run are dealt.
+SALTS = 8
 _U = np.uint64
 
 
@@ -182,8 +184,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = GRAM, id_co
     # islands of successive windows within a run
     by_run = Window.partitionBy("run").orderBy("i")
     islands = repeats.withColumn("island", F.col("i") - F.row_number().over(by_run)).groupBy("run", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.min("least").alias("least"))
-    islands = cut(islands)  # a join of its own, so that the skew join can split a run that very many texts hold
-    hits = runs.select("run", "id", "key", "start").join(islands, "run")
+    # a run that very many texts hold is dealt over SALTS tasks; the islands, which are few, go to each
+    salted = islands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = runs.select("run", "id", "key", "start", F.pmod(F.col("key"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["run", "salt"])
     spans = hits.select("id", "key", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + min_words).alias("e"), "least").distinct()
     before = Window.partitionBy("key", "id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("key", "id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
