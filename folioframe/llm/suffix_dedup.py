@@ -23,7 +23,7 @@ from folioframe.llm.shared import cut
 
 GRAM = 8
 #: Tasks over which the texts that hold one run are dealt.
-SALTS = 8
+SALTS = 4
 _U = np.uint64
 
 
