@@ -5,6 +5,8 @@ Interpolation is plain bilinear and does not claim to match any imaging library'
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +15,58 @@ State = dict
 Step = Callable[[State], State | None]
 
 
+def decode(image: dict, mode: str = "RGB", channel_first: bool = False) -> np.ndarray:
+    """Pixels of a decoded image (height, width, nChannels and data, in the order BGR, as sources.read_images gives them)
+    in the order of mode, RGB or BGR. Gray images are given three channels; alpha is left out."""
+    a = np.frombuffer(image["data"], np.uint8).reshape([int(image[k]) for k in ("height", "width", "nChannels")])  # pandas makes them floats beside nulls
+    a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[:, :, :3]
+    a = a[:, :, ::-1] if mode == "RGB" else a
+    return np.ascontiguousarray(a.transpose(2, 0, 1) if channel_first else a)
+
+
+def decoded(mode: str = "RGB", channel_first: bool = False) -> Step:
+    """decode() as a first step; an image without data ends the chain."""
+    return lambda s: {**s, "image": decode(s["image"], mode, channel_first)} if s["image"] is not None and s["image"]["data"] else None
+
+
+def png(image: np.ndarray) -> bytes:
+    """Gray (h, w) or RGB (h, w, 3) pixels as a PNG file."""
+    h, w = image.shape[:2]
+    rows = np.pad(image.astype(np.uint8).reshape(h, -1), ((0, 0), (1, 0)))  # each row begins with filter type 0
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def tiff(pages: list[np.ndarray], dpi: int = 300) -> bytes:
+    """Gray or RGB pages as one TIFF file, losslessly compressed (Deflate). No pages raise ValueError."""
+    if not pages:
+        raise ValueError("a TIFF file needs a page")
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
+    link = 4  # where the offset of the next directory goes
+    for image in pages:
+        h, w = image.shape[:2]
+        n = 3 if image.ndim == 3 else 1
+        data = zlib.compress(np.ascontiguousarray(image, np.uint8).tobytes())
+        at = len(out)
+        out += data + b"\0" * (len(data) % 2)
+        extra = len(out)
+        out += struct.pack("<3H2xII", 8, 8, 8, dpi, 1)
+        # Tag, type (3 short, 4 long, 5 rational), count and value of a directory's entries, by tag.
+        entries = [
+            (256, 4, 1, w), (257, 4, 1, h), (258, 3, n, extra if n == 3 else 8), (259, 3, 1, 8), (262, 3, 1, 2 if n == 3 else 1), (273, 4, 1, at),
+            (277, 3, 1, n), (278, 4, 1, h), (279, 4, 1, len(data)), (282, 5, 1, extra + 8), (283, 5, 1, extra + 8), (296, 3, 1, 2),
+        ]
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
+        link = len(out)
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
 def standardize(mean: list[float], std: list[float], scale: bool = True) -> Step:
     def run(s: State) -> State:
         x = s["image"].astype(np.float32) / (255 if scale else 1)
@@ -143,6 +197,30 @@ def resize_on_canvas(long: int = 1024, short: int = 512, multiple: int = 32) ->
     return run
 
 
+def resize_normalize(width: int, height: int, source: str = "image", name: str = "image") -> Step:
+    """CHW of a fixed size, from 0 to 1, from the state's `source` to its `name`."""
+    return lambda s: {**s, name: resize(s[source], height, width).astype(np.float32).transpose(2, 0, 1) / 255}
+
+
+def super_resolution(width: int = 128, height: int = 32, shrink: int = 4, training: bool = False) -> Step:
+    """image_lr to img_lr, smaller by `shrink`; in training also image_hr to img_hr, in full size."""
+    low = resize_normalize(width // shrink, height // shrink, "image_lr", "img_lr")
+    high = resize_normalize(width, height, "image_hr", "img_hr")
+    return (lambda s: high(low(s))) if training else low
+
+
+def line_input(height: int = 32, least: int = 32, most: int = 512) -> Step:
+    """A line of text as a batch of one: the given height, the width in proportion, up to the next ten and within both bounds."""
+
+    def run(s: State) -> State:
+        h, w = s["image"].shape[:2]
+        width = min(max(_up(height * w / h, 10), least), most)
+        out = resize_normalize(width, height)(s)
+        return {**out, "image": out["image"][None]}
+
+    return run
+
+
 def permute(order: tuple[int, ...] = (2, 0, 1)) -> Step:
     return lambda s: {**s, "image": np.ascontiguousarray(s["image"].transpose(order))}
 
@@ -227,6 +305,7 @@ STEPS: dict[str, Callable[..., Step]] = {
     "standardize": standardize, "normalize": normalize, "to_chw": to_chw, "pad": pad, "pad_stride": pad_stride, "resize": resize_to,
     "resize_limited": resize_limited, "linear_resize": linear_resize, "gray": gray, "letterbox": letterbox,
     "resize_long_side": resize_long_side, "resize_on_canvas": resize_on_canvas, "permute": permute, "crop": crop,
+    "decoded": decoded, "resize_normalize": resize_normalize, "super_resolution": super_resolution, "line_input": line_input,
 }
 
 

@@ -1,30 +1,53 @@
 """Model inference as a pluggable step.
 
-A model is a factory: it runs once in each Python worker and returns a function
-from a list of rows (dicts) to a list of rows. Rows that fail come back with an
-error text and null outputs, so one bad page does not stop a document.
+A model is a factory: it runs once in each Python worker process, whose later tasks
+find the model there, and returns a function from a list of rows (dicts) to a list of
+as many rows. Rows that fail come back with an error text and null outputs, so one bad
+page does not stop a document; a model that returns fewer or more rows fails its batch.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 Model = Callable[[list[dict]], list[dict]]
+_LOADED: dict[str, Model] = {}
+_KEPT = 4
 
 
-def infer(df: DataFrame, factory: Callable[[], Model], outputs: str, batch: int = 20, workers: int = 1, attempts: int = 3, pause: float = 0.0) -> DataFrame:
-    """df with the model's outputs (DDL) and an `error` column; `workers` batches at once in each task, each tried `attempts` times."""
-    names = [p.strip().split(" ")[0] for p in outputs.split(",")]
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {outputs}, error string"
+def _loaded(key: str, factory: Callable[[], Model]) -> Model:
+    """The process's model of an infer() call; the last few calls' models stay."""
+    if key not in _LOADED:
+        while len(_LOADED) >= _KEPT:
+            del _LOADED[next(iter(_LOADED))]
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
+
+class Permanent(Exception):
+    """A failure that a further attempt can't mend."""
+
+
+def infer(
+    df: DataFrame, factory: Callable[[], Model], outputs: str, batch: int = 20, workers: int = 1, attempts: int = 3, pause: float = 0.0, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """df, without the columns in `drop`, with the model's outputs (DDL) and an `error` column; `workers` batches at once in
+    each task, each tried `attempts` times, with a pause that doubles. A Permanent failure is not tried again."""
+    names = StructType.fromDDL(outputs).fieldNames()
+    passed = [(n, t) for n, t in df.dtypes if n not in drop]
+    schema = ", ".join(f"`{n}` {t}" for n, t in passed) + f", {outputs}, error string"
+    key = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = _loaded(key, factory)
 
         def call(rows: list[dict]) -> list[dict]:
             error = ""
@@ -34,7 +57,10 @@ def infer(df: DataFrame, factory: Callable[[], Model], outputs: str, batch: int
                     return [{**r, **{k: o.get(k) for k in names}, "error": None} for r, o in zip(rows, out, strict=True)]
                 except Exception as e:  # noqa: BLE001  any failure of a model is reported with its rows
                     error = f"{type(e).__name__}: {e}"
-                    time.sleep(pause * 2**n)
+                    if isinstance(e, Permanent):
+                        break
+                    if n + 1 < attempts:
+                        time.sleep(pause * 2**n)
             return [{**r, **dict.fromkeys(names), "error": error} for r in rows]
 
         with ThreadPoolExecutor(workers) as pool:
@@ -42,7 +68,7 @@ def infer(df: DataFrame, factory: Callable[[], Model], outputs: str, batch: int
                 rows: list[dict[str, Any]] = pdf.to_dict("records")
                 chunks = [rows[i : i + batch] for i in range(0, len(rows), batch)]
                 done = [r for part in pool.map(call, chunks) for r in part]
-                yield pd.DataFrame(done, columns=[*pdf.columns, *names, "error"])
+                yield pd.DataFrame(done, columns=[*(n for n, _ in passed), *names, "error"])
 
     return df.mapInPandas(run, schema)
 
@@ -60,28 +86,66 @@ def prompt(first: int, size: int) -> str:
     )
 
 
-def chat_model(url: str, model: str, instruction: str, timeout: float = 120, tokens: int = 4096) -> Callable[[], Model]:
-    """A factory for rows with `text` (and `image`, JPEG bytes) that asks a chat-completion server, one request a row; gives `raw`."""
+# Answers of a server that a further attempt may mend.
+PASSING = (502, 503, 504)
+
+
+def chat_request(
+    row: dict, model: str, instruction: str, tokens: int = 4096, schema: dict | None = None, json_mode: bool = False, thinking: bool | None = None
+) -> dict:
+    """The body of a chat-completion request for a row's `text` and `image` (PNG or JPEG bytes); a JSON schema is put below the instruction."""
+    import base64
+    import json
+
+    content = [{"type": "text", "text": row.get("text") or ""}]
+    if row.get("image"):
+        kind = "png" if row["image"][:4] == b"\x89PNG" else "jpeg"
+        content.append({"type": "image_url", "image_url": {"url": f"data:image/{kind};base64," + base64.b64encode(row["image"]).decode()}})
+    system = instruction if schema is None else f"{instruction}\n\nJSON SCHEMA:\n{json.dumps(schema, ensure_ascii=False, indent=2)}"
+    body = {"model": model, "temperature": 0, "max_tokens": tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": content}]}
+    if json_mode:
+        body["response_format"] = {"type": "json_object"}
+    if thinking is not None:
+        body["chat_template_kwargs"] = {"enable_thinking": thinking}
+    return body
+
+
+def chat_model(url: str, model: str, instruction: str, timeout: float = 120, **options) -> Callable[[], Model]:
+    """A factory for rows with `text` (and `image`) that asks a chat-completion server, one request a row; gives `raw`.
+
+    Options are those of chat_request(). Refusals other than PASSING are Permanent; infer() tries the rest again."""
 
     def factory() -> Model:
-        import base64
         import json
+        import urllib.error
         import urllib.request
 
         def ask(row: dict) -> dict:
-            content = [{"type": "text", "text": row.get("text") or ""}]
-            if row.get("image"):
-                content.append({"type": "image_url", "image_url": {"url": "data:image/jpeg;base64," + base64.b64encode(row["image"]).decode()}})
-            body = {"model": model, "temperature": 0, "max_tokens": tokens, "messages": [{"role": "system", "content": instruction}, {"role": "user", "content": content}]}
-            call = urllib.request.Request(f"{url}/v1/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
-            with urllib.request.urlopen(call, timeout=timeout) as reply:
-                return {"raw": json.load(reply)["choices"][0]["message"]["content"]}
+            body = json.dumps(chat_request(row, model, instruction, **options)).encode()
+            call = urllib.request.Request(f"{url}/v1/chat/completions", body, {"Content-Type": "application/json"})
+            try:
+                with urllib.request.urlopen(call, timeout=timeout) as reply:
+                    return {"raw": json.load(reply)["choices"][0]["message"]["content"]}
+            except urllib.error.HTTPError as e:
+                if e.code in PASSING:
+                    raise
+                raise Permanent(f"HTTP {e.code}") from e
 
         return lambda rows: [ask(r) for r in rows]
 
     return factory
 
 
+def greedy(step: Callable[[list[list[int]]], list[int]], size: int, go: int = 1, eos: int = 2, most: int = 129) -> list[list[int]]:
+    """Sequences of a batch, begun with `go` and continued by a model's next tokens until each holds `eos`, or after `most` steps."""
+    rows = [[go] for _ in range(size)]
+    for _ in range(most):
+        if all(eos in r for r in rows):
+            break
+        rows = [[*r, t] for r, t in zip(rows, step(rows), strict=True)]
+    return rows
+
+
 def served_models(url: str, timeout: float = 10) -> list[str]:
     """Names of the models a server offers; a driver-side check."""
     import json

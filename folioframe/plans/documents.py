@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.detection import LINES, Detector, Reader, page_reader
 from folioframe.functions import geometry as g
 from folioframe.functions import style
 from folioframe.inference import Model, infer
@@ -24,6 +25,28 @@ def detected_blocks(boxes: DataFrame, least: int = 5) -> DataFrame:
     return reading_order.numbered(kept, ["doc_id", "page"], order, "block_no").drop("__place")
 
 
+def read_pages(page_images: DataFrame, detector: Callable[[], Detector], reader: Callable[[], Reader] | None, workers: int = 1, **options) -> DataFrame:
+    """(doc_id, page, image) to lines: doc_id, page, page_w, page_h, block_no in reading order, x0..y1, quad, text, score, error.
+
+    The images go to Python once and don't come back. Pages without lines have no rows; a page that fails has one, with its error and no line. Options are those of detection.page_reader()."""
+    found = infer(page_images, page_reader(detector, reader, **options), LINES, batch=1, workers=workers, drop=("image", "regions"))
+    lines = found.select("doc_id", "page", F.col("width").alias("page_w"), F.col("height").alias("page_h"), "error", F.posexplode_outer("lines").alias("at", "line"))
+    lines = lines.where("line is not null or error is not null")
+    box = [c.alias(n) for c, n in zip(g.quad_box(F.col("line.quad"), F.lit(1.0)), ("x0", "y0", "x1", "y1"), strict=True)]
+    return lines.select("doc_id", "page", "page_w", "page_h", (F.col("at") + 1).alias("block_no"), *box, "line.quad", "line.text", "line.score", "error")
+
+
+def read_with_tables(page_images: DataFrame, regions: DataFrame, table_blocks: DataFrame, detector: Callable[[], Detector], reader: Callable[[], Reader], **options) -> DataFrame:
+    """Pages by regions: the tables' blocks (see tables_as_blocks), and the lines read outside all regions, in one
+    reading order by y0, then x0, then text: doc_id, page, x0..y1, text, type, block_no.
+
+    Regions (doc_id, page, x0..y1) are gathered for each page; pages without any are read whole. Pages that fail keep their tables only."""
+    covered = regions.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("regions"))
+    lines = read_pages(page_images.join(covered, ["doc_id", "page"], "left"), detector, reader, **options)
+    texts = lines.where("text <> ''").select("doc_id", "page", "x0", "y0", "x1", "y1", "text", F.lit("text").alias("type"))
+    return reading_order.numbered(texts.unionByName(table_blocks), ["doc_id", "page"], [F.col(c) for c in ("y0", "x0", "text")], "block_no")
+
+
 def recognized(blocks: DataFrame, read: Callable[[], Model], size: int = 20, workers: int = 4) -> DataFrame:
     """Blocks with texts: batches of a page go to a model that answers rows (doc_id, page, batch_no, labels) with `raw`.
 

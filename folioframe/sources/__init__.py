@@ -35,20 +35,55 @@ def write_text(df: DataFrame, text: Column, path: str, key: str = "doc_id", mode
     df.select(F.col(key), text.alias("value")).write.mode(mode).partitionBy(key).text(path)
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files below path, decoded by the JVM (JPEG, PNG, BMP, GIF): doc_id (the file's name), page 1 and image
+    (height, width, nChannels, data in the order BGR); null for files that are no images."""
+    files = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path)
+    image = F.when(F.col("image.height") > 0, F.struct(*(F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data"))))
+    return files.select(document_name(F.col("image.origin")).alias("doc_id"), F.lit(1).alias("page"), image.alias("image"))
+
+
+def tiff_files(pages: DataFrame, dpi: int = 300) -> DataFrame:
+    """(doc_id, page, image) to one multi-page TIFF file a document: doc_id, n_pages, content. Null images are left out, as
+    are documents without any. A document's pages meet in one task."""
+
+    def run(pdf):
+        import pandas as pd
+
+        from folioframe import images
+
+        kept = pdf[pdf["image"].notna()].sort_values("page", kind="stable")
+        rows = [(pdf["doc_id"].iloc[0], len(kept), images.tiff([images.decode(i) for i in kept["image"]], dpi))] if len(kept) else []
+        return pd.DataFrame(rows, columns=["doc_id", "n_pages", "content"])
+
+    return pages.select("doc_id", "page", "image").groupBy("doc_id").applyInPandas(run, "doc_id string, n_pages int, content binary")
+
+
 def rasterize(files: DataFrame, dpi: int = 216) -> DataFrame:
-    """One row per page of read_files(): doc_id, page, width, height, image (PNG bytes). Needs pdf2image and Pillow on the executors."""
+    """One row per page of read_files(): doc_id, page, image (as read_images gives it) and error. A file that can't be
+    read gives one row with its error and no page. Needs pdf2image and Pillow on the executors."""
     import pandas as pd
 
-    def run(frames):
-        from io import BytesIO
-
+    def pages_of(content):
         from pdf2image import convert_from_bytes
 
+        try:
+            for n, page in enumerate(convert_from_bytes(content, dpi=dpi), 1):
+                yield n, page, None
+        except Exception as e:  # noqa: BLE001  a bad file concerns only its row
+            yield None, None, f"{type(e).__name__}: {e}"
+
+    def run(frames):
+        import numpy as np
+
         for pdf in frames:
             for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-                for n, image in enumerate(convert_from_bytes(content, dpi=dpi), 1):
-                    out = BytesIO()
-                    image.save(out, "PNG")
-                    yield pd.DataFrame([{"doc_id": doc, "page": n, "width": image.width, "height": image.height, "image": out.getvalue()}])
-
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page int, width int, height int, image binary")
+                for n, page, error in pages_of(content):
+                    image = None
+                    if page is not None:
+                        bgr = np.asarray(page.convert("RGB"))[:, :, ::-1]
+                        image = {"height": bgr.shape[0], "width": bgr.shape[1], "nChannels": 3, "data": bgr.tobytes()}
+                    yield pd.DataFrame({"doc_id": [doc], "page": pd.array([n], "Int32"), "image": [image], "error": [error]})
+
+    schema = "doc_id string, page int, image struct<height:int,width:int,nChannels:int,data:binary>, error string"
+    return files.select("doc_id", "content").mapInPandas(run, schema)
