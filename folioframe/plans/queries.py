@@ -471,22 +471,47 @@ def q_tolerance_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_order.exact_order(b, ["page"], "y", 10, "idx")
 
 
-@query()
+@query(
+    # one box a step goes behind the last one that it doesn't pass
+    ", v_rank AS (SELECT page, {idx: idx, top: y0, x0: x0} AS b, row_number() OVER (PARTITION BY page ORDER BY y0, x0, idx) AS n FROM v_boxes),"
+    " v_fold AS (SELECT page, n, [b] AS l FROM v_rank WHERE n = 1 UNION ALL SELECT page, n, l[:p] || [b] || l[p + 1:] FROM (SELECT f.page, r.n, l, b,"
+    " coalesce(list_max(list_filter(range(1, len(l) + 1), lambda i: abs(l[i].top - b.top) >= 10 OR l[i].x0 <= b.x0)), 0) AS p"
+    " FROM v_fold f JOIN v_rank r ON r.page = f.page AND r.n = f.n + 1)),"
+    " v_whole AS (SELECT page, arg_max(l, n) AS l FROM v_fold GROUP BY 1), v_placed AS (SELECT page, unnest(l) AS b, unnest(range(1, len(l) + 1)) AS order_no FROM v_whole)"
+    " SELECT page, b.idx AS idx, b.top AS top, b.x0 AS x0, order_no FROM v_placed",
+    d.BOXES,
+)
 def q_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = d.boxes(spark, sf_dir).withColumnRenamed("y0", "top").select("page", "idx", "top", "x0")
     return reading_order.exact_order(b, ["page"], "page", 10, "idx")
 
 
-@query()
+@query(
+    # a step takes the region at i and the first overlapping one of the four behind it (at j), and moves on or drops one of both
+    ", v_far AS (SELECT page, n, i, l, list_min(list_filter(range(i + 1, least(i + 4, len(l)) + 1), lambda k:"
+    " NOT (l[k].x1 < l[i].x0 OR l[i].x1 < l[k].x0 OR l[k].y1 < l[i].y0 OR l[i].y1 < l[k].y0))) AS j FROM"
+    " (SELECT page, 0::BIGINT AS n, 1::BIGINT AS i, list({idx: idx, x0: x0, y0: y0, x1: x1, y1: y1, score: score} ORDER BY idx) AS l FROM v_boxes GROUP BY 1)"
+    " UNION ALL SELECT page, n, i, l, list_min(list_filter(range(i + 1, least(i + 4, len(l)) + 1), lambda k:"
+    " NOT (l[k].x1 < l[i].x0 OR l[i].x1 < l[k].x0 OR l[k].y1 < l[i].y0 OR l[i].y1 < l[k].y0))) AS j"
+    " FROM (SELECT page, n + 1 AS n, CASE WHEN gone IS NULL THEN i + 1 ELSE i END AS i, CASE WHEN gone IS NULL THEN l ELSE l[:gone - 1] || l[gone + 1:] END AS l"
+    " FROM (SELECT *, CASE WHEN j IS NULL OR shared < 0.6 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) THEN NULL"
+    " WHEN a.score > 0 AND b.score > 0 AND a.score > b.score THEN j ELSE i END AS gone"
+    " FROM (SELECT *, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared FROM (SELECT *, l[i] AS a, l[j] AS b FROM v_far WHERE i < len(l))))))"
+    " SELECT page, r.idx AS idx, '' AS type, r.score AS score, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1 FROM (SELECT page, unnest(arg_max(l, n)) AS r FROM v_far GROUP BY 1)",
+    d.BOXES,
+)
 def q_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.operators.cleanup import drop_overlapping
 
     return drop_overlapping(d.boxes(spark, sf_dir).select("page", "idx", F.lit("").alias("type"), "score", "x0", "y0", "x1", "y1"), far=5, threshold=0.6)
 
 
-@query()
+# the key alone doesn't know placeholders
+@query(" SELECT person, coalesce(name_key, CASE WHEN name = 'N/A' THEN 'n a' END) AS name_key FROM v_keys JOIN v_people USING (person)", d.PEOPLE)
 def q_name_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.people(spark, sf_dir).select("person", text.name_key(F.col("name"), exact=True).alias("name_key"))
+    """Keys of names, a third of them with full-width digits and letters; those of the plain names come out."""
+    wide = F.translate("name", "0123456789Cu", "０１２３４５６７８９Ｃｕ")
+    return d.people(spark, sf_dir).select("person", text.name_key(F.when(F.col("person") % 3 == 0, wide).otherwise(F.col("name")), exact=True).alias("name_key"))
 
 
 @query()
