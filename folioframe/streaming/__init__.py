@@ -40,29 +40,56 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folioframe-")
 
 
-def extract_stream(pages: DataFrame, extract: Extractor, overlap: int = 1) -> DataFrame:
-    """(doc_id, n_pages, skipped, result JSON) of each document in a stream of (doc_id string, page int, text, is_last).
+def close_gaps(state: dict) -> dict:
+    """The pages that came, numbered without the gaps: those that never came are given up."""
+    pages = sorted(state["waiting"], key=int)
+    return {**state, "waiting": {str(state["next"] + n): state["waiting"][p] for n, p in enumerate(pages)}}
+
 
-    A document is done when the page marked is_last and all before it have come; its state then goes.
-    Repeated pages count once. A blank page still moves the window on."""
+def document_state(extract: Extractor, overlap: int = 1, patience: int | None = None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The stateful step of extract_stream(), for applyInPandasWithState."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else {"next": 1, "waiting": {}, "recent": [], "merged": None, "last": None, "skipped": 0}
+        if state.get("done"):
+            if held.hasTimedOut:
+                held.remove()
+            return
         for pdf in frames:
             for page, text, last in zip(pdf["page"], pdf["text"], pdf["is_last"], strict=True):
                 if page >= state["next"]:
                     state["waiting"].setdefault(str(page), text or "")
                 if last:
                     state["last"] = int(page)
-        state = advance(state, extract, overlap)
-        if state["last"] is not None and state["next"] > state["last"]:
-            held.remove()
+        state = advance(close_gaps(state) if held.hasTimedOut else state, extract, overlap)
+        if held.hasTimedOut or (state["last"] is not None and state["next"] > state["last"]):
+            if held.hasTimedOut or patience is None:
+                held.remove()
+            else:
+                held.update((json.dumps({"done": True}),))
+                held.setTimeoutDuration(patience)
             result = cleanup(state["merged"]) if state["merged"] else empty_result()
-            yield pd.DataFrame([{"doc_id": key[0], "n_pages": state["last"], "skipped": state["skipped"], "result": json.dumps(result, ensure_ascii=False)}])
+            n = state["next"] - 1 if held.hasTimedOut else state["last"]
+            yield pd.DataFrame([{"doc_id": key[0], "n_pages": n, "skipped": state["skipped"], "result": json.dumps(result, ensure_ascii=False)}])
         else:
             held.update((json.dumps(state, ensure_ascii=False),))
+            if patience is not None:
+                held.setTimeoutDuration(patience)
+
+    return run
+
+
+def extract_stream(pages: DataFrame, extract: Extractor, overlap: int = 1, patience: int | None = None) -> DataFrame:
+    """(doc_id, n_pages, skipped, result JSON) of each document in a stream of (doc_id string, page int, text, is_last).
 
-    return pages.groupBy("doc_id").applyInPandasWithState(run, "doc_id string, n_pages int, skipped int, result string", "state string", "append", GroupStateTimeout.NoTimeout)
+    A document is done when the page marked is_last and all before it have come; its state then goes. Repeated pages
+    count once. A blank page still moves the window on. With patience (milliseconds), a document that no page reaches
+    for so long is given out as extract_batch would do it, with the pages that came, and pages that are repeated
+    within that time after the end are known and left out; without, it waits on, and a page repeated after the end opens it anew.
+    Patience needs a trigger that goes on: Spark never ends an availableNow run whose states may time out."""
+    timeout = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.ProcessingTimeTimeout
+    run = document_state(extract, overlap, patience)
+    return pages.groupBy("doc_id").applyInPandasWithState(run, "doc_id string, n_pages int, skipped int, result string", "state string", "append", timeout)
 
 
 def extract_batch(pages: DataFrame, extract: Extractor, overlap: int = 1) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import json
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,57 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = extract_batch(spark.createDataFrame(rows, schema).drop("is_last"), stub_extractor)
     assert sorted(spark.table("stream_equals_batch").collect()) == sorted(batch.collect())
 
+    # with patience, all pages in one batch; the stream doesn't end by itself
+    run = extract_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), stub_extractor, patience=600_000)
+    q = run.writeStream.format("memory").queryName("patient_stream").outputMode("append").start()
+    for _ in range(60):
+        if q.exception() or spark.table("patient_stream").count() == 3:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(spark.table("patient_stream").collect()) == sorted(batch.collect())
+
+
+class Held:
+    """The state of one document, as the stream would hold it."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.timeout = ms
+
+
+def test_stream_gives_up_pages_that_never_come(spark):
+    from folioframe.streaming import document_state, extract_batch, stub_extractor
+
+    held, run = Held(), document_state(stub_extractor, patience=1000)
+
+    def feed(*rows):
+        frames = [pd.DataFrame(rows, columns=["page", "text", "is_last"])] if rows else []
+        return [tuple(r) for f in run(("d",), iter(frames), held) for r in f.itertuples(index=False)]
+
+    assert feed((1, "a b", False)) == [] and held.timeout == 1000
+    assert feed((4, "e f", True), (3, "c d", False)) == []  # page 2 is missing
+    held.hasTimedOut = True
+    (got,) = feed()
+    pages = spark.createDataFrame([("d", 1, "a b"), ("d", 3, "c d"), ("d", 4, "e f")], "doc_id string, page int, text string")
+    assert got == tuple(extract_batch(pages, stub_extractor).collect()[0]) and held.value is None
+
+    held.hasTimedOut = False
+    assert len(feed((1, "a b", True))) == 1 and feed((1, "a b", True)) == []  # a repeated page is known
+    held.hasTimedOut = True
+    assert feed() == [] and held.value is None
+
 
 def test_inference_reports_failures(spark):
     def broken():
