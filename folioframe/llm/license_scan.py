@@ -3,9 +3,10 @@
 Texts are cut into overlapping windows, sized to the templates: templates of at
 most s shingles (s a power of GROWTH) are sought in windows of 2 s shingles, one
 beginning every s, so an occurrence lies whole in some window. A window retrieves a template
-if any of BANDS one-row MinHash bands agree. A window that contains `threshold` of
-a template has a Jaccard similarity of at least 0.8 / (2 GROWTH + 0.2), and misses
-it with a probability below 1e-6. Retrieved templates are verified by exact shingle containment.
+if any of its one-row MinHash bands agree. A window of 2 s shingles that contains a share t of
+a template of n has a Jaccard similarity of at least t n / (2 s + (1 - t) n); there are as many bands
+as it takes for such a window to miss its template with a probability below MISS, whatever t and
+the templates are. Retrieved templates are verified by exact shingle containment.
 
 Two MinHash values agree only on a shingle of the template, so windows without
 any template's shingle are not signed.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from folioframe.llm import textkit as tk
 
 GROWTH = 1.3
-BANDS = 48
+MISS = 1e-6
 WORDS = 5
 # License notices and headers, as their publishers word them.
 TEMPLATES = {
@@ -38,7 +39,6 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 _U = np.uint64
-_SEEDS = tk.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def plain(texts: pa.Array) -> pa.Array:
@@ -51,36 +51,44 @@ def plain(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(table[raw].tobytes()))
 
 
-def _mins(h: np.ndarray) -> np.ndarray:
-    return tk.mix(h[None, :] ^ _SEEDS[:, None]).min(axis=1)
+def bands(t: float, n: int, size: int) -> int:
+    """Bands for templates of n shingles in windows of 2 size, by the bound above."""
+    least = min(t * n / (2 * size + (1 - t) * n), 0.999)
+    return math.ceil(math.log(MISS) / math.log(1 - least))
 
 
 class Library:
-    def __init__(self, templates: dict[str, str], k: int):
+    def __init__(self, templates: dict[str, str], k: int, num: int, den: int):
+        self.num, self.den = num, den
         self.names = list(templates)
         h, b = tk.shingles(tk.words(plain(pa.array(templates.values(), pa.string()))), k)
         self.sets = [np.unique(h[b[i] : b[i + 1]]) for i in range(len(self.names))]
         self.universe = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
-        self.signs = [_mins(s) if len(s) else None for s in self.sets]
         self.classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):
                 top = math.ceil(GROWTH ** math.ceil(math.log(b[i + 1] - b[i]) / math.log(GROWTH) - 1e-9))
                 self.classes.setdefault(max(1, top), []).append(i)
+        count = max((bands(num / den, len(self.sets[i]), size) for size, members in self.classes.items() for i in members), default=1)
+        self.seeds = tk.mix(np.arange(1, count + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        self.signs = [self.sign(s) if len(s) else None for s in self.sets]
 
-    def find(self, h: np.ndarray, hits: np.ndarray, num: int, den: int) -> dict[int, tuple[int, int, int]]:
+    def sign(self, h: np.ndarray) -> np.ndarray:
+        return tk.mix(h[None, :] ^ self.seeds[:, None]).min(axis=1)
+
+    def find(self, h: np.ndarray, hits: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """For a text's shingles and the positions of those in the universe: template -> (shared, first, last) of its best window."""
         best: dict[int, tuple[int, int, int]] = {}
         for size, members in self.classes.items():
             for start in np.unique(np.concatenate([hits // size, np.maximum(hits // size - 1, 0)])) * size:
                 window = h[start : start + 2 * size]
-                sign = _mins(window)
+                sign = self.sign(window)
                 for t in members:
                     if not (sign == self.signs[t]).any():
                         continue
                     at = np.flatnonzero(np.isin(window, self.sets[t]))
                     shared = len(np.unique(window[at]))
-                    if shared * den >= num * len(self.sets[t]) and shared > best.get(t, (0,))[0]:
+                    if shared * self.den >= self.num * len(self.sets[t]) and shared > best.get(t, (0,))[0]:
                         best[t] = (shared, int(start + at[0]), int(start + at[-1]))
         return best
 
@@ -95,13 +103,15 @@ def scan_licenses(
     Case and ASCII punctuation are ignored. A template of fewer than k words is one shingle and matches
     only texts that consist of it. Null and empty texts match nothing. Repeated
     rows each give their rows; of equal windows the first counts. Templates
-    travel to the tasks: they are a parameter, not data. Extra columns are not read.
+    travel to the tasks: they are a parameter, not data. Extra columns are not read. num / den lies above 0 and at most at 1.
     """
+    if not 0 < num <= den:
+        raise ValueError("num / den must lie above 0 and at most at 1")
     known = TEMPLATES if templates is None else templates
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        lib = Library(known, k)
+        lib = Library(known, k, num, den)
         for b in tk.slices(batches, "text"):
             w = tk.words(plain(b.column("text")))
             h, bounds = tk.shingles(w, k)
@@ -110,7 +120,7 @@ def scan_licenses(
             rows, out = [], []
             ends = np.searchsorted(where, bounds)
             for i in np.flatnonzero(np.diff(ends)):
-                found = lib.find(h[bounds[i] : bounds[i + 1]], where[ends[i] : ends[i + 1]] - bounds[i], num, den)
+                found = lib.find(h[bounds[i] : bounds[i + 1]], where[ends[i] : ends[i + 1]] - bounds[i])
                 words = int(w.bounds[i + 1] - w.bounds[i])
                 for t, (n, first, last) in sorted(found.items()):
                     rows.append(i)

@@ -226,8 +226,48 @@ def test_license_scan(spark):
 
 
 def test_license_bands_meet_their_bound():
-    worst = 0.8 / (2 * license_scan.GROWTH + 0.2)
-    assert (1 - worst) ** license_scan.BANDS < 1e-6
+    for num in (30, 50, 80, 100):
+        lib = license_scan.Library(license_scan.TEMPLATES, 5, num, 100)
+        for size, members in lib.classes.items():
+            for t in members:
+                n, share = len(lib.sets[t]), num / 100
+                assert (1 - share * n / (2 * size + (1 - share) * n)) ** len(lib.seeds) < 1e-6
+
+
+@pytest.mark.parametrize("num", [50, 80, 100])
+def test_license_scan_equals_brute_force(spark, num):
+    """All windows against all templates, by sets of words: every template found, with its share, none besides."""
+    rng = random.Random(num)
+    templates = {**license_scan.TEMPLATES, "short": "use it well", "repeats": "go on and on and on and on and on and on again"}
+
+    def tokens(t):
+        return [w.translate(LOWER) for w in re.split(r"[\x20\x09-\x0D!-/:-@\[-`{-~]+", t or "") if w]
+
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+
+    rows = [(1, None), (2, ""), (3, "Use it, well!"), (4, "so use it well now then")]
+    for i in range(5, 140):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(list(templates.values())).split(" ")
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(99)}"
+            parts += [vocabulary_text(rng, rng.randrange(60)), " ".join(w[rng.randrange(2) :])]
+        rows.append((i, "\n".join(parts)))
+    want = set()
+    for i, text in rows:
+        g = grams(tokens(text))
+        for name, template in templates.items():
+            own = grams(tokens(template))
+            power = next(p for p in range(99) if license_scan.GROWTH**p >= len(own) - 1e-6)
+            size = max(1, math.ceil(license_scan.GROWTH**power))
+            best = max((len(set(g[a : a + 2 * size]) & set(own)) for a in range(0, len(g), size)), default=0)
+            if best * 100 >= num * len(set(own)) and best:
+                want.add((i, name, best, len(set(own))))
+    found = license_scan.scan_licenses(frame(spark, rows), templates, num=num).collect()
+    got = {(r.doc_id, r.license, r.n_shared, r.n_template) for r in found}
+    assert len(want) > 20 and got == want and len(found) == len(got)
 
 
 # 3
