@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import decontaminate, embedding_dedup, license_scan, lm_scoring, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts
+from folioframe.llm import decontaminate, embedding_dedup, license_scan, lm_scoring, merkle, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts
 from folioframe.llm.shared import cut, table
 
 
@@ -148,6 +149,50 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle.COLUMNS}
+    changed = fields | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.leaf(list(fields.values()))
+    held = merkle.manifest(docs, keep={"shown": F.when(chosen, merkle.leaf(list(changed.values()))).otherwise(found)})
+    siblings = F.array_join(F.transform("proof", lambda p: F.concat(p["before"], p["after"])), "")
+    held = held.select("doc_id", "leaf", "subroot", "root", merkle.digest(siblings).alias("proof_sha256"), merkle.fold(F.col("shown"), F.col("proof")).alias("folded_root"))
+    return held.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB's expression of the CRC-32 of an ASCII text: the table's eight steps a byte written out."""
+    bit = "list_reduce(list_prepend(xor({}, {}), range(8)::BIGINT[]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: {bit.format('a', 'x')}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+  || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS ahead FROM documents),
+l AS (SELECT doc_id, lang, sha256(ahead || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(ahead || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS tampered FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t AS (SELECT lang, 0 AS lvl, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM p
+  UNION ALL SELECT lang, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM t WHERE n > 1 GROUP BY lang, lvl, i // 8),
+r AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, lvl AS depth FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, subroot AS h, count(*) OVER () AS n FROM r
+  UNION ALL SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM u WHERE n > 1 GROUP BY lvl, i // 8),
+w AS (SELECT h AS root, lvl AS depth FROM u WHERE n = 1),
+s AS (SELECT lang, lvl, i, coalesce(string_agg(h, '' ORDER BY i) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '' ORDER BY i) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM t WHERE n > 1 WINDOW run AS (PARTITION BY lang, lvl, i // 8 ORDER BY i)),
+v AS (SELECT lvl, i, coalesce(string_agg(h, '' ORDER BY i) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '' ORDER BY i) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM u WHERE n > 1 WINDOW run AS (PARTITION BY lvl, i // 8 ORDER BY i)),
+f AS (SELECT p.doc_id, p.lang, p.i, 0 AS k, leaf, CASE WHEN {_crc32("p.doc_id::VARCHAR")} % 3 = 0 THEN tampered ELSE leaf END AS h, '' AS proof, r.subroot, r.depth, r.i AS place
+    FROM p JOIN r ON r.lang IS NOT DISTINCT FROM p.lang
+  UNION ALL SELECT f.doc_id, f.lang, f.i, k + 1, leaf, sha256(coalesce(s.before, v.before) || h || coalesce(s.after, v.after)), proof || coalesce(s.before, v.before) || coalesce(s.after, v.after), subroot, f.depth, place
+    FROM f CROSS JOIN w LEFT JOIN s ON s.lang IS NOT DISTINCT FROM f.lang AND s.lvl = k AND s.i = f.i // (8 ** k)::BIGINT
+    LEFT JOIN v ON k >= f.depth AND v.lvl = k - f.depth AND v.i = place // (8 ** greatest(k - f.depth, 0))::BIGINT
+    WHERE k < f.depth + w.depth)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM f, w WHERE k = f.depth + w.depth
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_secret_scans": op1_secret_scans,
@@ -160,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scans": _op1_sql(),
@@ -167,4 +213,5 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": OP4_SQL,
     "op8_suffix_array_dedup": OP8_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
