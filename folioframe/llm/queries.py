@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import decontaminate, embedding_dedup, license_scan, lm_scoring, merkle, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts
-from folioframe.llm.shared import cut, table
+from folioframe.llm import decontaminate, embedding_dedup, erasure, license_scan, lm_scoring, merkle, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts, topk
+from folioframe.llm.shared import cut, folder, table
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +194,24 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_r
 """
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
+def op13_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines")]
+    return erasure.erase_clients(*tables, at=f"{folder(spark)}/erased-{uuid.uuid4().hex}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_secret_scans": op1_secret_scans,
@@ -206,6 +225,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_cascading_erasure": op13_cascading_erasure,
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scans": _op1_sql(),
@@ -214,4 +235,5 @@ ORACLES: dict[str, str] = {
     "op8_suffix_array_dedup": OP8_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_exact_topk": OP12_SQL,
 }

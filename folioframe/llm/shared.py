@@ -64,15 +64,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in a new folder of the cluster's shared one: what cut does, at a fraction of the disk for wide rows."""
-    at = f"{folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+def written(df: DataFrame, at: str | None = None) -> DataFrame:
+    """df as Parquet in a new folder (the cluster's shared one, where none is named): what cut does, at a fraction of the disk for wide rows."""
+    at = at or f"{folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def numbered(df: DataFrame, order: list[str], group: list[str] | None = None) -> DataFrame:
-    """df, written once, with at (long, unique), pos (long, from 0: the row's place in its group's order) and total (the group's rows).
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of our own, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: list[str], group: list[str] | None = None, at: str | None = None) -> DataFrame:
+    """df, written once (to `at`, where named), with at (long, unique), pos (long, from 0: the row's place in its group's order) and total (the group's rows).
 
     A range shuffle sorts the rows over all tasks; each task numbers its own, and
     the tasks' counts, a row for each task and group, give the places where they
@@ -83,7 +89,7 @@ def numbered(df: DataFrame, order: list[str], group: list[str] | None = None) ->
     keys = [*group, *order, "_salt"]
     rows = df.withColumn("_salt", F.spark_partition_id())
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
-    rows = written(rows.withColumn("at", F.monotonically_increasing_id()))
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), at)
     task = F.shiftright("at", 33)
     counts = rows.groupBy(task.alias("_task"), *group).agg(F.count("*").alias("_rows"), F.min("at").alias("_least"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
