@@ -2,11 +2,15 @@
 
 The fold depends on order: an entity is matched against what has been merged so
 far, so it runs as one sequential function per document; documents run in parallel.
+An index of keys finds each entity's place, so time grows with the entities, not
+with their square.
 Records are dicts of the extraction schema.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -75,23 +79,23 @@ def compatible(a: tuple, b: tuple) -> bool:
     return all(not (x and y) or x == y for x, y in zip(a[1:], b[1:], strict=True))
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _clauses(item: str) -> tuple[tuple, ...]:
+    """(key, article or None, specific, display) of an item's clauses."""
+    text = _CODE_LONG.sub("BLHS", unicodedata.normalize("NFKC", item.translate(_FOLD)))
+    text = " ".join(text.strip(" .;,").split())
+    code = "BLHS" if _CODE.search(text) else None
+    found = []
+    for point, clause, article in (m.groups() for m in _CLAUSE.finditer(text)):
+        parts_shown = (point and clause and f"điểm {point.casefold()}", clause and f"khoản {clause}", f"Điều {article}", code)
+        key = (code, article.casefold(), clause and clause.casefold(), point and point.casefold())
+        found.append((key, key[:2], bool(clause or point), " ".join(x for x in parts_shown if x)))
+    return tuple(found) or ((("raw", _folded(text)), None, False, text),)
+
+
 def merge_laws(items: list) -> list[str]:
     """Displays of the clauses in order; general ones go where their article has a specific one, and repeats go."""
-    found: list[tuple] = []  # (key, article or None, specific, display)
-    for item in items:
-        if null_like(item):
-            continue
-        text = _CODE_LONG.sub("BLHS", unicodedata.normalize("NFKC", str(item).translate(_FOLD)))
-        text = " ".join(text.strip(" .;,").split())
-        code = "BLHS" if _CODE.search(text) else None
-        parts = [m.groups() for m in _CLAUSE.finditer(text)]
-        for point, clause, article in parts:
-            parts_shown = (point and clause and f"điểm {point.casefold()}", clause and f"khoản {clause}", f"Điều {article}", code)
-            shown = [x for x in parts_shown if x]
-            key = (code, article.casefold(), clause and clause.casefold(), point and point.casefold())
-            found.append((key, key[:2], bool(clause or point), " ".join(shown)))
-        if not parts:
-            found.append((("raw", _folded(text)), None, False, text))
+    found = [x for item in items if not null_like(item) for x in _clauses(str(item))]
     exact = {article for _, article, specific, _ in found if specific}
     out: dict[tuple, str] = {}
     for key, article, specific, shown in found:
@@ -100,11 +104,11 @@ def merge_laws(items: list) -> list[str]:
     return list(out.values())
 
 
-def merge_lists(name: str, old: list, new: list) -> list:
-    """Old items stay, repeats among them too; new ones follow if their key is new and they aren't null-like."""
+def merge_lists(name: str, old: list, new: list, seen: set | None = None) -> list:
+    """Old items stay, repeats among them too; new ones follow if their key is new and they aren't null-like. seen: the old items' keys, where known; old and seen are then extended."""
     if name == LAWS:
         return merge_laws(old + new)
-    seen, out = {item_key(x) for x in old if not null_like(x)}, list(old)
+    seen, out = ({item_key(x) for x in old if not null_like(x)}, list(old)) if seen is None else (seen, old)
     for x in new:
         if not null_like(x) and (k := item_key(x)) not in seen:
             seen.add(k)
@@ -112,8 +116,10 @@ def merge_lists(name: str, old: list, new: list) -> list:
     return out
 
 
-def fill(base: dict, new: dict) -> dict:
-    """base with its null-like values taken from new; structs are filled field by field, lists extended, other values stay."""
+def fill(base: dict, new: dict, seen: dict | None = None, at: tuple = ()) -> dict:
+    """base with its null-like values taken from new; structs are filled field by field, lists extended, other values stay.
+
+    seen: for each list of base that has been extended before, by its path, its items' keys."""
     out = dict(base)
     for name, had in base.items():
         got = new.get(name)
@@ -122,40 +128,110 @@ def fill(base: dict, new: dict) -> dict:
         if null_like(had):
             out[name] = got
         elif isinstance(had, dict) and isinstance(got, dict):
-            out[name] = fill(had, got)
+            out[name] = fill(had, got, seen, (*at, name))
         elif isinstance(had, list) and isinstance(got, list):
-            out[name] = merge_lists(name, had, got)
+            keys = None
+            if seen is not None and name != LAWS:
+                keys = seen.get((*at, name))
+                if keys is None:
+                    keys, had = {item_key(x) for x in had if not null_like(x)}, list(had)
+                    seen[(*at, name)] = keys
+            out[name] = merge_lists(name, had, got, keys)
     return out
 
 
-def place_of(entities: list[dict], new: dict) -> int | None:
-    """Where new belongs: the first of its name with no conflicting key, else the first empty one; without a name, the last."""
-    key = entity_key(new)
-    if key[0] is None:
-        return len(entities) - 1 if entities else None
-    for i, e in enumerate(entities):
-        k = entity_key(e)
-        if k[0] == key[0] and compatible(k, key):
-            return i
-    return next((i for i, e in enumerate(entities) if empty(e)), None)
-
-
-def absorb(entities: list[dict], new: dict) -> list[dict]:
-    at = place_of(entities, new)
-    if at is not None:
-        return [fill(e, new) if i == at else e for i, e in enumerate(entities)]
-    return [*entities, new] if entity_key(new)[0] is not None else entities
-
-
-def merge_next(base: dict | None, part: dict) -> dict:
-    """The fold's step. The first part is taken as it is."""
-    if base is None:
-        return part
-    entities = base["danh_sach_doi_tuong"]
-    for new in part.get("danh_sach_doi_tuong") or []:
-        if not empty(new):
-            entities = absorb(entities, new)
-    return {**base, "thong_tin_chung": fill(base.get("thong_tin_chung") or {}, part.get("thong_tin_chung") or {}), "danh_sach_doi_tuong": entities}
+ANY = object()
+
+
+def _held_under(key: tuple) -> list[tuple]:
+    """Where an entity of this key is found: by its name with each of its other keys, or any."""
+    name, born, paper = key
+    return [(name, b, p) for b in (born or None, ANY) for p in (paper or None, ANY)]
+
+
+def _asked_under(key: tuple) -> list[tuple]:
+    """Where the entities stand that no key of this one rules out."""
+    name, born, paper = key
+    return [(name, b, p) for b in ((born, None) if born else (ANY,)) for p in ((paper, None) if paper else (ANY,))]
+
+
+class Entities:
+    """Entities in order, indexed by what they can be asked for, so that each new one finds its place without a look at all.
+
+    For every combination of name, birth date and paper number (each known, unknown or any) a heap holds the places of
+    the entities; entries whose entity has changed its key since go when they come up."""
+
+    def __init__(self, items: list[dict] | None = None):
+        self.items: list[dict] = []
+        self._keys: list[tuple] = []
+        self._heaps: dict[tuple, list[int]] = {}
+        self._blank: list[int] = []
+        self._seen: dict[int, dict] = {}
+        for e in items or []:
+            self._append(e)
+
+    def _append(self, e: dict) -> None:
+        if empty(e):
+            heapq.heappush(self._blank, len(self.items))
+        self.items.append(e)
+        self._keys.append((None, None, None))
+        self._file(len(self.items) - 1)
+
+    def _file(self, i: int) -> None:
+        key = entity_key(self.items[i])
+        if key != self._keys[i]:
+            self._keys[i] = key
+            if key[0] is not None:
+                for b in _held_under(key):
+                    heapq.heappush(self._heaps.setdefault(b, []), i)
+
+    def place_of(self, key: tuple) -> int | None:
+        """Where an entity of this key belongs: the first of its name with no conflicting key, else the first empty one; without a name, the last."""
+        if key[0] is None:
+            return len(self.items) - 1 if self.items else None
+        found = []
+        for b in _asked_under(key):
+            heap = self._heaps.get(b, [])
+            while heap and b not in _held_under(self._keys[heap[0]]):
+                heapq.heappop(heap)
+            found += heap[:1]
+        while not found and self._blank and not empty(self.items[self._blank[0]]):
+            heapq.heappop(self._blank)
+        return min(found) if found else self._blank[0] if self._blank else None
+
+    def absorb(self, new: dict) -> None:
+        key = entity_key(new)
+        at = self.place_of(key)
+        if at is not None:
+            self.items[at] = fill(self.items[at], new, self._seen.setdefault(at, {}))
+            self._file(at)
+        elif key[0] is not None:
+            self._append(new)
+
+
+class Fold:
+    """The merge of a document's parts in their order. The first part is taken as it is."""
+
+    def __init__(self, merged: dict | None = None):
+        self._base = merged
+        self._entities = Entities((merged or {}).get("danh_sach_doi_tuong"))
+
+    @property
+    def merged(self) -> dict | None:
+        """What has been merged so far, for a later Fold to go on from."""
+        return self._base and {**self._base, "danh_sach_doi_tuong": self._entities.items}
+
+    def add(self, part: dict) -> None:
+        if self._base is None:
+            self._base, self._entities = part, Entities(part["danh_sach_doi_tuong"])
+            return
+        for new in part.get("danh_sach_doi_tuong") or []:
+            if not empty(new):
+                self._entities.absorb(new)
+        self._base = {**self._base, "thong_tin_chung": fill(self._base.get("thong_tin_chung") or {}, part.get("thong_tin_chung") or {})}
+
+    def result(self) -> dict:
+        return cleanup(self.merged) if self._base else empty_result()
 
 
 def sanitize(v: Any) -> Any:
@@ -170,10 +246,11 @@ def sanitize(v: Any) -> Any:
 def cleanup(result: dict) -> dict:
     """Placeholders to null, empty entities out, entities matched once more from scratch, law lists normalised."""
     result = sanitize(result)
-    entities: list[dict] = []
+    matched = Entities()
     for e in result.get("danh_sach_doi_tuong") or []:
         if not empty(e):
-            entities = absorb(entities, e)
+            matched.absorb(e)
+    entities = matched.items
     for i, e in enumerate(entities):
         verdict = e.get("thong_tin_ket_an") or {}
         if isinstance(verdict.get(LAWS), list):
@@ -195,10 +272,10 @@ def complete(v: Any, kind: T.DataType, name: str = "") -> Any:
 
 
 def fold(parts: list[dict]) -> dict:
-    base = None
+    merged = Fold()
     for p in parts:
-        base = merge_next(base, complete(p, EXTRACTION))
-    return cleanup(base) if base else empty_result()
+        merged.add(complete(p, EXTRACTION))
+    return merged.result()
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:

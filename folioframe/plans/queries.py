@@ -545,18 +545,14 @@ def q_extract_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as a stream; equals q_extract_batch."""
+    """The pages as a stream of whole documents that a producer hands out page by page; equals q_extract_batch."""
     import uuid
 
-    from folioframe.streaming import extract_stream, shared_folder, stub_extractor
+    from folioframe.streaming import documents_stream, extract_stream, land_documents, pages_of, shared_folder, stub_extractor
 
-    schema = d.read(spark, sf_dir, "conversations").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
-    last = d.pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("last"))
-    p = files.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text").join(last, "doc_id")
-    p = p.select(F.col("doc_id").cast("string").alias("doc_id"), "page", "text", (F.col("page") == F.col("last")).alias("is_last"))
-    merged = extract_stream(p, stub_extractor)
     top = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    land_documents(d.pages(spark, sf_dir), f"{top}/landed")
+    merged = extract_stream(pages_of(documents_stream(spark, f"{top}/landed")), stub_extractor)
     run = merged.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(merged.schema).parquet(f"{top}/rows")

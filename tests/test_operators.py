@@ -29,8 +29,90 @@ def names(result):
     return [(e["bi_cao_vn"] or {}).get("ho_va_ten") for e in result["danh_sach_doi_tuong"]]
 
 
+def merged(*parts):
+    """What the fold holds before its cleanup."""
+    fold = merge.Fold()
+    for p in parts:
+        fold.add(merge.complete(p, EXTRACTION))
+    return fold.merged
+
+
+def plain_place(entities, new):
+    """Where an entity belongs, by a look at all."""
+    key = merge.entity_key(new)
+    if key[0] is None:
+        return len(entities) - 1 if entities else None
+    for i, e in enumerate(entities):
+        k = merge.entity_key(e)
+        if k[0] == key[0] and merge.compatible(k, key):
+            return i
+    return next((i for i, e in enumerate(entities) if merge.empty(e)), None)
+
+
+def plain_absorb(entities, new):
+    at = plain_place(entities, new)
+    if at is not None:
+        return [merge.fill(e, new) if i == at else e for i, e in enumerate(entities)]
+    return [*entities, new] if merge.entity_key(new)[0] is not None else entities
+
+
+def plain_fold(parts):
+    """The fold without an index: every entity is compared with all."""
+    base = None
+    for p in (merge.complete(p, EXTRACTION) for p in parts):
+        if base is None:
+            base = p
+            continue
+        entities = base["danh_sach_doi_tuong"]
+        for new in p["danh_sach_doi_tuong"]:
+            if not merge.empty(new):
+                entities = plain_absorb(entities, new)
+        base = {**base, "thong_tin_chung": merge.fill(base["thong_tin_chung"] or {}, p["thong_tin_chung"] or {}), "danh_sach_doi_tuong": entities}
+    if base is None:
+        return merge.empty_result()
+    result, entities = merge.sanitize(base), []
+    for e in result["danh_sach_doi_tuong"]:
+        if not merge.empty(e):
+            entities = plain_absorb(entities, e)
+    for e in entities:
+        if (e["thong_tin_ket_an"] or {}).get(merge.LAWS) is not None:
+            e["thong_tin_ket_an"][merge.LAWS] = merge.merge_laws(e["thong_tin_ket_an"][merge.LAWS])
+    return {**result, "danh_sach_doi_tuong": entities}
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_fold_is_the_plain_fold(seed):
+    """Keys that are known, unknown or filled later, placeholders, empty entities, foreign names behind own ones, lists that grow."""
+    rng = random.Random(seed)
+    pick = lambda *v: rng.choice(v)
+
+    def one():
+        if rng.random() < 0.15:
+            return pick({}, person(), {"bi_cao_vn": None, "thong_tin_ket_an": {"ten_toi_danh": None}})
+        e = person(pick("A", "a ", "B", "C", None, "N/A", "", "..."), pick(None, "1/1/90", "01-01-1990", "2/2/1991", "", "null"), [pick("x", "X ", "y", "z", "null", None) for _ in range(rng.randrange(3))])
+        e["bi_cao_vn"]["giay_to_dinh_danh"] = pick(None, {}, {"so_giay_to": pick("1", "2", "-", None)})
+        e["bi_cao_nuoc_ngoai"] = pick(None, None, {"ho_ten": pick("A", "F", None), "so_giay_to": pick("1", "9", None), "ngay_sinh": pick(None, "3/3/1993")})
+        e["thong_tin_ket_an"][merge.LAWS] = [pick("Điều 5", "khoản 1 Điều 5", "điểm a Điều 5 BLHS", "other", "null") for _ in range(rng.randrange(3))]
+        return e
+
+    parts = [part(*(one() for _ in range(rng.randrange(4))), note=pick(None, "N/A", "n", "")) for _ in range(rng.randrange(1, 14))]
+    assert merge.fold(parts) == plain_fold(json.loads(json.dumps(parts)))
+
+
+def test_fold_of_a_hundred_thousand_entities():
+    """Names that differ, one name with many birth dates, and one entity that takes a long list."""
+    parts = [part(*(person(f"N{i + k}", crimes=["x"]) for k in range(100))) for i in range(0, 60_000, 100)]
+    parts += [part(*(person("Same", f"{d % 28 + 1}/{d // 28 % 12 + 1}/{1000 + d // 336}") for d in range(i, i + 100))) for i in range(0, 40_000, 100)]
+    parts += [part(*(person("Same", f"{d % 28 + 1}/{d // 28 % 12 + 1}/{1000 + d // 336}", [f"again {d}"]) for d in range(i, i + 100))) for i in range(0, 40_000, 100)]
+    parts += [part(person("N5", crimes=[f"crime {i}"])) for i in range(20_000)]
+    began = time.time()
+    out = merge.fold(parts)["danh_sach_doi_tuong"]
+    assert time.time() - began < 90
+    assert len(out) == 100_000 and len(out[5]["thong_tin_ket_an"]["ten_toi_danh"]) == 20_001 and out[-1]["thong_tin_ket_an"]["ten_toi_danh"] == ["again 39999"]
+
+
 def test_first_part_is_taken_whole_and_cleaned_later():
-    base = merge.merge_next(None, merge.complete(part(person("A"), person("A")), EXTRACTION))
+    base = merged(part(person("A"), person("A")))
     assert names(base) == ["A", "A"]
     assert names(merge.fold([part(person("A"), person("A"))])) == ["A"]
 
@@ -53,7 +135,7 @@ def test_header_takes_the_first_known(first, want):
 
 
 def test_empty_entity_is_filled_and_no_part_gives_the_template():
-    assert names(merge.merge_next(merge.complete(part(person()), EXTRACTION), part(person("B")))) == ["B"]
+    assert names(merged(part(person()), part(person("B")))) == ["B"]
     assert merge.fold([]) == merge.empty_result()
 
 
@@ -149,68 +231,90 @@ def test_cleanup_drops_the_lower_score():
     assert keep_apart([a, {**a, "x0": 9, "x1": 30}], 2, 0.7)[0] is a
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from folioframe.streaming import extract_batch, extract_stream, stub_extractor
+PAGE = "doc_id string, page int, text string, is_last boolean"
 
-    rows = [(f"d{i}", p, f"Name{i % 2} Last word{p}\nline", p == 4) for i in range(3) for p in (3, 1, 4, 2)]
-    schema = "doc_id string, page int, text string, is_last boolean"
-    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "in"))
-    run = extract_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), stub_extractor)
-    q = run.writeStream.format("memory").queryName("stream_equals_batch").outputMode("append").trigger(availableNow=True).start()
+
+def streamed(spark, rows, top, **options):
+    """One availableNow run over all files of top/in, going on from top/state; rows that are new."""
+    from folioframe.streaming import extract_stream, stub_extractor
+
+    if rows:
+        spark.createDataFrame(rows, PAGE).repartition(4).write.mode("append").parquet(f"{top}/in")
+    run = extract_stream(spark.readStream.schema(PAGE).options(**options).parquet(f"{top}/in"), stub_extractor)
+    q = run.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    batch = extract_batch(spark.createDataFrame(rows, schema).drop("is_last"), stub_extractor)
-    assert sorted(spark.table("stream_equals_batch").collect()) == sorted(batch.collect())
+    return sorted(tuple(r) for r in spark.read.schema(run.schema).parquet(f"{top}/out").collect())
 
-    # with patience, all pages in one batch; the stream doesn't end by itself
-    run = extract_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), stub_extractor, patience=600_000)
-    q = run.writeStream.format("memory").queryName("patient_stream").outputMode("append").start()
-    for _ in range(60):
-        if q.exception() or spark.table("patient_stream").count() == 3:
-            break
-        time.sleep(0.5)
-    q.stop()
-    assert sorted(spark.table("patient_stream").collect()) == sorted(batch.collect())
 
+def batched(spark, rows):
+    from folioframe.streaming import extract_batch, stub_extractor
 
-class Held:
-    """The state of one document, as the stream would hold it."""
+    return sorted(tuple(r) for r in extract_batch(spark.createDataFrame(rows, PAGE).drop("is_last"), stub_extractor).collect())
 
-    def __init__(self):
-        self.value, self.timeout, self.hasTimedOut = None, None, False
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
+def test_stream_equals_batch(spark, tmp_path):
+    rows = [(f"d{i}", p, f"Name{i % 2} Last word{p}\nline", p == 4) for i in range(3) for p in (3, 1, 4, 2)]
+    assert streamed(spark, rows, tmp_path, maxFilesPerTrigger=1) == batched(spark, rows)
 
-    def update(self, value):
-        self.value = value
 
-    def remove(self):
-        self.value = None
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Pages that came early, the texts before and the record outlive a restart; a repeated page counts once, its first text stays."""
+    rows = [("a", p, f"A{p} b\nc{p % 3}", p == 9) for p in range(1, 10)] + [("b", 1, None, True), ("c", 1, "x", False), ("c", 2, "  ", False), ("c", 3, "y z", True)]
+    first = [r for r in rows if r[:2] in {("a", 1), ("a", 2), ("a", 5), ("a", 9), ("c", 3)}]
+    assert streamed(spark, first, tmp_path) == []
+    assert streamed(spark, [("a", 5, "other text", False), ("a", 1, "other", False), rows[9], rows[10], rows[11]], tmp_path) == [r for r in batched(spark, rows) if r[0] != "a"]
+    assert streamed(spark, [r for r in rows if r[0] == "a" and r not in first], tmp_path) == batched(spark, rows)
 
-    def setTimeoutDuration(self, ms):  # noqa: N802
-        self.timeout = ms
 
+def test_stream_takes_a_long_document_in_any_order(spark, tmp_path):
+    """10,000 pages, shuffled over triggers: time in proportion to the pages."""
+    import random
+    import time as clock
 
-def test_stream_gives_up_pages_that_never_come(spark):
-    from folioframe.streaming import document_state, extract_batch, stub_extractor
+    def took(n):
+        rows = [("long", p, f"Name{p % 7} x\npage{p % 5}", p == n) for p in range(1, n + 1)]
+        random.Random(n).shuffle(rows)
+        began = clock.time()
+        for k in range(2):
+            got = streamed(spark, rows[k * n // 2 : (k + 1) * n // 2], f"{tmp_path}/{n}")
+        began = clock.time() - began
+        assert got == batched(spark, rows)
+        return began
 
-    held, run = Held(), document_state(stub_extractor, patience=1000)
+    short, long = took(1000), took(10_000)
+    assert long < 10 * short + 60
 
-    def feed(*rows):
-        frames = [pd.DataFrame(rows, columns=["page", "text", "is_last"])] if rows else []
-        return [tuple(r) for f in run(("d",), iter(frames), held) for r in f.itertuples(index=False)]
 
-    assert feed((1, "a b", False)) == [] and held.timeout == 1000
-    assert feed((4, "e f", True), (3, "c d", False)) == []  # page 2 is missing
-    held.hasTimedOut = True
-    (got,) = feed()
-    pages = spark.createDataFrame([("d", 1, "a b"), ("d", 3, "c d"), ("d", 4, "e f")], "doc_id string, page int, text string")
-    assert got == tuple(extract_batch(pages, stub_extractor).collect()[0]) and held.value is None
+def test_stream_gives_up_pages_that_never_come(spark, tmp_path):
+    from folioframe.streaming import extract_stream, stub_extractor
 
-    held.hasTimedOut = False
-    assert len(feed((1, "a b", True))) == 1 and feed((1, "a b", True)) == []  # a repeated page is known
-    held.hasTimedOut = True
-    assert feed() == [] and held.value is None
+    rows = [("d", 1, "a b", False), ("d", 4, "e f", True), ("d", 3, "c d", False), ("e", 1, "g h", True)]
+    spark.createDataFrame(rows, PAGE).write.parquet(f"{tmp_path}/in")
+    run = extract_stream(spark.readStream.schema(PAGE).parquet(f"{tmp_path}/in"), stub_extractor, patience=3000)
+    q = run.writeStream.format("memory").queryName("patient_stream").outputMode("append").start()
+    try:
+        def wait(n):
+            for _ in range(120):
+                if q.exception() or spark.table("patient_stream").count() >= n:
+                    break
+                time.sleep(0.5)
+            return sorted(tuple(r) for r in spark.table("patient_stream").collect())
+
+        assert wait(2) == batched(spark, rows)  # without page 2
+        spark.createDataFrame([("e", 1, "g h", True), ("f", 1, "i", True)], PAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert {r[0] for r in wait(3)} == {"d", "e", "f"}
+    finally:
+        q.stop()
+
+
+def test_documents_are_handed_out_page_by_page(spark, tmp_path):
+    from folioframe.streaming import documents_stream, land_documents, pages_of
+
+    rows = [("a", 2, "x"), ("a", 1, None), ("a", 7, ""), ("a", 7, "z"), ("b", 3, "y"), ("c", None, "gone")]
+    land_documents(spark.createDataFrame(rows, "doc_id string, page long, text string"), f"{tmp_path}/in")
+    q = pages_of(documents_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("handed_out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("handed_out").collect()) == [("a", 1, None, False), ("a", 2, "x", False), ("a", 3, "", True), ("b", 1, "y", True)]
 
 
 def test_inference_reports_failures(spark):
