@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -514,13 +515,39 @@ def q_name_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.people(spark, sf_dir).select("person", text.name_key(F.when(F.col("person") % 3 == 0, wide).otherwise(F.col("name")), exact=True).alias("name_key"))
 
 
-@query()
+def _json_of(note: str, entity: dict) -> tuple[str, str]:
+    """The result of one part in whose places SQL puts its own: all but the entities, and an entity."""
+    found = merge.fold([{"thong_tin_chung": {"ghi_chu": note}, "danh_sach_doi_tuong": [entity]}])
+    dumped = lambda v: json.dumps(v, ensure_ascii=False)
+    return dumped({**found, "danh_sach_doi_tuong": ["@entities"]}), dumped(found["danh_sach_doi_tuong"][0])
+
+
+_NULLS = "('null', 'không rõ', 'không xác định', 'n/a', 'none')"
+_WHOLE, _PERSON = _json_of("@note", {"thong_tin_ket_an": {"dieu_khoan_luat_ap_dung": ["@laws"], "ten_toi_danh": ["@crimes"]}, "bi_cao_vn": {"ho_va_ten": "@name", "ngay_sinh": "@born"}})
+
+
+@query(
+    # a person without a name goes to the last one before; those before the first name are lost
+    f", v_parts AS (SELECT person // 75 AS doc_id, person, name, dob, paper, lower(trim(name)) NOT IN {_NULLS} AS named, lower(trim(dob)) NOT IN {_NULLS} AS known,"
+    " trim(regexp_replace(lower(dob), '\\s+', ' ', 'g')) AS key, 'khoản 1 Điều ' || (person % 5 + 100) || ' BLHS' AS law FROM v_people),"
+    " v_grouped AS (SELECT *, sum(named::INT) OVER (PARTITION BY doc_id ORDER BY person) AS g FROM v_parts),"
+    " v_ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY person) AS n, row_number() OVER (PARTITION BY doc_id, g, law ORDER BY person) AS n_law,"
+    " row_number() OVER (PARTITION BY doc_id, g, known, key ORDER BY person) AS n_key FROM v_grouped),"
+    " v_entities AS (SELECT doc_id, g, replace(replace(replace(replace("
+    f"'{_PERSON}', '\"@laws\"', string_agg(to_json(law)::VARCHAR, ', ' ORDER BY person) FILTER (n_law = 1)),"
+    " '\"@crimes\"', string_agg(CASE WHEN known THEN to_json(dob)::VARCHAR ELSE 'null' END, ', ' ORDER BY person) FILTER (n = 1 OR (known AND n_key = 1))),"
+    " '\"@name\"', to_json(arg_min(name, person))::VARCHAR), '\"@born\"', coalesce(to_json(arg_min(dob, person) FILTER (known))::VARCHAR, 'null')) AS entity FROM v_ranked WHERE g > 0 GROUP BY doc_id, g)"
+    f" SELECT doc_id, replace(replace('{_WHOLE}', '\"@note\"', coalesce(to_json(note)::VARCHAR, 'null')), '\"@entities\"', coalesce(entities, '')) AS result"
+    f" FROM (SELECT doc_id, arg_min(paper, person) FILTER (lower(trim(paper)) NOT IN {_NULLS}) AS note FROM v_parts GROUP BY 1)"
+    " LEFT JOIN (SELECT doc_id, string_agg(entity, ', ' ORDER BY g) AS entities FROM v_entities GROUP BY 1) USING (doc_id)",
+    d.PEOPLE,
+)
 def q_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = d.people(spark, sf_dir).withColumn("law", F.concat(F.lit("khoản 1 Điều "), F.col("person") % 5 + 100, F.lit(" BLHS")))
     verdict = F.struct(F.array("law").alias("dieu_khoan_luat_ap_dung"), F.array(F.col("dob")).alias("ten_toi_danh"))
     entity = F.struct(verdict.alias("thong_tin_ket_an"), F.struct(F.col("name").alias("ho_va_ten"), F.col("dob").alias("ngay_sinh")).alias("bi_cao_vn"))
     part = F.to_json(F.struct(F.struct(F.col("paper").alias("ghi_chu")).alias("thong_tin_chung"), F.array(entity).alias("danh_sach_doi_tuong")))
-    return merge.merge_partials(p.select((F.col("person") % 200).alias("doc_id"), F.col("person").alias("page"), part.alias("partial")))
+    return merge.merge_partials(p.select(F.floor(F.col("person") / 75).alias("doc_id"), F.col("person").alias("page"), part.alias("partial")))
 
 
 @query()
@@ -536,14 +563,34 @@ def q_table_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.construct_tables(c)
 
 
-@query()
+_STUBBED, _FOUND = _json_of("@note", {"thong_tin_ket_an": {"ten_toi_danh": ["@lines"]}, "bi_cao_vn": {"ho_va_ten": "@name"}})
+# windows of a page and the one before it; people by their name's key, each with the line counts in the order in which they came
+_EXTRACTED = (
+    " , v_windows AS (SELECT doc_id, page, concat_ws(chr(10), CASE WHEN regexp_matches(before, '\\S') THEN before END, CASE WHEN regexp_matches(text, '\\S') THEN text END) AS w"
+    " FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM v_pages)),"
+    " v_stub AS (SELECT doc_id, page, array_to_string(l[1:2], ' ') AS name, l[-1] AS note, length(w) - length(replace(w, chr(10), '')) + 1 AS n_lines"
+    " FROM (SELECT *, list_filter(regexp_split_to_array(w, '\\s+'), lambda x: x <> '') AS l FROM v_windows WHERE w <> '')),"
+    " v_named AS (SELECT *, trim(regexp_replace(regexp_replace(lower(nfc_normalize(name)), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM v_stub),"
+    " v_counts AS (SELECT doc_id, key, n_lines, min(page) AS first FROM v_named GROUP BY ALL),"
+    " v_crimes AS (SELECT doc_id, key, string_agg('\"lines ' || n_lines || '\"', ', ' ORDER BY first) AS crimes FROM v_counts GROUP BY 1, 2),"
+    " v_people_found AS (SELECT doc_id, key, min(page) AS first, arg_min(name, page) AS name FROM v_named GROUP BY 1, 2),"
+    f" v_all AS (SELECT doc_id, string_agg(replace(replace('{_FOUND}', '\"@lines\"', crimes), '\"@name\"', to_json(name)::VARCHAR), ', ' ORDER BY first) AS entities"
+    " FROM v_people_found JOIN v_crimes USING (doc_id, key) GROUP BY 1),"
+    f" v_notes AS (SELECT doc_id, arg_min(note, page) FILTER (lower(trim(note)) NOT IN {_NULLS}) AS note FROM v_stub GROUP BY 1)"
+    " SELECT {id} AS doc_id, n_pages::INT AS n_pages, 0 AS skipped,"
+    f" replace(replace('{_STUBBED}', '\"@note\"', coalesce(to_json(note)::VARCHAR, 'null')), '\"@entities\"', coalesce(entities, '')) AS result"
+    " FROM (SELECT doc_id, count(*) AS n_pages FROM v_pages GROUP BY 1) LEFT JOIN v_all USING (doc_id) LEFT JOIN v_notes USING (doc_id)"
+)
+
+
+@query(_EXTRACTED.replace("{id}", "doc_id"), d.PAGES)
 def q_extract_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.streaming import extract_batch, stub_extractor
 
     return extract_batch(d.pages(spark, sf_dir), stub_extractor)
 
 
-@query()
+@query(_EXTRACTED.replace("{id}", "doc_id::VARCHAR"), d.PAGES)
 def q_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a stream of whole documents that a producer hands out page by page; equals q_extract_batch."""
     import uuid
