@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import collapse, fold_quotes, generic_key, is_null_like
+from folioframe.functions.text import collapse, fold_quotes, generic_key, is_null_like, nfkc
 
 # The clause pattern (point, clause, article) and the code's names.
 CLAUSE = r"(?iu)(?:(?:điểm|diem)\s+([a-zđ]))?\s*(?:(?:khoản|khoan)\s+(\d+[a-z]?))?\s*(?:điều|dieu)\s+(\d+[a-z]?)"
@@ -18,7 +20,7 @@ def law_code(c: Column) -> Column:
 
 
 def clean_law(c: Column) -> Column:
-    return collapse(F.regexp_replace(F.regexp_replace(fold_quotes(c), CODE_LONG, "BLHS"), r"^[ .;,]+|[ .;,]+$", ""))
+    return collapse(F.regexp_replace(F.regexp_replace(nfkc(fold_quotes(c)), CODE_LONG, "BLHS"), r"^[ .;,]+|[ .;,]+$", ""))
 
 
 def clause_display(code: Column, dieu: Column, khoan: Column, diem: Column) -> Column:
@@ -32,46 +34,55 @@ def clause_display(code: Column, dieu: Column, khoan: Column, diem: Column) -> C
     )
 
 
+def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def parse_clauses(c: Column) -> Column:
-    """array<struct<code,dieu,khoan,diem,specific,display,raw>>; an item without a clause is one raw struct."""
-    group = lambda m, i: F.nullif(F.regexp_extract(m, CLAUSE, i), F.lit(""))
-
-    def of(text: Column) -> Column:
-        found = F.transform(
-            F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)),
-            lambda m: F.struct(
-                law_code(text).alias("code"),
-                F.lower(group(m, 3)).alias("dieu"),
-                F.lower(group(m, 2)).alias("khoan"),
-                F.lower(group(m, 1)).alias("diem"),
-                (group(m, 2).isNotNull() | group(m, 1).isNotNull()).alias("specific"),
-                clause_display(law_code(text), group(m, 3), group(m, 2), group(m, 1)).alias("display"),
-                F.lit(None).cast("string").alias("raw"),
-            ),
-        )
-        none = F.lit(None).cast("string")
-        raw = F.struct(none.alias("code"), none.alias("dieu"), none.alias("khoan"), none.alias("diem"), F.lit(False).alias("specific"), text.alias("display"), generic_key(text).alias("raw"))
-        return F.when(F.size(found) > 0, found).otherwise(F.array(raw))
-
-    return F.element_at(F.transform(F.array(clean_law(c)), of), 1)
-
-
-def _same(a: Column, b: Column, *fields: str) -> Column:
-    out = F.lit(True)
-    for f in fields:
-        out = out & a[f].eqNullSafe(b[f])
-    return out
+    """array<struct<code,dieu,khoan,diem,specific,display,raw>>; an item without a clause is one raw struct.
+
+    The text is cleaned once, its code found once, and each group of the pattern taken once for all clauses of the item."""
+    none = F.lit(None).cast("string")
+    groups = {"diem": 1, "khoan": 2, "dieu": 3}
+
+    def clause(code: Column) -> Callable[[Column], Column]:
+        def of(m: Column) -> Column:
+            diem, khoan, dieu = (F.nullif(m[g], F.lit("")) for g in groups)
+            return F.struct(
+                code.alias("code"), F.lower(dieu).alias("dieu"), F.lower(khoan).alias("khoan"), F.lower(diem).alias("diem"), (khoan.isNotNull() | diem.isNotNull()).alias("specific"),
+                clause_display(code, dieu, khoan, diem).alias("display"), none.alias("raw"),
+            )
+
+        return of
+
+    def of(x: Column) -> Column:
+        raw = F.struct(none.alias("code"), none.alias("dieu"), none.alias("khoan"), none.alias("diem"), F.lit(False).alias("specific"), x["text"].alias("display"), generic_key(x["text"]).alias("raw"))
+        return F.when(F.size(x["found"]) > 0, F.transform(x["found"], clause(x["code"]))).otherwise(F.array(raw))
+
+    def parts(text: Column) -> Column:
+        found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(i)).alias(g) for g, i in groups.items()))
+        named = found.cast("array<struct<diem:string,khoan:string,dieu:string>>")
+        return F.struct(text.alias("text"), law_code(text).alias("code"), named.alias("found"))
+
+    return _bound(clean_law(c), lambda text: _bound(parts(text), of))
 
 
 def normalize_clauses(values: Column) -> Column:
-    """Displays of a list's clauses: general ones go where their article has a specific one, repeats go, order stays."""
+    """Displays of a list's clauses: general ones go where their article has a specific one, repeats go, order stays.
+
+    Clauses are compared by one text each, made once."""
+    key = lambda x, *fields: F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), x[f]), F.lit("")) for f in fields))
+
+    def keyed(x: Column) -> Column:
+        return F.struct(x["display"].alias("display"), F.when(x["raw"].isNull(), key(x, "code", "dieu")).alias("article"), x["specific"].alias("specific"), key(x, "code", "dieu", "khoan", "diem", "raw").alias("key"))
+
+    def specific(items: Column) -> Column:
+        exact = F.array_distinct(F.transform(F.filter(items, lambda x: x["specific"]), lambda x: x["article"]))
+        return _bound(exact, lambda e: F.filter(items, lambda x: x["article"].isNull() | x["specific"] | ~F.array_contains(e, x["article"])))
 
-    def of(parsed: Column) -> Column:
-        kept = F.filter(
-            parsed, lambda x: x["raw"].isNotNull() | x["specific"] | ~F.exists(parsed, lambda y: y["raw"].isNull() & y["specific"] & _same(x, y, "code", "dieu"))
-        )
-        first = lambda arr: F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, F.lit(1), i), lambda y: _same(x, y, "code", "dieu", "khoan", "diem", "raw")))
-        return F.element_at(F.transform(F.array(kept), lambda k: F.transform(first(k), lambda x: x["display"])), 1)
+    def first(items: Column) -> Column:
+        return _bound(items["key"], lambda keys: F.filter(items, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
 
     parsed = F.flatten(F.transform(F.filter(values, lambda v: ~is_null_like(v)), parse_clauses))
-    return F.element_at(F.transform(F.array(parsed), of), 1)
+    return F.transform(_bound(_bound(F.transform(parsed, keyed), specific), first), lambda x: x["display"])

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Strings that count as null, and quote marks that count as an apostrophe.
 PLACEHOLDERS = ("null", "không rõ", "không xác định", "n/a", "none")
@@ -43,53 +39,41 @@ def fold_quotes(c: Column) -> Column:
     return F.translate(c, QUOTES, "'" * len(QUOTES))
 
 
-@F.pandas_udf(T.StringType())
-def exact_nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
-@F.pandas_udf(T.StringType())
-def exact_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
-
-
-def _nfkc(c: Column, exact: bool) -> Column:
-    return exact_nfkc(c) if exact else c
-
+def nfkc(c: Column) -> Column:
+    """Compatibility normal form, by the Unicode library that Spark itself ships for its collations: no Python worker runs."""
+    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)))
 
-def _fold(c: Column, exact: bool) -> Column:
-    return exact_casefold(c) if exact else F.lower(c)
 
+def casefold(c: Column) -> Column:
+    """Full case folding (ß as ss), which lower() isn't."""
+    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
 
-def name_key(c: Column, exact: bool = False) -> Column:
-    """Comparison key of a name: punctuation gone, case folded, spaces collapsed.
 
-    exact adds NFKC and full case folding, which Spark lacks, by Arrow UDFs; without
-    it the result is equal on text that both leave alone."""
-    plain = F.regexp_replace(_nfkc(fold_quotes(c), exact), r"[^\p{L}\p{N}_\s]", " ")
-    return collapse(_fold(plain, exact))
+def name_key(c: Column) -> Column:
+    """Comparison key of a name: compatibility forms unified, punctuation gone, case folded, spaces collapsed."""
+    return collapse(casefold(F.regexp_replace(nfkc(fold_quotes(c)), r"[^\p{L}\p{N}_\s]", " ")))
 
 
-def generic_key(c: Column, exact: bool = False) -> Column:
-    """Key of a list item: quotes and case folded, spaces collapsed, punctuation kept."""
-    return collapse(_fold(_nfkc(fold_quotes(c), exact), exact))
+def generic_key(c: Column) -> Column:
+    """Key of a list item: compatibility forms, quotes and case folded, spaces collapsed, punctuation kept."""
+    return collapse(casefold(nfkc(fold_quotes(c))))
 
 
 DATE = rf"(?<!{WORD})(\d{{1,2}})\s*[/.-]\s*(\d{{1,2}})\s*[/.-]\s*(\d{{2,4}})(?!{WORD})"
 
 
-def date_key(c: Column, exact: bool = False) -> Column:
+def date_key(c: Column) -> Column:
     """dd/mm/yyyy of the first date; two-digit years are 19yy, and the calendar is not checked. Other text: collapsed, lower case."""
-    v = _nfkc(c, exact)
+    v = nfkc(c)
     day, month, year = (F.regexp_extract(v, DATE, i) for i in (1, 2, 3))
     year = F.when(F.length(year) == 2, F.concat(F.lit("19"), year)).otherwise(year)
     found = F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), year)
-    return F.when(~is_null_like(c), F.when(v.rlike(DATE), found).otherwise(collapse(_fold(v, exact))))
+    return F.when(~is_null_like(c), F.when(v.rlike(DATE), found).otherwise(collapse(casefold(v))))
 
 
-def id_key(c: Column, exact: bool = False) -> Column:
+def id_key(c: Column) -> Column:
     """Letters, digits and underscores, lower case; null if none is left."""
-    v = _fold(_nfkc(c, exact), exact)
+    v = casefold(nfkc(c))
     return F.when(~is_null_like(c), F.nullif(F.regexp_replace(v, r"[^\p{L}\p{N}_]+", ""), F.lit("")))
 
 

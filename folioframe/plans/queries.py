@@ -260,7 +260,10 @@ def q_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" SELECT list_id, pos, code, dieu, khoan, diem, specific, display FROM v_shown", d.LAWS)
 def q_law_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = d.laws(spark, sf_dir).select("list_id", "pos", F.explode(laws.parse_clauses(F.col("item"))).alias("c"))
+    """A third of the items are written in full-width digits and letters; they parse as the plain ones do."""
+    wide = F.translate("item", "0123456789BLHS", "０１２３４５６７８９ＢＬＨＳ")
+    item = F.when(F.col("pos") % 3 == 0, wide).otherwise(F.col("item"))
+    out = d.laws(spark, sf_dir).select("list_id", "pos", F.explode(laws.parse_clauses(item)).alias("c"))
     return out.select("list_id", "pos", *(f"c.{n}" for n in ("code", "dieu", "khoan", "diem", "specific", "display")))
 
 
@@ -512,7 +515,7 @@ def q_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_name_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of names, a third of them with full-width digits and letters; those of the plain names come out."""
     wide = F.translate("name", "0123456789Cu", "０１２３４５６７８９Ｃｕ")
-    return d.people(spark, sf_dir).select("person", text.name_key(F.when(F.col("person") % 3 == 0, wide).otherwise(F.col("name")), exact=True).alias("name_key"))
+    return d.people(spark, sf_dir).select("person", text.name_key(F.when(F.col("person") % 3 == 0, wide).otherwise(F.col("name"))).alias("name_key"))
 
 
 def _json_of(note: str, entity: dict) -> tuple[str, str]:
