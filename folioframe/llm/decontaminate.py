@@ -25,13 +25,21 @@ BANDS = 64
 MISS = 1e-9
 
 
-def word_shingles(text: Column, k: int) -> Column:
-    """Hashes of the k-word shingles, repeats included; fewer words: the whole sequence as one. Letters of all scripts are lower-cased."""
+def word_shingles(text: Column, k: int, shorter: list[int] | None = None) -> Column:
+    """Hashes of the k-word shingles, repeats included; fewer words: the whole sequence as one. Letters of all scripts are lower-cased.
+
+    shorter: lengths below k of which a text's shingles are wanted as well."""
     clean = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
 
     def of(w: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
-        return F.when(F.size(w) >= k, many).when(F.element_at(w, 1) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
+        def of_length(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+
+        none = F.array().cast("array<bigint>")
+        found = F.when(F.size(w) >= k, of_length(k)).otherwise(F.array(F.xxhash64(w)))
+        if shorter:
+            found = F.concat(found, *(F.when(F.size(w) >= n, of_length(n)).otherwise(none) for n in shorter))
+        return F.when(F.element_at(w, 1) == "", none).otherwise(found)
 
     # a one-element array binds the words, which are then split once for each text
     return F.element_at(F.transform(F.array(F.split(clean, "[\\x20\\x09-\\x0D]+", -1)), of), 1)
@@ -52,6 +60,9 @@ def contained_items(
     """One row per text and item with den * |item & text| >= num * |item|, over distinct k-word shingles:
     id_col, item_col, n_item (the item's shingles), n_common, text_key (a hash of the row's id and text).
 
+    An item of fewer than k words is one shingle, its whole sequence, and is found
+    wherever a text holds that sequence: texts also give shingles of the lengths
+    below k that occur among the items. Very long texts are taken whole.
     Null and empty texts and items match nothing. Repeated rows of docs, or of
     items, count once; one id with several texts is told apart by text_key. Null
     ids are carried. Extra columns are not read. Empty tables give no rows.
@@ -62,8 +73,10 @@ def contained_items(
     sizes = i.groupBy("ikey").agg(F.first("item").alias("item"), F.count("*").alias("q"))
     n_items = sizes.count()
     least = sizes.agg(F.min("q")).first()[0] or 1
+    n_words = F.size(F.array_remove(F.split(F.coalesce(F.col(item_text), F.lit("")), "[\\x20\\x09-\\x0D]+", -1), ""))
+    shorter = sorted(r.n for r in items.select(n_words.alias("n")).where((F.col("n") > 0) & (F.col("n") < k)).distinct().collect())  # at most k - 1 lengths
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), word_shingles(F.col(text_col), k).alias("s"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), word_shingles(F.col(text_col), k, shorter).alias("s"))
     hits = rows.select("id", "key", F.explode("s").alias("h")).join(few(i.select("h").distinct(), n_rows), "h", "left_semi").distinct()
     hits = cut(hits)  # all that follows reads the few shared shingles, not the texts
     sets = hits.groupBy("key").agg(F.first("id").alias("id"), F.collect_list("h").alias("hs"), F.count("*").alias("n"), _mins(F.col("h")).alias("mins"))

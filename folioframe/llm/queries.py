@@ -61,9 +61,11 @@ OP3_SQL = """
 WITH w AS (
   SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark),
+l AS (SELECT DISTINCT len(w) AS n FROM w WHERE kind = 1 AND len(w) BETWEEN 1 AND 4),
 s AS (
   SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w
+  UNION SELECT kind, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) FROM w JOIN l ON len(w) >= n WHERE kind = 0),
 i AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1)
 SELECT s.id AS doc_id, item_id, n_item, count(*) AS n_common FROM s JOIN i USING (g) WHERE kind = 0
 GROUP BY s.id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item

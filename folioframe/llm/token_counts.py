@@ -8,6 +8,7 @@ every context limit without touching the documents again.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,27 @@ BLOCK = 1024
 # Fixed value: how byte-level BPE vocabularies split a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space from here on are taken out before the pattern, whose engine has no stack for very long ones.
+LONG_RUN = 1000
+#: White space as the pattern's engine has it, which isn't Python's `\s`.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
+def n_tokens(enc, text: str) -> int:
+    """The tokens of a text of any length.
+
+    Where a long run of white space stands, the pattern takes all of it but its last character as one piece (all of it, at
+    the text's end); what stands before it and what follows are split as if they stood alone."""
+    n, start = 0, 0
+    for m in BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc.encode_ordinary(text[start : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
+        start = end
+    return n + len(enc.encode_ordinary(text[start:]))
+
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens) for each row; null and empty texts have 0 tokens.
+    """(id_col, n_tokens) for each row; null and empty texts have 0 tokens, very long ones are encoded whole.
 
     vocabulary: path, on the driver, of a file of `base64-token rank` lines; its bytes
     travel to the tasks (about 1 MB). Repeated rows each give a row."""
@@ -37,7 +56,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         enc = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for b in tk.slices(batches, "text"):
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
+            n = [n_tokens(enc, t) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]

@@ -279,16 +279,21 @@ def test_decontamination_against_brute_force(spark):
     docs = [(i, vocabulary_text(rng, rng.choice((2, 30, 300, 2000)), 900)) for i in range(40)]
     docs += [(100 + i, f"{vocabulary_text(rng, 200)} {edited(rng, items[i % 40][1], i % 4)} {vocabulary_text(rng, 300)}") for i in range(60)]
     docs += [(300, " ".join(t for _, t in items if t)), (301, None), (302, ""), (303, items[4][1].upper()), (None, items[5][1]), (303, items[4][1].upper())]
+    items += [(i, t) for i, t in enumerate(("Qa qb", "qc  qd qe qf", "qg qh qi", "qj"), 200)]
+    docs += [(400 + i, f"{vocabulary_text(rng, 900)}\n{q} {vocabulary_text(rng, 900)}") for i, q in enumerate(("QA qb", "qc qd qe qf qx", "qc qd qe", "qh qi qg", "qg qh qi", "qj", "qjj"))]
+    docs += [(410, "qj qa qb"), (411, "qj"), (412, "qa\tqb")]
     want = set()
+    lengths = {n for _, t in items if 0 < (n := len(words(t))) < 5}
     for d, t in docs:
-        s = shingle_set(t, 5)
+        w = words(t)
+        s = shingle_set(t, 5).union(*({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in lengths))
         for i in {i for i, _ in items}:
             q = set().union(*(shingle_set(x, 5) for j, x in items if j == i))
             if q and 100 * len(q & s) >= 80 * len(q):
                 want.add((d, i, len(q), len(q & s)))
     df = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contained_items(frame(spark, docs), df).drop("text_key").collect()
-    assert {tuple(r) for r in got} == want and len(want) > 50
+    assert {tuple(r) for r in got} == want and len(want) > 50 and {w[:2] for w in want} >= {(400, 200), (401, 201), (404, 202), (405, 203), (410, 200), (410, 203)}
     left = decontaminate.drop_contaminated(frame(spark, docs), df)
     bad = {w[0] for w in want}
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted((d is None, d or 0) for d, _ in docs if d not in bad)
@@ -396,6 +401,27 @@ def test_token_counts(spark, corpus):
     assert {r.doc_id: r.n_tokens for r in got.collect()} == want
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_token_counts_of_long_runs(spark, monkeypatch):
+    """Long runs of white space are counted as the pattern would split them, and texts of ten million of one kind don't end the job."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=token_counts.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(token_counts, "BLANKS", re.compile(token_counts.BLANKS.pattern.replace("{1000,}", "{3,}")))
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", " ", "  ", "   ", "\n", "\t\n ", "\xa0", "\u3000", "\x1f", "\x1c\x1d", "\u200b", "a", "Bé", "12", "!?", "'s", "字"]) * rng.choice((1, 1, 2, 5)) for _ in range(rng.randrange(14)))
+        assert token_counts.n_tokens(enc, t) == len(enc.encode_ordinary(t)), repr(t)
+    n = 10_000_000
+    texts = [" " * n + "x", "x" + " " * n, "\n \t" * (n // 3), "a" * n, "7" * n, "#" * n, " x" * (n // 2), "é" * (n // 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_tokens for r in token_counts.encoded_lengths(df, VOCABULARY).collect()}
+    assert got[6] == n // 2 and all(0 < v <= n + 1 for v in got.values())
+
+
 def test_histogram_answers_every_limit(spark):
     rng = random.Random(4)
     n = [int(rng.paretovariate(0.6)) % 9000 for _ in range(800)] + [0, 0]
