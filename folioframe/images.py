@@ -41,23 +41,105 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
 
 
-def tiff(pages: list[np.ndarray], dpi: int = 300) -> bytes:
-    """Gray or RGB pages as one TIFF file, losslessly compressed (Deflate). No pages raise ValueError."""
+# LZW codes that begin a new table and that end a strip.
+CLEAR, END = 256, 257
+
+
+def pack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the highest bit on, a bit longer one code early, a new table before 4,095 are used."""
+    out, held, n_held, width = bytearray(), 0, 0, 9
+    table: dict[tuple[int, int], int] = {}
+
+    def put(code: int) -> None:
+        nonlocal held, n_held
+        held, n_held = held << width | code, n_held + width
+        while n_held >= 8:
+            n_held -= 8
+            out.append(held >> n_held)
+            held &= (1 << n_held) - 1
+
+    put(CLEAR)
+    prefix, free = -1, 258
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        code = table.get((prefix, byte))
+        if code is not None:
+            prefix = code
+            continue
+        put(prefix)
+        table[prefix, byte] = free
+        free += 1
+        if free == 4094:
+            put(CLEAR)
+            table.clear()
+            free, width = 258, 9
+        elif free + 1 > 1 << width:
+            width += 1
+        prefix = byte
+    if prefix >= 0:
+        put(prefix)
+        free += 1
+        if free + 1 > 1 << width and width < 12:
+            width += 1
+    put(END)
+    if n_held:
+        out.append(held << (8 - n_held) & 255)
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
+    """What pack_lzw packs; ends at the end code, the data's end, or after `most` bytes."""
+    out = bytearray()
+    singles = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, held, n_held, before = list(singles), 9, 0, 0, None
+    for byte in data:
+        held, n_held = held << 8 | byte, n_held + 8
+        if n_held < width:
+            continue
+        n_held -= width
+        code = held >> n_held
+        held &= (1 << n_held) - 1
+        if code == END or (most is not None and len(out) >= most):
+            break
+        if code == CLEAR:
+            table, width, before = list(singles), 9, None
+            continue
+        if before is None:
+            if code > 255:
+                raise ValueError("LZW code before its table")
+            entry = table[code]
+        else:
+            if code > len(table):
+                raise ValueError("LZW code beyond its table")
+            entry = table[code] if code < len(table) else before + before[:1]
+            table.append(before + entry[:1])
+            if len(table) + 1 >= 1 << width and width < 12:
+                width += 1
+        out += entry
+        before = entry
+    return bytes(out)
+
+
+def tiff(pages: list[np.ndarray], dpi: int = 300, packing: str = "deflate") -> bytes:
+    """Gray or RGB pages as one TIFF file, losslessly compressed (deflate or lzw). No pages raise ValueError."""
     if not pages:
         raise ValueError("a TIFF file needs a page")
+    pack, code = {"deflate": (zlib.compress, 8), "lzw": (pack_lzw, 5)}[packing]
     out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
     link = 4  # where the offset of the next directory goes
     for image in pages:
         h, w = image.shape[:2]
         n = 3 if image.ndim == 3 else 1
-        data = zlib.compress(np.ascontiguousarray(image, np.uint8).tobytes())
+        data = pack(np.ascontiguousarray(image, np.uint8).tobytes())
         at = len(out)
         out += data + b"\0" * (len(data) % 2)
         extra = len(out)
         out += struct.pack("<3H2xII", 8, 8, 8, dpi, 1)
         # Tag, type (3 short, 4 long, 5 rational), count and value of a directory's entries, by tag.
         entries = [
-            (256, 4, 1, w), (257, 4, 1, h), (258, 3, n, extra if n == 3 else 8), (259, 3, 1, 8), (262, 3, 1, 2 if n == 3 else 1), (273, 4, 1, at),
+            (256, 4, 1, w), (257, 4, 1, h), (258, 3, n, extra if n == 3 else 8), (259, 3, 1, code), (262, 3, 1, 2 if n == 3 else 1), (273, 4, 1, at),
             (277, 3, 1, n), (278, 4, 1, h), (279, 4, 1, len(data)), (282, 5, 1, extra + 8), (283, 5, 1, extra + 8), (296, 3, 1, 2),
         ]
         struct.pack_into("<I", out, link, len(out))

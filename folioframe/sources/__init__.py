@@ -43,8 +43,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select(document_name(F.col("image.origin")).alias("doc_id"), F.lit(1).alias("page"), image.alias("image"))
 
 
-def tiff_files(pages: DataFrame, dpi: int = 300) -> DataFrame:
-    """(doc_id, page, image) to one multi-page TIFF file a document: doc_id, n_pages, content. Null images are left out, as
+def tiff_files(pages: DataFrame, dpi: int = 300, packing: str = "deflate") -> DataFrame:
+    """(doc_id, page, image) to one multi-page TIFF file a document (packing deflate or lzw): doc_id, n_pages, content. Null images are left out, as
     are documents without any. A document's pages meet in one task."""
 
     def run(pdf):
@@ -53,7 +53,7 @@ def tiff_files(pages: DataFrame, dpi: int = 300) -> DataFrame:
         from folioframe import images
 
         kept = pdf[pdf["image"].notna()].sort_values("page", kind="stable")
-        rows = [(pdf["doc_id"].iloc[0], len(kept), images.tiff([images.decode(i) for i in kept["image"]], dpi))] if len(kept) else []
+        rows = [(pdf["doc_id"].iloc[0], len(kept), images.tiff([images.decode(i) for i in kept["image"]], dpi, packing))] if len(kept) else []
         return pd.DataFrame(rows, columns=["doc_id", "n_pages", "content"])
 
     return pages.select("doc_id", "page", "image").groupBy("doc_id").applyInPandas(run, "doc_id string, n_pages int, content binary")
