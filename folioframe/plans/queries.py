@@ -30,6 +30,11 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     return add
 
 
+def drawn_blocks(blocks: DataFrame) -> DataFrame:
+    b = blocks.withColumns({"page_w": F.lit(d.PAGE_W), "page_h": F.lit(d.PAGE_H)})
+    return style.draw_commands(b.withColumn("style", style.style(F.col("text"), F.col("x0"), F.col("x1"), F.col("page_w"))))
+
+
 NONBLANK = "length(regexp_replace(text, '\\s+', '', 'g')) > 0"
 ALIGN = (
     "CASE WHEN abs((x0 + x1) / 2 - 1785 / 2) < 1785 * 0.12 AND x1 - x0 < 1785 * 0.65 THEN 'center' WHEN x0 / 1785 > 0.5 AND x1 - x0 < 1785 * 0.45 THEN 'right' "
@@ -419,9 +424,22 @@ def q_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     d.BLOCKS,
 )
 def q_draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = d.blocks(spark, sf_dir).withColumns({"page_w": F.lit(d.PAGE_W), "page_h": F.lit(d.PAGE_H)})
-    b = b.withColumn("style", style.style(F.col("text"), F.col("x0"), F.col("x1"), F.col("page_w")))
-    return style.draw_commands(b).select("doc_id", "page", "block_no", "font", "anchor", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return drawn_blocks(d.blocks(spark, sf_dir)).select("doc_id", "page", "block_no", "font", "anchor", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def q_pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' draw commands as PDF files in a new folder, and what is found in each file."""
+    import uuid
+
+    from folioframe.sources.pdf import write_pdf
+    from folioframe.streaming import shared_folder
+
+    top = f"{shared_folder(spark)}/pdf-{uuid.uuid4().hex}"
+    write_pdf(drawn_blocks(d.blocks(spark, sf_dir)), top)
+    files = spark.read.format("binaryFile").load(top)
+    pages = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"/Type /Pages /Kids \[[^\]]*\] /Count (\d+)", 1)
+    return files.select(text.document_name(F.col("path")).alias("doc_id"), pages.cast("int").alias("n_pages"), "length", "path")
 
 
 @query(

@@ -1,7 +1,6 @@
 """Page files read in parts and as a stream, and PDF files written and parsed back."""
 
 import os
-import random
 import re
 import struct
 import zlib
@@ -168,3 +167,89 @@ def test_stream_of_page_files_feeds_the_extraction(spark, tmp_path):
     q.awaitTermination()
     batch = extract_batch(read_page_files(spark, str(tmp_path), ["doc_id", "page"]).select("doc_id", "page", text), stub_extractor)
     assert sorted(spark.table("files_extracted").collect()) == sorted(batch.collect())
+
+
+def parsed(data):
+    """A PDF file's pages, each its lines as (text, x, y, size, cut) and its number of rules, found by the table of places alone."""
+    start = int(re.search(rb"startxref\n(\d+)\n%%EOF\n$", data)[1])
+    assert data[start : start + 4] == b"xref"
+    n = int(data[start:].split(b"\n")[1].split()[1])
+    places = [int(line[:10]) for line in data[start:].split(b"\n")[3 : 2 + n]]
+
+    def body(i):
+        assert data[places[i - 1] :].startswith(b"%d 0 obj\n" % i)
+        return data[places[i - 1] : data.index(b"endobj", places[i - 1])]
+
+    def stream(i):
+        raw = body(i)
+        size = int(re.search(rb"/Length (\d+)", raw)[1])
+        at = raw.index(b"stream\n") + 7
+        return zlib.decompress(raw[at : at + size])
+
+    fonts = {}
+    for name, ref in re.findall(rb"/F(\d+) (\d+) 0 R", body(3)):
+        font = body(int(ref))
+        back = stream(int(re.search(rb"/ToUnicode (\d+)", font)[1])).decode()
+        fonts[int(name)] = re.search(rb"/BaseFont /(\S+)", font)[1].decode(), {int(a, 16): bytes.fromhex(b).decode("utf-16-be") for a, b in re.findall(r"<(..)> <([0-9a-f]+)>\n", back.split("endcodespacerange")[1])}
+    pages = []
+    for ref in re.search(rb"/Kids \[(.*?)\]", body(2))[1].split(b" 0 R")[:-1]:
+        content = stream(int(re.search(rb"/Contents (\d+)", body(int(ref)))[1])).decode()
+        lines = []
+        for block in re.findall(r"BT 1 0 0 1 (\S+) (\S+) Tm\n(.*?)ET", content, re.S):
+            runs = re.findall(r"/F(\d+) (\S+) Tf <([0-9a-f]*)> Tj", block[2])
+            lines.append(("".join(fonts[int(f)][1][b] for f, _, codes in runs for b in bytes.fromhex(codes)), float(block[0]), float(block[1]), {float(s) for _, s, _ in runs}, {fonts[int(f)][0] for f, _, _ in runs}))
+        pages.append((lines, content.count(" l S")))
+    assert len(pages) == int(re.search(rb"/Count (\d+)", body(2))[1])
+    return pages
+
+
+def test_pdf_files_hold_what_was_drawn(spark, tmp_path):
+    from folioframe.functions import style
+    from folioframe.sources import pdf
+
+    letters = "".join(chr(c) for c in range(0x1EA0, 0x1EFA)) + "".join(chr(c) for c in range(0x400, 0x4F0))
+    texts = ["ĐỘC LẬP - TỰ DO - HẠNH PHÚC", "Nơi nhận:", "plain (text) \\ <x>\nsecond line\twith a tab", "TOÀN CHỮ HOA", letters, "\U0001f600 end", "  "]
+    rows = [(d, p, b, t, 100.0 + 40 * b, 60.0 + 90 * b, 900.0 + 70 * b, 100.0 + 90 * b, 1785, 2526) for d in ("a/b", "ü", "..") for p in (3, 1) for b, t in enumerate(texts)]
+    blocks = spark.createDataFrame(rows, "doc_id string, page int, block_no int, text string, x0 double, y0 double, x1 double, y1 double, page_w int, page_h int")
+    blocks = blocks.withColumn("style", style.style(F.col("text"), F.col("x0"), F.col("x1"), F.col("page_w")))
+    commands = style.draw_commands(blocks)
+    pdf.write_pdf(commands, f"{tmp_path}/out")
+    assert sorted(os.listdir(tmp_path / "out")) == sorted(["%...pdf", "a%2Fb.pdf", "ü.pdf"])
+    want = commands.orderBy("doc_id", "page", "block_no", "line_no").collect()
+    for doc in ("a/b", "ü", ".."):
+        pages = parsed((tmp_path / "out" / pdf.file_name(doc)).read_bytes())
+        for p, (lines, rules) in zip((1, 3), pages, strict=True):
+            own = [w for w in want if w.doc_id == doc and w.page == p]
+            assert [x[0] for x in lines] == [w.line.replace("\t", " ") for w in own] and rules == sum(w.underline for w in own)
+            for (text, x, y, sizes, cuts), w in zip(lines, own, strict=True):
+                long = pdf.width(text, w.font, w.size)
+                assert abs(x + {"left": 0, "center": long / 2, "right": long}[w.anchor] - w.x) < 0.01 and abs(y - w.y) < 0.01 and sizes == {w.size} and cuts == {pdf.CUTS[w.font]}
+    assert {w.font for w in want} == {"regular", "bold", "bold-italic"} and {w.anchor for w in want} >= {"left", "center"}
+    # a task that fails leaves nothing, and what was there stays
+    broken = commands.withColumn("size", F.when(F.col("doc_id") != "ü", F.col("size"))).withColumn("x", F.when(F.col("doc_id") != "ü", F.col("x")))
+    before = {f: (tmp_path / "out" / f).read_bytes() for f in os.listdir(tmp_path / "out")}
+    with pytest.raises(Exception, match="TypeError"):
+        pdf.write_pdf(broken, f"{tmp_path}/out", mode="overwrite")
+    assert {f: (tmp_path / "out" / f).read_bytes() for f in os.listdir(tmp_path / "out")} == before
+    pdf.write_pdf(commands.where("doc_id = '..'"), f"{tmp_path}/out", mode="overwrite")
+    assert os.listdir(tmp_path / "out") == ["%...pdf"]
+    pdf.write_pdf(commands.limit(0), f"{tmp_path}/none")
+    assert not os.path.exists(tmp_path / "none") or os.listdir(tmp_path / "none") == []
+
+
+def test_pdf_query_writes_every_document(spark):
+    from folioframe.plans import derived as d
+    from folioframe.plans.queries import QUERIES, drawn_blocks
+
+    sf = "/root/testdata/sf0.001"
+    commands = {}
+    for r in drawn_blocks(d.blocks(spark, sf)).collect():
+        commands.setdefault(str(r.doc_id), {}).setdefault(r.page, []).append((r.block_no, r.line_no, r.line))
+    got = QUERIES["q_pdf_files"](spark, sf).collect()
+    assert {r.doc_id for r in got} == set(commands)
+    for r in got:
+        own = commands[r.doc_id]
+        assert r.n_pages == len(own)
+        with open(r.path.removeprefix("file:").replace("///", "/"), "rb") as f:
+            pages = parsed(f.read())
+        assert [[x[0] for x in lines] for lines, _ in pages] == [[re.sub(r"[\x00-\x1f\x7f]", " ", t) for _, _, t in sorted(own[p])] for p in sorted(own)]
