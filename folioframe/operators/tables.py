@@ -279,24 +279,33 @@ def render_sentences(grid: Grid, caption: str, headers: list[int], english: bool
     return out
 
 
+def table_body(rows: list[dict], style: str = "markdown", english: bool = False) -> str | None:
+    """One table's cells, with btype and caption, as text; None where there are captions only."""
+    rows = sorted(rows, key=lambda r: r["cell_no"])
+    caption = "".join(r["text"] or "" for r in rows if r["caption"])
+    rows = [r for r in rows if not r["caption"]]
+    if not rows:
+        return None
+    kinds = [r["btype"] for r in rows]
+    main = max(dict.fromkeys(kinds), key=kinds.count)
+    grid = build_grid(rows)
+    headers = _headers(grid, kinds, main)
+    grid = spread_spans(grid)
+    return render_markdown(grid, caption) if style == "markdown" else "\n".join(render_sentences(grid, caption, headers, english))
+
+
+def typed_cells(cells: DataFrame) -> DataFrame:
+    """cells with what table_body asks for besides."""
+    return cells.withColumn("btype", block_type(F.col("text"))).withColumn("caption", is_caption(F.col("text"), F.col("layout_type")))
+
+
 def construct_tables(cells: DataFrame, style: str = "markdown", english: bool = False) -> DataFrame:
     """(table_id, body) of cells with the columns of TABLE_CELL: markdown, or with style "sentences" one line per row.
 
     Captions are taken out first and joined. Tables without other cells give no row."""
-    typed = cells.withColumn("btype", block_type(F.col("text"))).withColumn("caption", is_caption(F.col("text"), F.col("layout_type")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("cell_no").to_dict("records")
-        caption = "".join(r["text"] or "" for r in rows if r["caption"])
-        rows = [r for r in rows if not r["caption"]]
-        if not rows:
-            return pd.DataFrame({"table_id": [], "body": []}).astype(str)
-        kinds = [r["btype"] for r in rows]
-        main = max(dict.fromkeys(kinds), key=kinds.count)
-        grid = build_grid(rows)
-        headers = _headers(grid, kinds, main)
-        grid = spread_spans(grid)
-        body = render_markdown(grid, caption) if style == "markdown" else "\n".join(render_sentences(grid, caption, headers, english))
-        return pd.DataFrame({"table_id": [rows[0]["table_id"]], "body": [body]})
-
-    return typed.groupBy("table_id").applyInPandas(run, "table_id string, body string")
+        body = table_body(pdf.to_dict("records"), style, english)
+        return pd.DataFrame({"table_id": [pdf["table_id"].iloc[0]], "body": [body]} if body is not None else {"table_id": [], "body": []}).astype(str)
+
+    return typed_cells(cells).groupBy("table_id").applyInPandas(run, "table_id string, body string")

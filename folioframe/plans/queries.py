@@ -571,17 +571,21 @@ def q_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_partials(p.select(F.floor(F.col("person") / 75).alias("doc_id"), F.col("person").alias("page"), part.alias("partial")))
 
 
-@query()
-def q_table_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived cells with the columns of TABLE_CELL: a row and a column for each number."""
     c = d.cells(spark, sf_dir)
     n = F.lit(None)
     y, x = (F.col("rn") * 30).cast("double"), (F.col("cn") * 100).cast("double")
-    c = c.select(
+    return c.select(
         F.col("table_id").cast("string").alias("table_id"), "cell_no", "text", x.alias("x0"), (x + 90).alias("x1"), y.alias("top"), (y + 20).alias("bottom"), F.lit("table").alias("layout_type"), F.lit(1).alias("page_number"),
         F.col("rn").cast("int").alias("R"), y.alias("R_top"), (y + 25).alias("R_bott"), F.col("H"), n.cast("double").alias("H_top"), n.cast("double").alias("H_bott"), n.cast("double").alias("H_left"), n.cast("double").alias("H_right"),
         F.col("cn").alias("C"), x.alias("C_left"), (x + 95).alias("C_right"), n.cast("int").alias("SP"),
     )
-    return tables.construct_tables(c)
+
+
+@query()
+def q_table_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.construct_tables(placed_cells(spark, sf_dir))
 
 
 _STUBBED, _FOUND = _json_of("@note", {"thong_tin_ket_an": {"ten_toi_danh": ["@lines"]}, "bi_cao_vn": {"ho_va_ten": "@name"}})
