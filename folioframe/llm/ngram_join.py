@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import textkit as tk
-from folioframe.llm.shared import components, cut, few
+from folioframe.llm.shared import components, cut, few, written
 
 #: Classes of a cluster that meet in one block, and about how many members their sets may have together; two blocks meet in one task.
 BLOCK, BLOCK_MEMBERS = 256, 1 << 21
@@ -38,6 +38,8 @@ BLOCK, BLOCK_MEMBERS = 256, 1 << 21
 TILE_BLOCK = 1024
 #: Bits of a signature: a power of two, at least twice the set's size, within these.
 LEAST_BITS, MOST_BITS = 64, 4096
+#: Slices into which one is cut to tell sets apart that lack another.
+FINE = 16
 _U = np.uint64
 
 
@@ -92,13 +94,34 @@ def tile_keys(s: np.ndarray, num: int, den: int, bands: list[tuple[int, int]]) -
         # with this many filled slices, `meet` of them agree with any partner's
         enough = _most_apart(n, min(high, n * den // num), num, den) + meet
         keep = full if full.sum() >= enough else np.ones(k, bool)
-        part = (mixed[edges[1:]] - mixed[edges[:-1]])[keep]
-        where = np.flatnonzero(keep).astype(_U) + _U(high) * _U(0x100000001B3)
+        part = (mixed[edges[1:]] - mixed[edges[:-1]])[full]
+        where = np.flatnonzero(full).astype(_U) + _U(high) * _U(0x100000001B3)
         out.append(tk.mix(part + tk.mix(where)))
-        agree.append(np.full(len(part), meet, np.int8))
+        bare = np.flatnonzero(keep & ~full).astype(_U) + _U(high) * _U(0x100000001B3)
+        if len(bare):
+            out.append(_bare_keys(s, mixed, bare, most, meet, k))
+        agree.append(np.full(sum(map(len, out)) - sum(map(len, agree)), meet, np.int8))
     return (np.concatenate(out), np.concatenate(agree)) if out else (np.zeros(0, _U), np.zeros(0, np.int8))
 
 
+def _bare_keys(s: np.ndarray, mixed: np.ndarray, bare: np.ndarray, most: int, meet: int, k: int) -> np.ndarray:
+    """The tiles of a set's empty slices. All sets that lack a slice would share one tile, so each is told apart by what
+    the set holds elsewhere: the hash range is cut into FINE times as many slices, and the first most + meet of them that
+    are filled each give a tile. Linked sets that lack the slice both differ in `most` fine slices at most, so of those
+    first ones they share `meet` or more. Sets with few filled fine slices keep the plain tile, and so do those whose
+    partners may have few."""
+    width = _U((2**64 - 1) // (FINE * k) + 1)
+    edges = np.concatenate([[0], np.searchsorted(s, np.arange(1, FINE * k, dtype=_U) * width), [len(s)]])
+    filled = np.flatnonzero(np.diff(edges) > 0)
+    keys = [tk.mix(tk.mix(bare))] if len(filled) < 2 * most + meet else []
+    if len(filled) >= most + meet:
+        first = filled[: most + meet]
+        part = mixed[edges[first + 1]] - mixed[edges[first]]
+        fine = tk.mix(part + tk.mix(first.astype(_U) + _U(0x632BE59BD9B4E019)))
+        keys.append(tk.mix((tk.mix(bare + _U(0x9E3779B97F4A7C15))[:, None] + fine[None, :]).ravel()))
+    return np.concatenate(keys)
+
+
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     """The set's hashes as bits; the lower half of a longer map or'ed with its upper half is the shorter map."""
     out = np.zeros(bits // 64, _U)
@@ -271,35 +294,23 @@ def _blocked(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("tile", F.xxhash64(group, low, high)).withColumn("left", F.col("mine") == low).drop("blocks", "mine", "other", group)
 
 
-def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, n_shingles (set size), class_id and component_id.
-
-    Texts link when den * |A & B| >= num * |A | B| over their distinct k-word
-    shingles (a text with fewer than k words: its whole sequence as one).
-    component_id is the smallest id reachable by links, the row's own included.
-    A null or empty text, or one without words, has no shingles, a null class_id
-    and links with nothing. Repeated rows each give a row. A null id is carried
-    and never names a component of rows that have ids, but its text links like any other. Ids must be integers or cast to them. Very long texts
-    are read whole, and meet in blocks bounded by their sets' sizes. Extra columns are not read. An empty table gives an empty result. class_id is a 64-bit hash of the
-    shingle set; equal hashes count as equal sets.
-    """
+def _rooted(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): id, key (a hash of the text), n and cid of each row; cid, first_id and root (one of its component's cids) of each class."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     digest = cut(base.mapInArrow(_digest(k), "id long, key long, cid long, n long, bits binary"))
     named = digest.where("cid is not null")
     classes = named.groupBy("cid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("own"), F.min("n").alias("n"))
     classes = classes.select("cid", F.col("own.id").alias("first_id"), F.col("own.key").alias("key"), "n")
 
-    tiles = base.select("text").mapInArrow(_tiles(k, num, den), "key long, cid long, agree byte").repartition("key")
-    in_key = Window.partitionBy("key").orderBy("cid")
-    whole = in_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tiles = tiles.withColumns({"low": F.first("cid").over(whole), "high": F.last("cid").over(whole), "place": F.row_number().over(in_key)})
-    mark = F.bit_xor(F.xxhash64("cid")).over(whole)  # with the ends, a name of the tile's members
-    more = F.max((F.col("cid") > F.col("low")) & (F.col("cid") < F.col("high"))).over(whole)
-    tiles = cut(tiles.withColumns({"mark": mark, "more": more}).where("low < high").select("cid", "agree", "low", "high", "place", "mark", "more"))
+    # counted by key in two steps, each combined before its shuffle: no task meets all rows of a key that very many classes share
+    tiles = written(base.select("text").mapInArrow(_tiles(k, num, den), "key long, cid long, agree byte").groupBy("key", "cid").agg(F.min("agree").alias("agree")))
+    met = tiles.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.min("agree").alias("agree"), F.bit_xor(F.xxhash64("cid")).alias("mark"))
+    met = cut(met.where("n > 1"))
     # two classes that meet alone must do so in `agree` tiles, unless they also meet in a tile of more
-    pairs = tiles.where("not more and place = 1").groupBy("low", "high").agg(F.count("*").alias("met"), F.min("agree").alias("agree")).where("met >= agree")
+    pairs = met.where("n = 2").groupBy("low", "high").agg(F.count("*").alias("met"), F.min("agree").alias("agree")).where("met >= agree")
     pairs = pairs.select(F.xxhash64("low", "high").alias("group"), F.explode(F.array("low", "high")).alias("cid"))
-    crowds = tiles.where("more").select(F.xxhash64("low", "high", "mark").alias("group"), "cid").distinct()
+    more = met.where("n > 2").select("key", F.xxhash64("low", "high", "mark").alias("group"))  # the ends and the mark name the tile's members
+    crowds = tiles.select("key", "cid").join(few(more, more.count()), "key").select("group", "cid").distinct()
     members = cut(pairs.unionByName(crowds))
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / TILE_BLOCK).alias("blocks"))
     signs = named.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
@@ -316,11 +327,26 @@ def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     texts = _blocked(sets, "root")
     checked = texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(num, den), "a long, b long")
     roots = components(checked)
-
     joined = classes.join(roots, classes.cid == roots.node, "left").select("cid", "first_id", F.coalesce("root", "cid").alias("root"))
-    named_roots = joined.groupBy("root").agg(F.min("first_id").alias("component"))
-    by_class = joined.select("cid", "root").join(named_roots, "root").select("cid", "component")
-    out = digest.join(by_class, "cid", "left")
+    return digest, joined
+
+
+def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id_col, n_shingles (set size), class_id and component_id.
+
+    Texts link when den * |A & B| >= num * |A | B| over their distinct k-word
+    shingles (a text with fewer than k words: its whole sequence as one).
+    component_id is the smallest id reachable by links, the row's own included.
+    A null or empty text, or one without words, has no shingles, a null class_id
+    and links with nothing. Repeated rows each give a row. A null id is carried
+    and never names a component of rows that have ids, but its text links like any other. Ids must be integers or cast to them. Very long texts
+    are read whole, and meet in blocks bounded by their sets' sizes. Extra columns are not read. An empty table gives an empty result. class_id is a 64-bit hash of the
+    shingle set; equal hashes count as equal sets.
+    """
+    rows, classes = _rooted(docs, k, num, den, id_col, text_col)
+    named_roots = classes.groupBy("root").agg(F.min("first_id").alias("component"))
+    by_class = classes.select("cid", "root").join(named_roots, "root").select("cid", "component")
+    out = rows.join(by_class, "cid", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("cid").alias("class_id")
     )
@@ -329,9 +355,18 @@ def ngram_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents without all but one row of each component: the row of the smallest doc_id.
 
-    Rows that repeat a doc_id count as copies, and one of them stays; rows with a null
-    doc_id all stay."""
-    found = ngram_components(docs, k, num, den)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    A doc_id may stand for several texts: each text is judged by itself, so different
+    texts stay under one id. Among rows of one doc_id in a component that of the smallest
+    text hash stays, and of rows that repeat id and text that of the smallest hash of all
+    columns, whichever way Spark deals them. Null, empty and wordless texts are no copies
+    of others, but rows that repeat id and text count once. Rows with a null doc_id all
+    stay. Very long texts are read whole; other columns stay, whatever their names. An empty table gives no rows.
+    """
+    rows, classes = _rooted(docs, k, num, den, "doc_id", "text")
+    known = rows.where("id is not null").select("id", "key", "cid")
+    first = known.where("cid is not null").join(classes.select("cid", "root"), "cid").groupBy("root").agg(F.min(F.struct("id", "key")).alias("own")).select("own.*")
+    kept = first.unionByName(known.where("cid is null").select("id", "key").distinct())
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.where("doc_id is not null").select(whole.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    one = own.join(kept, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by("row", "all").alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))

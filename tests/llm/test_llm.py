@@ -362,6 +362,42 @@ def test_blocks_of_a_large_cluster_are_all_compared(spark, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == brute_components(rows, 3, 90, 100)
 
 
+def test_small_sets_are_dealt_over_tiles(spark):
+    """Of many small random sets no tile holds more than a few, and pairs that differ as far as links allow still meet."""
+    rng = np.random.default_rng(7)
+    bands = ngram_join.size_bands(1 << 26)
+    held = collections.Counter()
+    for _ in range(100_000):
+        keys, _ = ngram_join.tile_keys(np.unique(rng.integers(0, 2**64, 9, np.uint64)), 90, 100, bands)
+        held.update(keys.tolist())
+    assert max(held.values()) <= 10
+    for n in (9, 10, 11, 12, 14, 20, 40, 60):
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64) // np.uint64(rng.choice([1, 1, 3, 16])))  # also sets that lack whole slices
+            apart = ngram_join._most_apart(n, n, 90, 100)
+            b = np.unique(np.concatenate([a[rng.permutation(n)[: n - apart // 2]], rng.integers(0, 2**64, apart // 2, np.uint64) // np.uint64(rng.choice([1, 16]))]))
+            if 190 * len(np.intersect1d(a, b)) >= 90 * (len(a) + len(b)) and len(a) and not np.array_equal(a, b):
+                (x, meet), (y, _) = ngram_join.tile_keys(a, 90, 100, bands), ngram_join.tile_keys(b, 90, 100, bands)
+                assert len(np.intersect1d(x, y)) >= meet.min(), (n, a, b)
+
+
+def test_keep_one_is_the_same_whichever_way_rows_come(spark):
+    """Different texts under one id stay, repeats of id and text count once, and reruns agree."""
+    rng = random.Random(12)
+    a, b, c = (vocabulary_text(rng, 50, 5000) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, a + " more", "x"), (3, c, "x"), (3, c + " more", "x"), (4, "", "x"), (4, None, "x"), (4, "", "y"), (5, None, "x"), (None, a, "x"), (None, a, "x")]
+    kept = None
+    for _ in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("row", F.lit(1)).repartition(4)
+        got = sorted((tuple(r) for r in ngram_join.keep_one(df).collect()), key=str)
+        assert kept is None or got == kept
+        kept = got
+    texts = collections.Counter((r[0], r[1]) for r in kept)
+    assert texts.pop((3, c), 0) + texts.pop((3, c + " more"), 0) == 1
+    assert texts == {(1, a): 1, (1, b): 1, (4, ""): 1, (4, None): 1, (5, None): 1, (None, a): 2}
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "q r s t u v"), (2, "q r s t u v"), (4, None), (None, "a b c d e f g"), (5, "")]
     got = ngram_join.keep_one(frame(spark, rows)).collect()
