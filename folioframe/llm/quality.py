@@ -4,12 +4,14 @@ Two views of a document: its content (which selected words and symbol runs
 occur) and its page metadata (language, source, size and layout figures). For each
 target, low quality and toxicity, a classifier of each view starts from the
 labelled rows; over ROUNDS rounds each hands its most confident pseudo-labels on
-unlabelled rows to the other. Both are then calibrated on labelled rows kept aside,
-and the calibrated log odds are combined into one score for every document.
+unlabelled rows to the other. Each is then calibrated for itself on labelled rows kept
+aside (a scale and a shift of its log odds), and the calibrated log odds are added, less
+those of the target as such, which both contain: the score of every document.
 
 Training uses a bounded sample of labelled rows, LABELLED chosen by a hash of the id. Pseudo-labels are looked for
 among all unlabelled documents: their features are kept in the checkpoint folder, each round
 scores them all on the executors, and only the rows handed over (at most HANDED a side, view and target) reach the driver.
+The final scores come from the same features. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -197,18 +199,26 @@ def _found(vocabulary: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> Fo
 
 @dataclass
 class Model:
-    """vocabulary: sorted token hashes of the content view; for each target the views' weights and the combination."""
+    """vocabulary: sorted token hashes of the content view; for each target the views' weights, and how they are combined:
+    each view's scale and shift, and the target's own log odds."""
 
     vocabulary: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     content: dict[str, np.ndarray]
     meta: dict[str, np.ndarray]
-    combine: dict[str, np.ndarray]
+    combine: dict[str, tuple[np.ndarray, np.ndarray, float]]
 
     def log_odds(self, found: Found, meta: np.ndarray, target: str) -> np.ndarray:
-        views = np.stack([_odds(found, self.content[target]), _odds((meta - self.mean) / self.scale, self.meta[target])], axis=1)
-        return _odds(np.clip(views, -12, 12), self.combine[target])
+        views = _odds(found, self.content[target]), _odds((meta - self.mean) / self.scale, self.meta[target])
+        *scaled, prior = self.combine[target]
+        return sum(_odds(np.clip(v, -12, 12)[:, None], w) for v, w in zip(views, scaled, strict=True)) - prior
+
+
+def _calibrated(odds: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """(scale, shift) that make a view's odds those of the labels; a view that says nothing, or the opposite, counts as the target's own odds."""
+    w = _fit(np.clip(odds, -12, 12)[:, None], y, 0.1)
+    return w if w[0] > 0 else np.array([0.0, prior])
 
 
 @dataclass
@@ -258,8 +268,9 @@ def train(rows: Rows, labels: dict[str, np.ndarray], aside: np.ndarray, vocabula
             break
     combine = {}
     for t in TARGETS:
-        both = np.stack([_odds(views[t][v], w[t, v]) for v in (0, 1)], axis=1)
-        combine[t] = _fit(np.clip(both[kept], -12, 12), labels[t][kept].astype(float), 0.1)
+        y = labels[t][kept].astype(float)
+        prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        combine[t] = (*(_calibrated(_odds(views[t][v], w[t, v])[kept], y, prior) for v in (0, 1)), prior)
     return Model(vocabulary, mean, scale, {t: w[t, 0] for t in TARGETS}, {t: w[t, 1] for t in TARGETS}, combine)
 
 
@@ -294,6 +305,7 @@ def _confident(w: dict, mean: np.ndarray, scale: np.ndarray, picks: dict[str, np
 def _hand(free: DataFrame, known: DataFrame, picks: dict[str, np.ndarray]):
     """The hand of train: over free(doc_id, key, words, meta) without the known doc_ids; no row is handed to a view twice."""
     spark, kind = free.sparkSession, dict(free.dtypes)["doc_id"]
+    free = free.where("doc_id is not null")
     known = few(known.select("doc_id"), known.count())
     given: set[tuple[int, int]] = set()
 
@@ -337,8 +349,9 @@ def _score(model: Model):
 _READ = ("lang", "source", "n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of labels(doc_id, quality, toxic) and all of docs(doc_id, text, lang, source, n_chars)."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """Train on a bounded sample of labels(doc_id, quality, toxic) and all of docs(doc_id, text, lang, source, n_chars).
+    Returns the model, and (doc_id, key, words, meta) of all docs: what it scores."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     seeds = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
@@ -354,12 +367,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     t = t.select("id.*", "words").orderBy("doc_id").toArrow()
     sample = Rows.of(t.column("words"), t.column("meta"), len(vocabulary))
     quality, toxic = t.column("quality").to_numpy(), t.column("toxic").to_numpy()
-    hand = None
-    if t.num_rows:
-        free = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64(*docs.columns).alias("key")).alias("id"), "text", "lang", "source", "n_chars")
-        free = free.mapInArrow(_placed(vocabulary), f"id struct<doc_id:{dict(docs.dtypes)['doc_id']},key:long>, words array<int>, meta array<double>")
-        hand = _hand(cut(free.select("id.*", "words", "meta")), known, picks)
-    return train(sample, {"bad": (quality == 0).astype(int), "toxic": toxic}, t.column("aside").to_numpy(), vocabulary, picks, hand)
+    every = docs.select(F.struct("doc_id", F.xxhash64(*docs.columns).alias("key")).alias("id"), "text", "lang", "source", "n_chars")
+    every = every.mapInArrow(_placed(vocabulary), f"id struct<doc_id:{dict(docs.dtypes)['doc_id']},key:long>, words array<int>, meta array<double>")
+    every = cut(every.select("id.*", "words", "meta"))
+    hand = _hand(every, known, picks) if t.num_rows else None
+    return train(sample, {"bad": (quality == 0).astype(int), "toxic": toxic}, t.column("aside").to_numpy(), vocabulary, picks, hand), every
 
 
 def _lists(x: Found) -> pa.Array:
@@ -407,24 +419,25 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels every score is one half or what the intercepts give, and nothing is
     rejected. Extra columns are not read; an empty table gives no rows.
     """
-    model = fit(docs, labels)
+    model, features = fit(docs, labels)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    scored = rows.mapInArrow(_only_ids(_score(model)), f"id {kind}, p_bad double, p_toxic double")
-    return scored.select(F.col("id").alias("doc_id"), "p_bad", "p_toxic", (F.greatest("p_bad", "p_toxic") > 0.5).alias("rejected"))
+    scored = features.select("doc_id", "words", "meta").mapInArrow(_score_features(model), f"doc_id {kind}, p_bad double, p_toxic double")
+    return scored.select("doc_id", "p_bad", "p_toxic", (F.greatest("p_bad", "p_toxic") > 0.5).alias("rejected"))
 
 
-def _only_ids(score):
+def _score_features(model: Model):
     def run(batches):
-        for b in score(batches):
-            yield b.select(["id", "p_bad", "p_toxic"])
+        for b in batches:
+            rows = Rows.of(b.column("words"), b.column("meta"), len(model.vocabulary))
+            p = [1 / (1 + np.exp(-np.clip(model.log_odds(rows.found, rows.meta, t), -30, 30))) for t in TARGETS]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, p)], ["doc_id", "p_bad", "p_toxic"])
 
     return run
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    model = fit(docs, labels)
+    """docs without the rows that the classifier rejects. Rows carry their texts, so each is scored where it is read, instead of meeting its stored features in a shuffle."""
+    model, _ = fit(docs, labels)
     names = docs.columns
     read = {"text": "text", "lang": "lang", "source": "source", "n_chars": "n_chars"}
     rows = docs.select(F.struct(*names).alias("row"), *(F.col(c) if c != "n_chars" else F.col(c).cast("long").alias(c) for c in read))
