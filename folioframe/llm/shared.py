@@ -82,7 +82,7 @@ def numbered(df: DataFrame, order: list[str], group: list[str] | None = None, at
 
     A range shuffle sorts the rows over all tasks; each task numbers its own, and
     the tasks' counts, a row for each task and group, give the places where they
-    start. Nulls come first and are a group like any other. Ties are dealt by the
+    start. df must not have columns of these names. Nulls come first and are a group like any other. Ties are dealt by the
     task that read them, so that even one repeated row is spread over tasks.
     """
     group = group or []

@@ -630,6 +630,27 @@ def test_mix_of_overlapping_sources(spark):
     assert only + both == 750 and max(r.copies for r in got) == 1  # no word twice while others are untaken
 
 
+def test_mix_of_more_patterns_than_the_driver_takes(spark, monkeypatch):
+    """The same rows where sources don't overlap; where they do, as good a flow."""
+    rng = random.Random(14)
+    rows = [(i, vocabulary_text(rng, rng.choice((0, 1, 5, 40))), rng.choice(["a", "b", "c", "d", "e", None]) if i % 3 else "hot") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    one = lambda: sorted((tuple(r) for r in mixing.mix(docs, F.array("source")).select("row.doc_id", "size", "source_size", "target", "copies").collect()), key=str)
+    want = one()
+    monkeypatch.setattr(mixing, "NODES", 0)
+    assert one() == want
+    patterns = [(str(i), rng.sample(["a", "b", "c"] if i % 2 else ["p", "q", "r", None], rng.randrange(4)), rng.randrange(50)) for i in range(60)] + [("alone", ["z"], 30), ("none", [], 4)]
+    df = spark.createDataFrame(patterns, "p string, a array<string>, words long")
+    for share in (0.3, 1.5):
+        a = {r.p: r for r in mixing._driver_flow(df, (3, 1, 2), share, 2).collect()}
+        b = {r.p: r for r in mixing._spread_flow(df, (3, 1, 2), share, 2).collect()}
+        assert a.keys() == b.keys() and all((a[p].words, a[p].source_size) == (b[p].words, b[p].source_size) and a[p].target == pytest.approx(b[p].target) for p in a)
+        cost = lambda x: (sum(r.flow for r in x.values()), sum(max(0, r.flow - r.words) for r in x.values()))
+        assert cost(a) == cost(b) and all(0 <= r.flow <= 2 * r.words for r in b.values())
+    assert mixing.mix(spark.createDataFrame([(1, "a b", None), (2, "c", [])], "doc_id long, text string, s array<string>"), F.col("s")).where("copies > 0").count() == 0
+    assert mixing.mix(docs.limit(0), F.array("source")).count() == 0
+
+
 def test_mix_fills_what_long_documents_leave(spark):
     rng = random.Random(3)
     rows = [(i, "w " * (4000 if i % 40 == 0 else rng.randrange(1, 60)), "x") for i in range(400)]
