@@ -59,11 +59,12 @@ v_boxes AS (SELECT page, idx, x0, y0, x0 + 40 + p_size * 6 AS x1, y0 + 20 + (idx
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few boxes, so that they leave regions without any."""
-    return boxes(spark, sf_dir).where("idx % 5 = 1")
+    """All boxes, those of every third page far to the right, so that they leave its regions without any."""
+    away = F.when(F.col("page") % 3 == 0, 9000).otherwise(0)
+    return boxes(spark, sf_dir).withColumns({"x0": F.col("x0") + away, "x1": F.col("x1") + away})
 
 
-SPARSE = "v_sparse AS (SELECT * FROM v_boxes WHERE idx % 5 = 1)"
+SPARSE = "v_sparse AS (SELECT * REPLACE (x0 + CASE page % 3 WHEN 0 THEN 9000 ELSE 0 END AS x0, x1 + CASE page % 3 WHEN 0 THEN 9000 ELSE 0 END AS x1) FROM v_boxes)"
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -71,8 +72,8 @@ def prefixed(df: DataFrame, p: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("idx % 5 = 0")
-    kind = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (_div(F.col("idx"), 5) % 10 + 1).cast("int"))
+    b = boxes(spark, sf_dir)
+    kind = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("idx") % 10 + 1).cast("int"))
     zero = F.lit(0)
     return b.select(
         "page", F.col("idx").alias("r_idx"), F.greatest(F.col("x0") - 200, zero).alias("r_x0"), F.greatest(F.col("y0") - 100, zero).alias("r_y0"), (F.col("x1") + 200).alias("r_x1"),
@@ -85,7 +86,7 @@ REGIONS = (
 v_regions AS (SELECT page, idx AS r_idx, greatest(x0 - 200, 0) AS r_x0, greatest(y0 - 100, 0) AS r_y0, x1 + 200 AS r_x1, y1 + 100 AS r_y1, score AS r_score,
   (["""
     + ", ".join(f"'{x}'" for x in LABELS)
-    + """])[(idx // 5) % 10 + 1] AS r_type FROM v_boxes WHERE idx % 5 = 0)"""
+    + """])[idx % 10 + 1] AS r_type FROM v_boxes)"""
 )
 
 

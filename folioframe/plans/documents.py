@@ -40,11 +40,14 @@ def read_with_tables(page_images: DataFrame, regions: DataFrame, table_blocks: D
     """Pages by regions: the tables' blocks (see tables_as_blocks), and the lines read outside all regions, in one
     reading order by y0, then x0, then text: doc_id, page, x0..y1, text, type, block_no.
 
-    Regions (doc_id, page, x0..y1) are gathered for each page; pages without any are read whole. Pages that fail keep their tables only."""
+    Regions (doc_id, page, x0..y1) are gathered for each page; pages without any are read whole. A page that fails keeps its tables, and has
+    a row without a place that says why (error; null elsewhere)."""
     covered = regions.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("regions"))
     lines = read_pages(page_images.join(covered, ["doc_id", "page"], "left"), detector, reader, **options)
     texts = lines.where("text <> ''").select("doc_id", "page", "x0", "y0", "x1", "y1", "text", F.lit("text").alias("type"))
-    return reading_order.numbered(texts.unionByName(table_blocks), ["doc_id", "page"], [F.col(c) for c in ("y0", "x0", "text")], "block_no")
+    placed = reading_order.numbered(texts.unionByName(table_blocks), ["doc_id", "page"], [F.col(c) for c in ("y0", "x0", "text")], "block_no")
+    failed = lines.where("error is not null").select("doc_id", "page", F.lit("error").alias("type"), "error")
+    return placed.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
 
 
 def recognized(blocks: DataFrame, read: Callable[[], Model], size: int = 20, workers: int = 4) -> DataFrame:

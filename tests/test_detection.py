@@ -198,6 +198,16 @@ def test_pages_are_read_from_images_to_ordered_lines(spark):
     assert [(r.block_no, r.type, r.text) for r in got] == [(1, "table", "|t|"), (2, "text", "black")]
     assert abs(got[1].x0 - 20) < 12 and 85 < got[1].y0 <= 100
 
+    def failing():
+        def read(crops):
+            raise ValueError("no reader")
+
+        return read
+
+    rows = documents.read_with_tables(df, regions, table, dark, failing, prepare=plain).collect()
+    assert [(r.type, r.text) for r in rows if r.error is None] == [("table", "|t|")]
+    assert ["no reader" in r.error and r.block_no is None for r in rows if r.type == "error"] == [True]
+
 
 def test_models_load_once_and_permanent_failures_are_not_tried_again(spark):
     def factory():
