@@ -7,6 +7,9 @@ if any of its one-row MinHash bands agree. A window of 2 s shingles that contain
 a template of n has a Jaccard similarity of at least t n / (2 s + (1 - t) n); there are as many bands
 as it takes for such a window to miss its template with a probability below MISS, whatever t and
 the templates are. Retrieved templates are verified by exact shingle containment.
+A window that holds a template several times gives several places: one ends where a
+shingle comes more often than the template has it. Of places of a template that overlap,
+as those of neighbouring windows do, the fullest stays.
 
 Two MinHash values agree only on a shingle of the template, so windows without
 any template's shingle are not signed.
@@ -15,6 +18,9 @@ any template's shingle are not signed.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,18 @@ TEMPLATES = {
 _U = np.uint64
 
 
+def library() -> dict[str, str]:
+    """TEMPLATES, and the texts and notices of licenses.txt."""
+    found, name = dict(TEMPLATES), None
+    for line in resources.files("folioframe.llm").joinpath("licenses.txt").read_text().splitlines():
+        if line.startswith("== "):
+            name = line[3:]
+            found[name] = ""
+        elif name:
+            found[name] += line + "\n"
+    return found
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """ASCII punctuation becomes space, byte for byte."""
     raw, off = tk.text_bytes(texts)
@@ -63,6 +81,7 @@ class Library:
         self.names = list(templates)
         h, b = tk.shingles(tk.words(plain(pa.array(templates.values(), pa.string()))), k)
         self.sets = [np.unique(h[b[i] : b[i + 1]]) for i in range(len(self.names))]
+        self.counts = [Counter(h[b[i] : b[i + 1]].tolist()) for i in range(len(self.names))]
         self.universe = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
         self.classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
@@ -76,38 +95,58 @@ class Library:
     def sign(self, h: np.ndarray) -> np.ndarray:
         return tk.mix(h[None, :] ^ self.seeds[:, None]).min(axis=1)
 
-    def find(self, h: np.ndarray, hits: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """For a text's shingles and the positions of those in the universe: template -> (shared, first, last) of its best window."""
-        best: dict[int, tuple[int, int, int]] = {}
+    def places(self, window: np.ndarray, t: int) -> list[tuple[int, int, int]]:
+        """(shared, first, last) of each place of a window where the template stands; the whole window where none does by itself, but all together."""
+        need = self.num * len(self.sets[t])
+        at = np.flatnonzero(np.isin(window, self.sets[t]))
+        if len(np.unique(window[at])) * self.den < need:
+            return []
+        found, seen, first = [], Counter(), 0
+        for i, h in enumerate([*window[at].tolist(), None]):
+            if h is None or seen[h] == self.counts[t][h]:
+                if len(seen) * self.den >= need:
+                    found.append((len(seen), int(at[first]), int(at[i - 1])))
+                seen, first = Counter(), i
+            if h is not None:
+                seen[h] += 1
+        return found or [(len(np.unique(window[at])), int(at[0]), int(at[-1]))]
+
+    def find(self, h: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """For a text's shingles and the positions of those in the universe: (template, shared, first, last) of all places, none of which overlaps another of its template."""
+        found: dict[int, set[tuple[int, int, int]]] = {}
         for size, members in self.classes.items():
             for start in np.unique(np.concatenate([hits // size, np.maximum(hits // size - 1, 0)])) * size:
                 window = h[start : start + 2 * size]
                 sign = self.sign(window)
                 for t in members:
-                    if not (sign == self.signs[t]).any():
-                        continue
-                    at = np.flatnonzero(np.isin(window, self.sets[t]))
-                    shared = len(np.unique(window[at]))
-                    if shared * self.den >= self.num * len(self.sets[t]) and shared > best.get(t, (0,))[0]:
-                        best[t] = (shared, int(start + at[0]), int(start + at[-1]))
-        return best
+                    if (sign == self.signs[t]).any():
+                        found.setdefault(t, set()).update((-n, int(start) + a, int(start) + b) for n, a, b in self.places(window, t))
+        out = []
+        for t, places in found.items():
+            taken: list[tuple[int, int]] = []  # by their beginnings
+            for n, a, b in sorted(places):
+                i = bisect_left(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] < a) and (i == len(taken) or b < taken[i][0]):
+                    taken.insert(i, (a, b))
+                    out.append((t, -n, a, b))
+        return out
 
 
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] | None = None, k: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per text and template of which it holds num / den or more, within one window:
+    """One row per text, template (library() where none are given) and place where the text holds num / den of it or more, within one window:
     id_col, license, n_shared and n_template (distinct k-word shingles), start_word and
     end_word (exclusive; words as split at white space and ASCII punctuation).
 
     Case and ASCII punctuation are ignored. A template of fewer than k words is one shingle and matches
     only texts that consist of it. Null and empty texts match nothing. Repeated
-    rows each give their rows; of equal windows the first counts. Templates
+    rows each give their rows; of equally full places that overlap the first counts. Very long texts are read whole, their time grows with the windows that hold a template's shingle. Templates
     travel to the tasks: they are a parameter, not data. Extra columns are not read. num / den lies above 0 and at most at 1.
     """
     if not 0 < num <= den:
         raise ValueError("num / den must lie above 0 and at most at 1")
-    known = TEMPLATES if templates is None else templates
+    known = library() if templates is None else templates
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -122,7 +161,7 @@ def scan_licenses(
             for i in np.flatnonzero(np.diff(ends)):
                 found = lib.find(h[bounds[i] : bounds[i + 1]], where[ends[i] : ends[i + 1]] - bounds[i])
                 words = int(w.bounds[i + 1] - w.bounds[i])
-                for t, (n, first, last) in sorted(found.items()):
+                for t, n, first, last in sorted(found, key=lambda x: (x[0], x[2])):
                     rows.append(i)
                     out.append((lib.names[t], n, len(lib.sets[t]), first, min(last + k, words)))
             if out:

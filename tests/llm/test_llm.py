@@ -221,6 +221,11 @@ def test_license_scan(spark):
     rows += [(4, "x y Released under the MIT License. z"), (5, None), (6, ""), (7, vocabulary_text(rng, 3000)), (4, "x y Released under the MIT License. z")]
     got = sorted((r.doc_id, r.license) for r in license_scan.scan_licenses(frame(spark, rows)).collect())
     assert got == [(1, "MIT"), (2, "MIT"), (4, "MIT notice"), (4, "MIT notice")]
+    known = license_scan.library()
+    assert len(known) >= 28 and all(known.values())
+    whole = [(i, f"{vocabulary_text(rng, 300)}\n{t}\n{vocabulary_text(rng, 90)}") for i, t in enumerate(known.values())]
+    got = {(r.doc_id, r.license): r.n_shared / r.n_template for r in license_scan.scan_licenses(frame(spark, whole)).collect()}
+    assert all(got[i, name] == 1 for i, name in enumerate(known))
     assert license_scan.scan_licenses(frame(spark, rows), templates={}).count() == 0
     assert license_scan.scan_licenses(spark.createDataFrame([], EMPTY)).count() == 0
 
@@ -253,20 +258,36 @@ def test_license_scan_equals_brute_force(spark, num):
             w = rng.choice(list(templates.values())).split(" ")
             for _ in range(rng.randrange(4)):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(99)}"
-            parts += [vocabulary_text(rng, rng.randrange(60)), " ".join(w[rng.randrange(2) :])]
+            parts += [vocabulary_text(rng, rng.randrange(60)), "\n".join([" ".join(w[rng.randrange(2) :])] * rng.choice((1, 1, 1, 4)))]
         rows.append((i, "\n".join(parts)))
     want = set()
     for i, text in rows:
         g = grams(tokens(text))
         for name, template in templates.items():
-            own = grams(tokens(template))
-            power = next(p for p in range(99) if license_scan.GROWTH**p >= len(own) - 1e-6)
+            own = collections.Counter(grams(tokens(template)))
+            power = next(p for p in range(99) if license_scan.GROWTH**p >= sum(own.values()) - 1e-6)
             size = max(1, math.ceil(license_scan.GROWTH**power))
-            best = max((len(set(g[a : a + 2 * size]) & set(own)) for a in range(0, len(g), size)), default=0)
-            if best * 100 >= num * len(set(own)) and best:
-                want.add((i, name, best, len(set(own))))
+            places = set()
+            for a in range(0, len(g), size):
+                part = [(j, x) for j, x in enumerate(g[a : a + 2 * size], a) if x in own]
+                if len({x for _, x in part}) * 100 < num * len(own):
+                    continue
+                runs = [[]]
+                for j, x in part:
+                    if sum(y == x for _, y in runs[-1]) == own[x]:
+                        runs.append([])
+                    runs[-1].append((j, x))
+                full = [r for r in runs if len({x for _, x in r}) * 100 >= num * len(own)] or [part]
+                places |= {(-len({x for _, x in r}), r[0][0], r[-1][0]) for r in full}
+            taken = []
+            for n, a, b in sorted(places):
+                if all(b < c or d < a for c, d in taken):
+                    taken.append((a, b))
+                    want.add((i, name, -n, len(own), a, min(b + 5, len(tokens(text)))))
     found = license_scan.scan_licenses(frame(spark, rows), templates, num=num).collect()
-    got = {(r.doc_id, r.license, r.n_shared, r.n_template) for r in found}
+    got = {(r.doc_id, r.license, r.n_shared, r.n_template, r.start_word, r.end_word) for r in found}
+    several = collections.Counter(w[:2] for w in want)
+    assert max(several.values()) >= 3
     assert len(want) > 20 and got == want and len(found) == len(got)
 
 
