@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import StructType
 
 Model = Callable[[list[dict]], list[dict]]
@@ -73,6 +73,20 @@ def infer(
     return df.mapInPandas(run, schema)
 
 
+def infer_by_width(df: DataFrame, factory: Callable[[], Model], outputs: str, width: Column, batch: int = 20, **options) -> DataFrame:
+    """infer() with crops of like width in each batch, whatever pages they come from, for models that pad a batch to its widest.
+
+    A range shuffle by width (how wide a crop is once all are equally high) brings likes together; each task's rows are sorted,
+    and batches are cut from them in that order. So batches cover ranges of widths that hardly overlap, and all their padding
+    together is at most batch * (the widest - the narrowest), however many crops there are, and a batch at each seam of the
+    tasks' frames. Rows keep their keys, by which callers put them in order again. Null widths come first, among themselves."""
+    name = "_width"
+    while name in df.columns:
+        name += "_"
+    likes = df.withColumn(name, width).repartitionByRange(name).sortWithinPartitions(name)
+    return infer(likes, factory, outputs, batch=batch, drop=(name, *options.pop("drop", ())), **options)
+
+
 def stub_recognizer() -> Model:
     """Deterministic: reads the text that the row carries."""
     return lambda rows: [{"text": r.get("text"), "score": 1.0} for r in rows]

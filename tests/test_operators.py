@@ -1,6 +1,7 @@
 """Merging, tables, orders, streaming and inference on small cases."""
 
 import json
+import math
 import random
 import time
 
@@ -434,3 +435,30 @@ def test_least_compatible_against_pairs(spark):
     want = {(r.p, r.m) for r in pairs.groupBy(F.col("a.person").alias("p")).agg(F.min("b.person").alias("m")).collect()}
     assert {(r.person, r.matched) for r in merge.least_compatible(df, ["scope"], "person").collect()} == want
     assert merge.least_compatible(df.limit(0), ["scope"], "person").count() == 0
+
+
+@pytest.mark.parametrize("batch", [4, 16, 50])
+def test_batches_by_width_pad_little(spark, batch):
+    """On the boxes of part: every row answered once under its own key, and padding below the bound."""
+    from folioframe.inference import infer_by_width
+    from folioframe.plans import derived as d
+
+    boxes = d.boxes(spark, "/root/testdata/sf0.001").withColumn("_width", F.lit("own"))
+    wide = F.ceil((F.col("x1") - F.col("x0")) * 48 / (F.col("y1") - F.col("y0")))
+
+    def padded():
+        def model(rows):
+            widths = [-(-(r["x1"] - r["x0"]) * 48 // (r["y1"] - r["y0"])) for r in rows]
+            return [{"padded": max(widths), "own": w, "size": len(rows)} for w in widths]
+
+        return model
+
+    out = infer_by_width(boxes, padded, "padded long, own long, size int", wide, batch=batch)
+    got = out.collect()
+    assert out.columns == [*boxes.columns, "padded", "own", "size", "error"] and sorted(r.idx for r in got) == sorted(r.idx for r in boxes.collect())
+    assert all(r.own == math.ceil((r.x1 - r.x0) * 48 / (r.y1 - r.y0)) and r.error is None and r.size <= batch for r in got)
+    seams = 2 * out.rdd.getNumPartitions()
+    spread = max(r.own for r in got) - min(r.own for r in got)
+    assert sum(r.padded - r.own for r in got) <= batch * spread
+    plain = infer(boxes, padded, "padded long, own long, size int", batch=batch).collect()
+    assert sum(r.padded - r.own for r in got) < 0.5 * sum(r.padded - r.own for r in plain) and len({(r.padded, r.size) for r in got}) <= len(got) // batch + seams + 1
