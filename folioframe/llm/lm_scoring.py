@@ -217,20 +217,24 @@ class Tree:
 
 
 def _chunks(batches):
-    """The task's grams and counts, about CHUNK at once, those of a context of LOCAL bytes together."""
-    held = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    context = _shorter(key, LOCAL) >> 8
-    order = np.lexsort((key, context))
-    key, n, context = key[order], n[order], context[order]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])), len(key))
-    at = 0
-    while at < len(key):
-        to = int(edges[max(np.searchsorted(edges, at + CHUNK, side="right") - 1, np.searchsorted(edges, at, side="right"))])
-        yield key[at:to], n[at:to]
-        at = to
+    """The grams and counts, which come by their contexts of LOCAL bytes, about CHUNK at once, those of a context together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        held.append((b.column("key").to_numpy(), b.column("n").to_numpy()))
+        while sum(len(k) for k, _ in held) >= CHUNK:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            context = _shorter(key, LOCAL) >> 8
+            edges = np.flatnonzero(context[1:] != context[:-1]) + 1
+            if not len(edges):
+                held = [(key, n)]
+                break  # one context so far
+            to = int(edges[max(np.searchsorted(edges, CHUNK, side="right") - 1, 0)])
+            yield key[:to], n[:to]
+            held = [(key[to:], n[to:])]
+    if held:
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(key):
+            yield key, n
 
 
 def _sums(batches):
@@ -341,7 +345,8 @@ _SCORED = "n_tokens long, known long, base double, score double, n_bytes long, k
 
 def _gram_logs(grams: DataFrame) -> DataFrame | None:
     """(key, n, v): the log probability of every gram of grams(key, n), n its training count; None without training."""
-    dealt = grams.repartition(F.expr(f"shiftright(key, 8) & {(1 << (8 * LOCAL)) - 1}"))
+    context = F.expr(f"shiftright(key, 8) & {(1 << (8 * LOCAL)) - 1}")
+    dealt = cut(grams.repartition(context).sortWithinPartitions(context, "key"))  # dealt and sorted once, read as a stream twice
     sums = cut(dealt.mapInArrow(_sums, "kind byte, key long, n long, value double").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("value").alias("value")))
     short = sums.where("kind = 0").orderBy("key").toArrow()
     if not short.num_rows:
@@ -377,7 +382,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Learns from the rows that are not held out. Null texts are empty: they
     still have an end. Repeated rows each give a row, and each counts in training.
-    Without training rows the model gives every byte 1/256 and every token the
+    Very long texts are read whole. Without training rows the model gives every byte 1/256 and every token the
     same share. Extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession

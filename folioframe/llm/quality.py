@@ -5,8 +5,8 @@ occur) and its page metadata (language, source, size and layout figures). For ea
 target, low quality and toxicity, a classifier of each view starts from the
 labelled rows; over ROUNDS rounds each hands its most confident pseudo-labels on
 unlabelled rows to the other. Each is then calibrated for itself on labelled rows kept
-aside (a scale and a shift of its log odds), and the calibrated log odds are added, less
-those of the target as such, which both contain: the score of every document.
+aside (a scale and a shift of its log odds), and the calibrated log odds are combined, by
+weights from the same rows since the views aren't independent, into one score for every document.
 
 Training uses a bounded sample of labelled rows, LABELLED chosen by a hash of the id. Pseudo-labels are looked for
 among all unlabelled documents: their features are kept in the checkpoint folder, each round
@@ -200,19 +200,23 @@ def _found(vocabulary: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> Fo
 @dataclass
 class Model:
     """vocabulary: sorted token hashes of the content view; for each target the views' weights, and how they are combined:
-    each view's scale and shift, and the target's own log odds."""
+    each view's scale and shift, and the weights of the calibrated views."""
 
     vocabulary: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     content: dict[str, np.ndarray]
     meta: dict[str, np.ndarray]
-    combine: dict[str, tuple[np.ndarray, np.ndarray, float]]
+    combine: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def log_odds(self, found: Found, meta: np.ndarray, target: str) -> np.ndarray:
         views = _odds(found, self.content[target]), _odds((meta - self.mean) / self.scale, self.meta[target])
-        *scaled, prior = self.combine[target]
-        return sum(_odds(np.clip(v, -12, 12)[:, None], w) for v, w in zip(views, scaled, strict=True)) - prior
+        *scales, weights = self.combine[target]
+        return _odds(np.stack([_scaled(v, w) for v, w in zip(views, scales, strict=True)], axis=1), weights)
+
+
+def _scaled(odds: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip(_odds(np.clip(odds, -12, 12)[:, None], scale), -12, 12)
 
 
 def _calibrated(odds: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
@@ -270,7 +274,9 @@ def train(rows: Rows, labels: dict[str, np.ndarray], aside: np.ndarray, vocabula
     for t in TARGETS:
         y = labels[t][kept].astype(float)
         prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-        combine[t] = (*(_calibrated(_odds(views[t][v], w[t, v])[kept], y, prior) for v in (0, 1)), prior)
+        odds = [_odds(views[t][v], w[t, v])[kept] for v in (0, 1)]
+        scales = [_calibrated(o, y, prior) for o in odds]
+        combine[t] = (*scales, _fit(np.stack([_scaled(o, s) for o, s in zip(odds, scales, strict=True)], axis=1), y, 0.1))
     return Model(vocabulary, mean, scale, {t: w[t, 0] for t in TARGETS}, {t: w[t, 1] for t in TARGETS}, combine)
 
 
