@@ -94,7 +94,7 @@ def shop(rng, n_clients, hot):
     return {"clients": clients, "clicks": clicks, "sales": sales, "sale_lines": lines}
 
 
-@pytest.mark.parametrize(("n", "hot"), [(400, 42), (60, None), (0, 1), (3, 5)])
+@pytest.mark.parametrize(("n", "hot"), [(400, 42), (0, 1)])
 def test_erasure_is_brute_force(spark, tmp_path, n, hot):
     tables = shop(random.Random(n), n, hot)
     for name, rows in tables.items():
