@@ -20,7 +20,7 @@ def law_code(c: Column) -> Column:
 
 
 def clean_law(c: Column) -> Column:
-    return collapse(F.regexp_replace(F.regexp_replace(nfkc(fold_quotes(c)), CODE_LONG, "BLHS"), r"^[ .;,]+|[ .;,]+$", ""))
+    return collapse(F.btrim(F.regexp_replace(nfkc(fold_quotes(c)), CODE_LONG, "BLHS"), F.lit(" .;,")))
 
 
 def clause_display(code: Column, dieu: Column, khoan: Column, diem: Column) -> Column:
@@ -42,13 +42,15 @@ def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
 def parse_clauses(c: Column) -> Column:
     """array<struct<code,dieu,khoan,diem,specific,display,raw>>; an item without a clause is one raw struct.
 
-    The text is cleaned once, its code found once, and each group of the pattern taken once for all clauses of the item."""
+    The text is cleaned once, its code found once, and a clause's groups come from one replacement inside it."""
     none = F.lit(None).cast("string")
-    groups = {"diem": 1, "khoan": 2, "dieu": 3}
 
     def clause(code: Column) -> Callable[[Column], Column]:
         def of(m: Column) -> Column:
-            diem, khoan, dieu = (F.nullif(m[g], F.lit("")) for g in groups)
+            return _bound(F.split(F.regexp_replace(m, CLAUSE, "$1\x01$2\x01$3"), "\x01", -1), groups)
+
+        def groups(g: Column) -> Column:
+            diem, khoan, dieu = (F.nullif(g[i], F.lit("")) for i in range(3))
             return F.struct(
                 code.alias("code"), F.lower(dieu).alias("dieu"), F.lower(khoan).alias("khoan"), F.lower(diem).alias("diem"), (khoan.isNotNull() | diem.isNotNull()).alias("specific"),
                 clause_display(code, dieu, khoan, diem).alias("display"), none.alias("raw"),
@@ -61,9 +63,7 @@ def parse_clauses(c: Column) -> Column:
         return F.when(F.size(x["found"]) > 0, F.transform(x["found"], clause(x["code"]))).otherwise(F.array(raw))
 
     def parts(text: Column) -> Column:
-        found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(i)).alias(g) for g, i in groups.items()))
-        named = found.cast("array<struct<diem:string,khoan:string,dieu:string>>")
-        return F.struct(text.alias("text"), law_code(text).alias("code"), named.alias("found"))
+        return F.struct(text.alias("text"), law_code(text).alias("code"), F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)).alias("found"))
 
     return _bound(clean_law(c), lambda text: _bound(parts(text), of))
 

@@ -19,7 +19,7 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "), F.lit(" "))
 
 
 def is_blank(c: Column) -> Column:
