@@ -115,7 +115,7 @@ def chat_request(
     if row.get("image"):
         kind = "png" if row["image"][:4] == b"\x89PNG" else "jpeg"
         content.append({"type": "image_url", "image_url": {"url": f"data:image/{kind};base64," + base64.b64encode(row["image"]).decode()}})
-    system = instruction if schema is None else f"{instruction}\n\nJSON SCHEMA:\n{json.dumps(schema, ensure_ascii=False, indent=2)}"
+    system = instruction if schema is None else f"{instruction}\n\nThe answer is one JSON object of this schema:\n{json.dumps(schema, ensure_ascii=False, indent=2)}"
     body = {"model": model, "temperature": 0, "max_tokens": tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": content}]}
     if json_mode:
         body["response_format"] = {"type": "json_object"}
