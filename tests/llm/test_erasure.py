@@ -121,6 +121,22 @@ def test_untouched_files_stay_and_clashing_columns_are_kept(spark, tmp_path):
     assert erasure.erase(t, values.select(erasure.key_hash(F.col("v")).alias("hash")), [("hash", values)]) == {}
 
 
+def test_rows_of_other_masters_stay(spark, tmp_path):
+    """Client 1 stands under the victim master 8, under 7 and under none: only the first of these rows goes, its clicks and sales all go."""
+    rows = {
+        "clients": [(1, 7, "a", "n", 1.0), (1, 8, "b", "n", 2.0), (1, None, "c", "n", 4.0), (2, 8, "d", "n", 8.0), (None, 7, "e", "n", 16.0), (None, 8, "f", "n", 32.0)],
+        "clicks": [(i, None, 1 if i < 9 else None if i < 12 else 2, "k", 1.0) for i in range(13)],
+        "sales": [(10, 1, "s", 1.0), (11, 2, "s", 1.0)],
+        "sale_lines": [(10, 1, 1.0, "x"), (11, 1, 2.0, "x"), (12, 1, 4.0, "x")],
+    }
+    for name, table in rows.items():
+        spark.createDataFrame(table, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert all(crc(m) % 100 for m in (7, 8))
+    # both masters have client 1; 8 has client 2's click besides, so it is the busiest
+    got = {(r.table_name, r.cents) for r in op13_cascading_erasure(spark, str(tmp_path)).collect()}
+    assert got == {("clients", 100), ("clients", 400), ("clients", 1600), ("clicks", 100), ("sale_lines", 400)}
+
+
 def test_given_tables(spark):
     sf = "/root/testdata/sf0.001"
     tables = {n: pq.read_table(f"{sf}/{n}.parquet").to_pylist() for n in SCHEMAS}
