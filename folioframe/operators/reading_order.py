@@ -35,6 +35,11 @@ def tolerance_order(rows: list[dict], first: str, second: str, tolerance: float)
     return sorted(rows, key=cmp_to_key(lambda a, b: d if abs(d := a[first] - b[first]) >= tolerance else a[second] - b[second]))
 
 
+def present(v) -> bool:
+    """Neither null nor NaN, which stands for null where rows came through pandas."""
+    return v is not None and v == v
+
+
 def repair(rows: list[dict], label: str, second: str) -> list[dict]:
     """Move rows with a label back past neighbours with a greater label (or an equal one and a
     greater `second`); rows without the label stay where they stand and are compared with nothing.
@@ -42,11 +47,13 @@ def repair(rows: list[dict], label: str, second: str) -> list[dict]:
     Each row in turn makes one full backward pass of adjacent swaps."""
     rows = list(rows)
     rank = lambda r: (r[label], r[second])
+    wrong = lambda a, b: present(a[label]) and present(b[label]) and rank(b) < rank(a)
+    if not any(map(wrong, rows, rows[1:])):
+        return rows
     for end in range(1, len(rows)):
         for k in range(end, 0, -1):
-            pair = rows[k - 1 : k + 1]
-            if all(pd.notna(r[label]) for r in pair) and rank(pair[1]) < rank(pair[0]):
-                rows[k - 1 : k + 1] = pair[::-1]
+            if wrong(rows[k - 1], rows[k]):
+                rows[k - 1 : k + 1] = rows[k], rows[k - 1]
     return rows
 
 

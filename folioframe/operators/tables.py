@@ -1,21 +1,23 @@
 """Table structure: alignment of components, cell tagging, grids, and their rendering.
 
 Statistics and joins are DataFrame operations. A single table's grid, whose cells
-move one after another, is built by one grouped Arrow function per table.
+move one after another, is built in Python: tables are sorted together and come as a stream of Arrow
+batches, since a call of Python for each table costs far more than a small table's grid.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import fmean
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import block_type, is_caption
 from folioframe.operators.layout import best_overlap, nearest_column
-from folioframe.operators.reading_order import repair, tolerance_order
+from folioframe.operators.reading_order import present, repair, tolerance_order
 
 
 def align_edges(components: DataFrame) -> DataFrame:
@@ -118,6 +120,10 @@ class Grid:
         return Grid(self.cells, [list(col) for col in zip(*self.at, strict=True)])
 
 
+def missing(v) -> bool:
+    return not present(v)
+
+
 def _segments(cells: list[dict], order: list[int], label: str, low: str, high: str, slack: float, step: bool) -> list[list[int]]:
     """Runs of cells in order. A run ends where the label changes (step: where it grows by just one on the same page), or
     where the next cell begins beyond the run's edge, a running mean, and its label differs or is missing."""
@@ -129,10 +135,10 @@ def _segments(cells: list[dict], order: list[int], label: str, low: str, high: s
             before = cells[runs[-1][-1]]
             a, b = before[label], c[label]
             if step:
-                turn = (1 if pd.isna(b) else b) - (1 if pd.isna(a) else a) == 1 and before["page_number"] == c["page_number"]
+                turn = (1 if missing(b) else b) - (1 if missing(a) else a) == 1 and before["page_number"] == c["page_number"]
             else:
-                turn = not (pd.isna(a) and pd.isna(b)) and a != b
-            turn = turn or (c[low] >= edge - slack and (pd.isna(a) or pd.isna(b) or a != b))
+                turn = not (missing(a) and missing(b)) and a != b
+            turn = turn or (c[low] >= edge - slack and (missing(a) or missing(b) or a != b))
             if not turn:
                 edge = (edge + c[high]) / 2
                 runs[-1].append(i)
@@ -173,7 +179,7 @@ def build_grid(cells: list[dict]) -> Grid:
     """Rows and columns of one table's cells; lonely columns (given four rows) and rows (given four columns) are absorbed.
 
     Cells are dicts with the fields of TABLE_CELL, missing labels null."""
-    least = lambda a, b, label: min((c[a] - c[b] for c in cells if pd.notna(c[label]) and pd.notna(c[a]) and pd.notna(c[b])), default=0.0) / 2
+    least = lambda a, b, label: min((c[a] - c[b] for c in cells if present(c[label]) and present(c[a]) and present(c[b])), default=0.0) / 2
     for i, c in enumerate(cells):
         c["__i"] = i
     by_row = repair(tolerance_order(cells, "top", "x0", least("R_bott", "R_top", "R")), "R", "x0")
@@ -196,14 +202,16 @@ def build_grid(cells: list[dict]) -> Grid:
 def spread_spans(grid: Grid) -> Grid:
     """Cells with a span cover every place whose centre line lies within their extents, made one rectangle; its
     places share one content, in reading order, equal texts once."""
+    if not any(present(c["SP"]) for c in grid.cells):
+        return grid
     rows, cols = range(len(grid.at)), range(len(grid.at[0]))
-    mean = lambda places, a, b: fmean([c[a] if a in c and pd.notna(c[a]) else c[b] for p in places for c in (grid.cells[i] for i in p)] or [0.0])
+    mean = lambda places, a, b: fmean([c[a] if a in c and present(c[a]) else c[b] for p in places for c in (grid.cells[i] for i in p)] or [0.0])
     line = [[grid.at[r][c] for r in rows] for c in cols]
     mid_x = [(mean(p, "C_left", "x0") + mean(p, "C_right", "x1")) / 2 for p in line]
     mid_y = [(mean(p, "R_top", "top") + mean(p, "bottom", "bottom")) / 2 for p in grid.at]
     for r in rows:
         for c in cols:
-            spans = [grid.cells[i] for i in grid.at[r][c] if pd.notna(grid.cells[i]["SP"])]
+            spans = [grid.cells[i] for i in grid.at[r][c] if present(grid.cells[i]["SP"])]
             if not spans:
                 continue
             over_c = {c} | {j for s in spans for j in cols if s["H_left"] <= mid_x[j] <= s["H_right"]}
@@ -224,7 +232,7 @@ def _headers(grid: Grid, kinds: list[str | None], main: str | None) -> list[int]
     def vote(place: list[int]) -> bool:
         if main == "Nu":
             return kinds[place[0]] != "Nu"
-        return any(pd.notna(grid.cells[i]["H"]) and grid.cells[i]["H"] != 0 for i in place)
+        return any(present(grid.cells[i]["H"]) and grid.cells[i]["H"] != 0 for i in place)
 
     out = []
     for n, row in enumerate(grid.at):
@@ -299,13 +307,38 @@ def typed_cells(cells: DataFrame) -> DataFrame:
     return cells.withColumn("btype", block_type(F.col("text"))).withColumn("caption", is_caption(F.col("text"), F.col("layout_type")))
 
 
+BODIES = pa.schema([("table_id", pa.string()), ("body", pa.string())])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of one key after another, of batches in which they come together."""
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and row[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def construct_tables(cells: DataFrame, style: str = "markdown", english: bool = False) -> DataFrame:
     """(table_id, body) of cells with the columns of TABLE_CELL: markdown, or with style "sentences" one line per row.
 
     Captions are taken out first and joined. Tables without other cells give no row."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        body = table_body(pdf.to_dict("records"), style, english)
-        return pd.DataFrame({"table_id": [pdf["table_id"].iloc[0]], "body": [body]} if body is not None else {"table_id": [], "body": []}).astype(str)
-
-    return typed_cells(cells).groupBy("table_id").applyInPandas(run, "table_id string, body string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bodies = [], []
+        for rows in _groups(batches, "table_id"):
+            body = table_body(rows, style, english)
+            if body is not None:
+                ids.append(str(rows[0]["table_id"]))
+                bodies.append(body)
+            if len(ids) == 1000:
+                yield pa.RecordBatch.from_pydict({"table_id": ids, "body": bodies}, BODIES)
+                ids, bodies = [], []
+        yield pa.RecordBatch.from_pydict({"table_id": ids, "body": bodies}, BODIES)
+
+    whole = typed_cells(cells).repartition("table_id").sortWithinPartitions("table_id")
+    return whole.mapInArrow(run, "table_id string, body string")

@@ -190,6 +190,20 @@ def table(spark, *cells, **how):
     return rows[0].body if rows else None
 
 
+def test_many_tables_come_as_one_stream(spark):
+    """No call of Python for each table: one for a task's sorted tables, whose batches cut through them."""
+    cells = [(f"t{t}", *cell(n, f"{t}.{n}", n, 0)[1:]) for t in range(40) for n in range(t % 4 + 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = tables.construct_tables(spark.createDataFrame(cells, TABLE_CELL).repartition(5))
+        bodies = {r.table_id: r.body for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {f"t{t}": "".join(f"| {t}.{n} |\n" + "| --- |\n" * (n == 0) for n in range(t % 4 + 1)) for t in range(40)}
+    assert bodies == want
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_markdown(spark):
     cells = [cell(1, "h1", 0, 0), cell(2, "h2", 0, 1), cell(3, "a", 1, 0)]
     want = "| h1 | h2 |\n| --- | --- |\n| a |  |\n"
