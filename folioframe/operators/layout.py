@@ -13,6 +13,13 @@ PRIORITY = ("footer", "header", "reference", "figure caption", "table caption",
 DROPPABLE = ("footer", "header", "reference")
 #: Height of the bands that narrow a box join on crowded pages.
 BAND = 400
+#: Rows that one task of a box join takes; each may meet many of its page.
+TASK_ROWS = 25_000
+
+
+def _tasks(boxes: DataFrame) -> int:
+    """Tasks for a join of these boxes: as many more as there are more boxes, however few bytes they have."""
+    return 1 + boxes.count() // TASK_ROWS
 
 
 def _banded(df: DataFrame, prefix: str) -> DataFrame:
@@ -25,7 +32,8 @@ def overlapping(boxes: DataFrame, regions: DataFrame, page: str = "page") -> Dat
 
     An equi-join on page and height band, each pair taken in the band where the later of the two
     begins, so that no pair comes twice."""
-    pairs = _banded(boxes, "b_").join(_banded(regions, "r_"), [page, "band"])
+    n = _tasks(boxes)
+    pairs = _banded(boxes, "b_").repartition(n, page, "band").join(_banded(regions, "r_").repartition(n, page, "band"), [page, "band"])
     a, b = g.Box.of("b_"), g.Box.of("r_")
     return pairs.where((F.floor(F.greatest("b_y0", "r_y0") / BAND) == F.col("band")) & ~g.disjoint(a, b)).drop("band")
 
@@ -46,7 +54,8 @@ def best_overlap(boxes: DataFrame, regions: DataFrame, threshold: float, by: tup
 
 def nearest_column(boxes: DataFrame, columns: DataFrame, page: str = "page") -> DataFrame:
     """For each box the column whose edges or middle lie nearest in x; equal distance: the least r_idx. No overlap needed."""
-    pairs = boxes.join(columns, page)
+    n = _tasks(boxes)
+    pairs = boxes.repartition(n, page).join(columns.repartition(n, page), page)
     middle = F.abs((F.col("b_x0") + F.col("b_x1")) - (F.col("r_x0") + F.col("r_x1"))) / 2
     distance = F.least(F.abs(F.col("b_x0") - F.col("r_x0")), F.abs(F.col("b_x1") - F.col("r_x1")), middle)
     pairs = pairs.withColumn("distance", distance).where("distance < 1000000")
