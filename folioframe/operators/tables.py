@@ -59,9 +59,18 @@ def tag_cells(cells: DataFrame, components: DataFrame) -> DataFrame:
     return out
 
 
+#: Cells that one task takes when tables are dealt over tasks.
+TASK_CELLS = 400_000
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Whole tables to tasks, as many more as there are more cells: what follows is grouped within a task, however large the files' parts."""
+    return cells.repartition(1 + cells.count() // TASK_CELLS, "table_id")
+
+
 def dominant_type(cells: DataFrame) -> DataFrame:
     """(table_id, btype): the commonest type of a table's cells (table_id, cell_no, text); of equal ones, the first seen. Null is a type."""
-    typed = cells.withColumn("btype", block_type(F.col("text")))
+    typed = _dealt(cells).withColumn("btype", block_type(F.col("text")))
     counts = typed.groupBy("table_id", "btype").agg(F.count("*").alias("n"), F.min("cell_no").alias("seen"))
     best = counts.groupBy("table_id").agg(F.max_by(F.struct("btype"), F.struct("n", -F.col("seen"))).alias("m"))
     return best.select("table_id", F.col("m.btype").alias("btype"))
@@ -72,7 +81,7 @@ def header_rows(cells: DataFrame, dominant: DataFrame) -> DataFrame:
 
     A place votes by its first cell: in a table of numbers if that is no number, else if any of its cells
     has a header number that is not 0. Cells: (table_id, rn, cn, cell_no, text, H)."""
-    typed = cells.withColumn("btype", block_type(F.col("text")))
+    typed = _dealt(cells).withColumn("btype", block_type(F.col("text")))
     place = typed.groupBy("table_id", "rn", "cn").agg(F.min_by(F.struct("btype"), "cell_no").alias("first"), F.max(F.coalesce(F.col("H") != 0, F.lit(False))).alias("headed"))
     kind, number = F.col("first.btype"), F.coalesce(F.col("btype") == "Nu", F.lit(False))
     vote = F.when(number, ~F.coalesce(kind == "Nu", F.lit(False))).otherwise(F.col("headed"))

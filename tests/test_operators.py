@@ -180,6 +180,22 @@ def test_overlap_ties_take_the_last(spark):
     assert [r.r_idx for r in layout.nearest_column(boxes, regions).collect()] == [1]
 
 
+def test_box_joins_take_more_tasks_for_more_boxes(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_ROWS", 2, raising=False)
+    boxes = spark.createDataFrame([(p, 1, 0.0, 0.0, 10.0, 900.0) for p in range(20)], "page int, b_idx int, b_x0 double, b_y0 double, b_x1 double, b_y1 double")
+    regions = spark.createDataFrame([(p, i, 0.0, 0.0, 10.0, 900.0) for p in range(20) for i in (1, 2)], "page int, r_idx int, r_x0 double, r_y0 double, r_x1 double, r_y1 double")
+    for got, found in ((layout.nearest_column(boxes, regions), 20), (layout.overlapping(boxes, regions), 40)):
+        assert got.count() == found and got.rdd.getNumPartitions() == 11
+
+
+def test_tables_take_more_tasks_for_more_cells(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_CELLS", 4, raising=False)
+    cells = spark.createDataFrame([(t, 0, 0, 1, "12", 1) for t in range(20)], "table_id int, rn int, cn int, cell_no int, text string, H int")
+    main = tables.dominant_type(cells)
+    assert {r.btype for r in main.collect()} == {"Nu"} and main.rdd.getNumPartitions() == 6
+    assert tables.header_rows(cells, main).count() == 0 and tables.header_rows(cells, main).rdd.getNumPartitions() == 6
+
+
 def cell(n, text, r, c, x0=None, top=None, h=None, sp=None, kind="table"):
     x, y = (c or 0) * 100.0 if x0 is None else x0, (r or 0) * 30.0 if top is None else top
     return ("t", n, text, x, x + 90, y, y + 20, kind, 1, r, y, y + 25, h, None, None, None, None, c, x, x + 95, sp)
