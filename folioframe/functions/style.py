@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as g
-from folioframe.functions.text import is_blank, strip
+from folioframe.functions.text import SPACE, is_blank, strip
 
 # The patterns that set a style, and its font.
-RECIPIENTS = r"(?iu)^(Nơi\s+nhận|Noi\s+nhan)\s*:?"
+RECIPIENTS = rf"(?iu)^{SPACE}*(Nơi\s+nhận|Noi\s+nhan)\s*:?"
 MOTTO = r"(?iu)(ĐỘC\s+LẬP|DOC\s+LAP).*(TỰ\s+DO|TU\s+DO).*(HẠNH\s+PHÚC|HANH\s+PHUC)"
 FONT, SIZE = "Times New Roman", 13.0
 
@@ -31,7 +31,7 @@ def alignment(x0: Column, x1: Column, page_w: Column) -> Column:
 
 def style(text: Column, x0: Column, x1: Column, page_w: Column) -> Column:
     """struct<font,size,bold,italic,underline,align>; the first rule that holds decides."""
-    t = strip(F.coalesce(text, F.lit("")))
+    t = F.coalesce(text, F.lit(""))
     to, motto, caps = t.rlike(RECIPIENTS), t.rlike(MOTTO), all_caps(t)
     return F.struct(
         F.lit(FONT).alias("font"),

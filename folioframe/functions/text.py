@@ -10,11 +10,12 @@ PLACEHOLDERS = ("null", "không rõ", "không xác định", "n/a", "none")
 QUOTES = "‘’‚ʼ`´"
 #: White space as str.split() and str.strip() know it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -23,7 +24,7 @@ def collapse(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(F.length(strip(c)) == 0, F.lit(True))
+    return ~F.coalesce(c.rlike(f"[^{SPACE[1:]}"), F.lit(False))
 
 
 def is_null_like(c: Column) -> Column:

@@ -432,14 +432,12 @@ def q_pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' draw commands as PDF files in a new folder, and what is found in each file."""
     import uuid
 
-    from folioframe.sources.pdf import write_pdf
+    from folioframe.sources.pdf import read_pdf, write_pdf
     from folioframe.streaming import shared_folder
 
     top = f"{shared_folder(spark)}/pdf-{uuid.uuid4().hex}"
-    write_pdf(drawn_blocks(d.blocks(spark, sf_dir)), top)
-    files = spark.read.format("binaryFile").load(top)
-    pages = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"/Type /Pages /Kids \[[^\]]*\] /Count (\d+)", 1)
-    return files.select(text.document_name(F.col("path")).alias("doc_id"), pages.cast("int").alias("n_pages"), "length", "path")
+    write_pdf(drawn_blocks(d.blocks(spark, sf_dir)), top, folders=True)
+    return read_pdf(spark, top)
 
 
 @query(

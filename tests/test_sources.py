@@ -237,6 +237,29 @@ def test_pdf_files_hold_what_was_drawn(spark, tmp_path):
     assert not os.path.exists(tmp_path / "none") or os.listdir(tmp_path / "none") == []
 
 
+def test_pdf_folders_are_moved_and_read_by_task(spark, tmp_path):
+    """However many documents, the driver moves one folder a task; the files are those of the flat form, and all are read."""
+    from folioframe.sources import pdf
+
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 500))  # three fonts
+    rows = [(f"d{i}", p, 0, k, many[i:] if i % 9 == 0 else f"line {i} of {p}", "bold" if k else "regular", 13.0, "left", 20.0, 700.0, False) for i in range(60) for p in range(i % 4 + 1) for k in range(2)]
+    commands = spark.createDataFrame(rows, pdf.COMMANDS)
+    pdf.write_pdf(commands, f"{tmp_path}/flat")
+    pdf.write_pdf(commands, f"{tmp_path}/deep", folders=True)
+    parts = os.listdir(tmp_path / "deep")
+    assert 1 <= len(parts) <= 4 and all(p.startswith("part-") for p in parts)
+    deep = {f: (tmp_path / "deep" / p / f).read_bytes() for p in parts for f in os.listdir(tmp_path / "deep" / p)}
+    assert deep == {f: (tmp_path / "flat" / f).read_bytes() for f in os.listdir(tmp_path / "flat")} and len(deep) == 60
+    for top in ("flat", "deep"):
+        got = pdf.read_pdf(spark, f"{tmp_path}/{top}").collect()
+        assert sorted((r.doc_id, r.n_pages, r.length) for r in got) == sorted((f"d{i}", i % 4 + 1, len(deep[f"d{i}.pdf"])) for i in range(60))
+        assert all(os.path.getsize(r.path.removeprefix("file:")) == r.length for r in got)
+    pages = parsed(deep["d9.pdf"])
+    assert [x[0] for x in pages[0][0]] == [many[9:]] * 2
+    pdf.write_pdf(commands.limit(0), f"{tmp_path}/none", folders=True)
+    assert pdf.read_pdf(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pdf_query_writes_every_document(spark):
     from folioframe.plans import derived as d
     from folioframe.plans.queries import QUERIES, drawn_blocks
