@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(c, f" {SPACE}+|{SPACE[:-1]}&&[^ ]]{SPACE}*", " "), F.lit(" "))
 
 
 def is_blank(c: Column) -> Column:
@@ -29,7 +31,7 @@ def is_blank(c: Column) -> Column:
 
 def is_null_like(c: Column) -> Column:
     """Null or a placeholder; the empty string is neither."""
-    return c.isNull() | F.lower(strip(c)).isin(*PLACEHOLDERS)
+    return c.isNull() | (c.rlike(f"(?iu)^{SPACE}*(?:{'|'.join(PLACEHOLDERS)}){SPACE}*$") & F.lower(strip(c)).isin(*PLACEHOLDERS))
 
 
 def null_if_placeholder(c: Column) -> Column:
@@ -40,24 +42,43 @@ def fold_quotes(c: Column) -> Column:
     return F.translate(c, QUOTES, "'" * len(QUOTES))
 
 
+def compat(c: Column) -> Column:
+    """nfkc() of what is never null. A chain of steps checks its input for nulls once, as each check evaluates all steps before it again."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+
+
+def _folded(c: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility normal form, by the Unicode library that Spark itself ships for its collations: no Python worker runs."""
-    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)))
+    return F.when(c.isNotNull(), compat(c))
 
 
 def casefold(c: Column) -> Column:
     """Full case folding (ß as ss), which lower() isn't."""
-    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
+    return F.when(c.isNotNull(), _folded(c))
 
 
 def name_key(c: Column) -> Column:
     """Comparison key of a name: compatibility forms unified, punctuation gone, case folded, spaces collapsed."""
-    return collapse(casefold(F.regexp_replace(nfkc(fold_quotes(c)), r"[^\p{L}\p{N}_\s]", " ")))
+    return F.when(c.isNotNull(), collapse(_folded(F.regexp_replace(compat(fold_quotes(c)), r"[^\p{L}\p{N}_\s]", " "))))
 
 
 def generic_key(c: Column) -> Column:
     """Key of a list item: compatibility forms, quotes and case folded, spaces collapsed, punctuation kept."""
-    return collapse(casefold(nfkc(fold_quotes(c))))
+    return F.when(c.isNotNull(), collapse(_folded(compat(fold_quotes(c)))))
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def firsts(keyed: Column) -> Column:
+    """Of structs sorted by what decides and then their place, the first of each field key: one sort, however long the list."""
+    return bound(keyed, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["key"] != x["key"])))
 
 
 DATE = rf"(?<!{WORD})(\d{{1,2}})\s*[/.-]\s*(\d{{1,2}})\s*[/.-]\s*(\d{{2,4}})(?!{WORD})"

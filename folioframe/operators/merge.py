@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.functions.laws import CLAUSE
-from folioframe.functions.text import PLACEHOLDERS, QUOTES, date_key, generic_key, id_key, is_null_like, name_key
+from folioframe.functions.text import PLACEHOLDERS, QUOTES, date_key, firsts, generic_key, id_key, is_null_like, name_key
 from folioframe.schema import EMPTY_LISTS, ENTITY, EXTRACTION, HEADER
 
 _FOLD = str.maketrans(dict.fromkeys(QUOTES, "'"))
@@ -311,14 +311,12 @@ def _with_lists(verdict: Column) -> Column:
 
 
 def ordered_distinct(old: Column, new: Column) -> Column:
-    """merge_lists as an expression: old items and then the new ones whose key isn't there yet."""
-    zero = F.struct(F.transform(F.filter(old, lambda x: ~is_null_like(x)), lambda x: generic_key(x)).alias("keys"), old.alias("items"))
-
-    def step(acc: Column, x: Column) -> Column:
-        skip = is_null_like(x) | F.array_contains(acc["keys"], generic_key(x))
-        return F.when(skip, acc).otherwise(F.struct(F.array_append(acc["keys"], generic_key(x)).alias("keys"), F.array_append(acc["items"], x).alias("items")))
-
-    return F.aggregate(new, zero, step, lambda acc: acc["items"])
+    """merge_lists as an expression: old items and then the new ones whose key isn't there yet. Each key is made once."""
+    known = lambda items: F.filter(items, lambda x: ~is_null_like(x))
+    keyed = lambda x, at: F.struct(generic_key(x).alias("key"), at.cast("int").alias("at"), x.alias("item"))
+    had = F.transform(known(old), lambda x: keyed(x, F.lit(-1)))
+    fresh = F.filter(firsts(F.array_sort(F.concat(had, F.transform(known(new), keyed)))), lambda x: x["at"] >= 0)
+    return F.concat(old, F.transform(F.array_sort(F.transform(fresh, lambda x: F.struct(x["at"], x["item"]))), lambda x: x["item"]))
 
 
 def keys_compatible(dob_a: Column, id_a: Column, dob_b: Column, id_b: Column) -> Column:

@@ -1,6 +1,7 @@
 """Merging, tables, orders, streaming and inference on small cases."""
 
 import json
+import time
 import math
 import random
 import time
@@ -146,6 +147,16 @@ def test_lists_keep_old_repeats(spark):
     assert df.select(merge.ordered_distinct(F.col("a"), F.col("b")).alias("r")).first().r == ["x", "X", "y"]
 
 
+def test_long_lists_keep_first_items(spark):
+    """20,000 new items, each twice: comparing each with all before it would take far longer than the limit here."""
+    old, new = ["A0", None, "n/a", "A0"], [f"{'Ａa'[i % 2]}{i // 2}\u3000" for i in range(40_000)] + [None, "N/A"]
+    df = spark.createDataFrame([(old, new)], "a array<string>, b array<string>")
+    began = time.time()
+    got = df.select(merge.ordered_distinct(F.col("a"), F.col("b")).alias("r")).first().r
+    assert time.time() - began < 15
+    assert got == merge.merge_lists("x", old, new) and len(got) == 4 + 19_999
+
+
 def test_merge_partials_does_not_depend_on_arrival(spark):
     rows = [(1, p, json.dumps(part(person("A" if p % 2 else "B", crimes=[str(p)]), note=str(p)))) for p in range(1, 7)] + [(2, 1, "not json")]
     a, b = (merge.merge_partials(spark.createDataFrame(r, "doc_id long, page int, partial string")).orderBy("doc_id").collect() for r in (rows, rows[::-1]))
