@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import collapse, fold_quotes, generic_key, is_null_like, nfkc
+from folioframe.functions.text import bound, collapse, compat, firsts, fold_quotes, generic_key, is_null_like
 
 # The clause pattern (point, clause, article) and the code's names.
 CLAUSE = r"(?iu)(?:(?:điểm|diem)\s+([a-zđ]))?\s*(?:(?:khoản|khoan)\s+(\d+[a-z]?))?\s*(?:điều|dieu)\s+(\d+[a-z]?)"
-CODE = r"(?iu)(?<![\p{L}\p{N}_])blhs(?![\p{L}\p{N}_])|bộ\s+luật\s+hình\s+sự"
+CODE = r"(?iu)b(?:(?<![\p{L}\p{N}_]b)lhs(?![\p{L}\p{N}_])|ộ\s+luật\s+hình\s+sự)"
 CODE_LONG = r"(?iu)(?<![\p{L}\p{N}_])bộ\s+luật\s+hình\s+sự(?![\p{L}\p{N}_])"
 
 
@@ -20,7 +20,7 @@ def law_code(c: Column) -> Column:
 
 
 def clean_law(c: Column) -> Column:
-    return collapse(F.btrim(F.regexp_replace(nfkc(fold_quotes(c)), CODE_LONG, "BLHS"), F.lit(" .;,")))
+    return F.when(c.isNotNull(), collapse(F.btrim(F.regexp_replace(compat(fold_quotes(c)), CODE_LONG, "BLHS"), F.lit(" .;,"))))
 
 
 def clause_display(code: Column, dieu: Column, khoan: Column, diem: Column) -> Column:
@@ -34,11 +34,6 @@ def clause_display(code: Column, dieu: Column, khoan: Column, diem: Column) -> C
     )
 
 
-def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
-    """use(c), with c computed once however often it is used."""
-    return F.element_at(F.transform(F.array(c), use), 1)
-
-
 def parse_clauses(c: Column) -> Column:
     """array<struct<code,dieu,khoan,diem,specific,display,raw>>; an item without a clause is one raw struct.
 
@@ -47,7 +42,7 @@ def parse_clauses(c: Column) -> Column:
 
     def clause(code: Column) -> Callable[[Column], Column]:
         def of(m: Column) -> Column:
-            return _bound(F.split(F.regexp_replace(m, CLAUSE, "$1\x01$2\x01$3"), "\x01", -1), groups)
+            return bound(F.split(F.regexp_replace(m, CLAUSE, "$1\x01$2\x01$3"), "\x01", -1), groups)
 
         def groups(g: Column) -> Column:
             diem, khoan, dieu = (F.nullif(g[i], F.lit("")) for i in range(3))
@@ -65,24 +60,44 @@ def parse_clauses(c: Column) -> Column:
     def parts(text: Column) -> Column:
         return F.struct(text.alias("text"), law_code(text).alias("code"), F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)).alias("found"))
 
-    return _bound(clean_law(c), lambda text: _bound(parts(text), of))
+    return bound(clean_law(c), lambda text: bound(parts(text), of))
 
 
-def normalize_clauses(values: Column) -> Column:
-    """Displays of a list's clauses: general ones go where their article has a specific one, repeats go, order stays.
-
-    Clauses are compared by one text each, made once."""
+def keyed_clauses(c: Column) -> Column:
+    """The clauses of one item as what normal_list() compares and shows; null for a null-like item."""
     key = lambda x, *fields: F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), x[f]), F.lit("")) for f in fields))
 
     def keyed(x: Column) -> Column:
-        return F.struct(x["display"].alias("display"), F.when(x["raw"].isNull(), key(x, "code", "dieu")).alias("article"), x["specific"].alias("specific"), key(x, "code", "dieu", "khoan", "diem", "raw").alias("key"))
+        return F.struct(F.when(x["raw"].isNull(), key(x, "code", "dieu")).alias("article"), x["specific"].alias("specific"), key(x, "code", "dieu", "khoan", "diem", "raw").alias("key"), x["display"].alias("display"))
+
+    return F.when(~is_null_like(c), F.transform(parse_clauses(c), keyed))
+
+
+def normal_list(clauses: Column) -> Column:
+    """Displays of the clauses of a list's items, as normalize_clauses() gives them.
+
+    Clauses are sorted by article, the general one first: repeats stand next to each other then, and what follows a general one tells whether it stays."""
+
+    def kept(items: Column) -> Column:
+        return F.filter(items, lambda x, i: x["article"].isNull() | x["specific"] | ~F.get(items, i + 1)["article"].eqNullSafe(x["article"]))
+
+    placed = F.array_sort(F.transform(F.flatten(F.filter(clauses, lambda v: v.isNotNull())), lambda x, i: F.struct(x["article"], x["specific"], x["key"], i.alias("at"), x["display"])))
+    return F.transform(F.array_sort(F.transform(bound(firsts(placed), kept), lambda x: F.struct(x["at"], x["display"]))), lambda x: x["display"])
+
+
+def normalize_clauses(values: Column) -> Column:
+    """Displays of a list's clauses: general ones go where their article has a specific one, repeats go, order stays."""
+    return normal_list(F.transform(values, keyed_clauses))
+
 
-    def specific(items: Column) -> Column:
-        exact = F.array_distinct(F.transform(F.filter(items, lambda x: x["specific"]), lambda x: x["article"]))
-        return _bound(exact, lambda e: F.filter(items, lambda x: x["article"].isNull() | x["specific"] | ~F.array_contains(e, x["article"])))
+#: So many texts at most are parsed apart and sent to all tasks.
+TEXTS = 100_000
 
-    def first(items: Column) -> Column:
-        return _bound(items["key"], lambda keys: F.filter(items, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
 
-    parsed = F.flatten(F.transform(F.filter(values, lambda v: ~is_null_like(v)), parse_clauses))
-    return F.transform(_bound(_bound(F.transform(parsed, keyed), specific), first), lambda x: x["display"])
+def with_clauses(df: DataFrame, item: str, texts: int = TEXTS) -> DataFrame:
+    """df and keyed_clauses(item) as column clauses. Laws are cited in few ways: a text that stands in many rows is parsed once,
+    where the texts, counted first, are few enough to be sent to all tasks; else each row's text is."""
+    if df.agg(F.approx_count_distinct(item)).first()[0] > texts:
+        return df.withColumn("clauses", keyed_clauses(F.col(item)))
+    each = df.select(item).distinct().withColumn("clauses", keyed_clauses(F.col(item)))
+    return df.join(F.broadcast(each), item, "left")

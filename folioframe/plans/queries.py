@@ -279,8 +279,9 @@ def q_law_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d.LAWS,
 )
 def q_law_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = d.laws(spark, sf_dir).groupBy("list_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
-    return lists.select("list_id", F.array_join(laws.normalize_clauses(F.col("items")), "; ").alias("clauses"))
+    rows = laws.with_clauses(d.laws(spark, sf_dir), "item")
+    lists = rows.groupBy("list_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clauses"))), lambda x: x["clauses"]).alias("clauses"))
+    return lists.select("list_id", F.array_join(laws.normal_list(F.col("clauses")), "; ").alias("clauses"))
 
 
 @query(

@@ -60,6 +60,21 @@ def test_clauses(spark, given, want):
     assert merge_laws(given) == want
 
 
+def test_clauses_of_rows_are_those_of_lists(spark):
+    """Each text is parsed once or each row's is: the same clauses; and one long list takes no time that grows with its square."""
+    many = [f"{'khoản 1 ' if i % 3 else ''}Điều {i // 2} BLHS" for i in range(6_000)] + ["Điều 7 BLHS", "văn bản khác", "VĂN BẢN  KHÁC", None, "N/A", ""]
+    rows = [(0, i, x) for i, x in enumerate(many)] + [(n + 1, i, x) for n, (given, _) in enumerate(CLAUSES) for i, x in enumerate(given)]
+    df = spark.createDataFrame(rows, "list int, pos int, item string")
+    from folioframe.operators.merge import merge_laws
+
+    want = {0: merge_laws(many)} | {n + 1: w for n, (given, w) in enumerate(CLAUSES) if given}
+    for texts in (0, 100_000):
+        sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("pos", "clauses"))), lambda x: x["clauses"])
+        got = laws.with_clauses(df, "item", texts).groupBy("list").agg(sorted_.alias("c")).select("list", laws.normal_list(F.col("c")).alias("r"))
+        assert {r.list: r.r for r in got.collect()} == want
+
+
+
 @pytest.mark.parametrize(
     "raw, want",
     [('<think>x</think>{"1":"a"}', {"1": "a"}), ('```json\n{"1":"a"}\n```', {"1": "a"}), ('Here: {"1":"a"}', {"1": "a"}), ('{"1":"a"} done', None), (None, None), ("", None)],
