@@ -90,14 +90,15 @@ def normalize_clauses(values: Column) -> Column:
     return normal_list(F.transform(values, keyed_clauses))
 
 
-#: So many texts at most are parsed apart and sent to all tasks.
+#: So many texts at most, of 100 characters on average if all were as long as the longest, are parsed apart and sent to all tasks.
 TEXTS = 100_000
 
 
 def with_clauses(df: DataFrame, item: str, texts: int = TEXTS) -> DataFrame:
     """df and keyed_clauses(item) as column clauses. Laws are cited in few ways: a text that stands in many rows is parsed once,
     where the texts, counted first, are few enough to be sent to all tasks; else each row's text is."""
-    if df.agg(F.approx_count_distinct(item)).first()[0] > texts:
+    n, longest = df.agg(F.approx_count_distinct(item), F.coalesce(F.max(F.length(item)), F.lit(0))).first()
+    if n > texts or n * longest > 100 * texts:
         return df.withColumn("clauses", keyed_clauses(F.col(item)))
     each = df.select(item).distinct().withColumn("clauses", keyed_clauses(F.col(item)))
     return df.join(F.broadcast(each), item, "left")
